@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import quality_classifier, quality_rules
+from pairlens.llm import exact_dedup, near_dedup, quality_classifier, quality_rules
 from pairlens.llm.common import table
 
 
@@ -16,7 +16,45 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules)}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op5_exact_dedup, op7_near_dedup)}
 
 #: DuckDB SQL over the same tables.  The others fit models, tokenise or pack: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": """
+        select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+               doc_id is not distinct from max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+        from documents window same as (partition by coalesce(text, ''))
+    """,
+    # sets of distinct five-word shingles, pairs that share one, components by the smallest id reached
+    "op7_near_dedup": """
+        with recursive words as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+            from documents
+        ), sets as (
+            select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                   else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end as s
+            from words
+        ), shingles as (select doc_id, len(s) as n, unnest(s) as x from sets),
+        links as (
+            select a.doc_id as a, b.doc_id as b
+            from shingles a join shingles b on a.x = b.x and a.doc_id <> b.doc_id
+            group by a.doc_id, b.doc_id, a.n, b.n
+            having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach(doc_id, low) using key (doc_id) as (
+            select doc_id, doc_id from sets
+            union
+            select l.a, min(r.low) from links l join reach r on r.doc_id = l.b join recurring.reach o on o.doc_id = l.a
+            where r.low < o.low group by l.a
+        )
+        select s.doc_id, len(s.s) as n_shingles, r.low as component_id, s.doc_id = r.low as kept
+        from sets s join reach r on r.doc_id = s.doc_id
+    """,
+}
