@@ -1,10 +1,68 @@
-"""The document pipeline: each stage takes what its predecessor kept."""
+"""The document pipeline: each stage takes what its predecessor kept and stored.
+
+quality classifier -> quality rules -> exact dedup -> MinHash near-dedup -> packing.
+All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairlens.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
+from pairlens.llm.common import new_folder, table
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.classify(docs, model)
+    return scored.where(F.col("__quality") >= quality_classifier.THRESHOLD).select(*docs.columns)
+
+
+def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that meet the base rules and that the boosted trees accept."""
+    forest = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, forest).where("__verdict.kept").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that with the largest id."""
+    kept = exact_dedup.deduplicate(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents, placed in sequences."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("quality rules", keep_regular),
+    ("exact dedup", drop_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("best-fit packing", pack),
+]
+
+#: The stages fit models, tokenise and pack, which SQL cannot state; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_folder(spark, "stage-" + name.replace(" ", "-").lower())
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import exact_dedup, near_dedup, quality_classifier, quality_rules
+from pairlens.llm import bpe, exact_dedup, near_dedup, packing, quality_classifier, quality_rules
 from pairlens.llm.common import table
 
 
@@ -16,6 +17,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -24,7 +29,14 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op5_exact_dedup, op7_near_dedup)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_quality_rules, op4_byte_bpe, op5_exact_dedup, op7_near_dedup, op9_best_fit_packing)
+}
 
 #: DuckDB SQL over the same tables.  The others fit models, tokenise or pack: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
