@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import bpe, chat, exact_dedup, near_dedup, packing, quality_classifier, quality_rules
+from pairlens.llm import bpe, chat, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, warc
 from pairlens.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,7 +43,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_quality_rules, op4_byte_bpe, op5_exact_dedup, op7_near_dedup, op9_best_fit_packing, op10_chat_formatting)
+    for f in (op1_quality_classifier, op2_quality_rules, op4_byte_bpe, op5_exact_dedup, op7_near_dedup, op8_warc, op9_best_fit_packing, op10_chat_formatting)
 }
 
 #: DuckDB SQL over the same tables.  The others fit models, tokenise or pack: tests hold them against brute force.
@@ -73,6 +77,17 @@ ORACLE_SQL: dict[str, str] = {
         select s.doc_id, len(s.s) as n_shingles, r.low as component_id, s.doc_id = r.low as kept
         from sets s join reach r on r.doc_id = s.doc_id
     """,
+    "op8_warc": """
+        with sized as (
+            select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as keep from pages
+        )
+        select page_id, strlen(body)::bigint as payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(h, 1 + 5 * (k // 4)::int, 5))::bigint >> (15 - 5 * (k % 4))::int) & 31)::int, 1)), '') as payload_digest,
+               case when page_id is not distinct from keep then 'response' else 'revisit' end as record_type,
+               case when page_id is distinct from keep then keep end as refers_to
+        from sized
+    """,
     "op10_chat_formatting": r"""
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
