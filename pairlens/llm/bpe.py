@@ -216,7 +216,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Pair merging by ascending rank, remembered for each piece."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
+        self.most = most
         self.ranks = load_ranks(path)
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.cache: dict[str, bytes] = {}
@@ -231,7 +232,7 @@ class Encoder:
             pairs += [(a, b, k) for cut in range(1, len(token)) if (a := self.ranks.get(token[:cut])) is not None and (b := self.ranks.get(token[cut:])) is not None]
         found = np.array(sorted(pairs, key=lambda p: p[2]), np.int64).reshape(-1, 3)
         keys = found[:, 0] << 32 | found[:, 1]
-        self.shift = 64 - max(10, int(np.ceil(np.log2(len(keys) + 1))) + 3)
+        self.shift = 64 - max(10, int(np.ceil(np.log2(len(keys) + 1))) + 4)
         size = 1 << (64 - self.shift)
         self.keys, self.unions = np.full(size + 64, -1, np.int64), np.full(size + 64, FAR, np.int32)
         left, self.probes = np.arange(len(keys)), 0
@@ -271,15 +272,17 @@ class Encoder:
             for start in range(0, len(which), 4096):
                 rows = which[start : start + 4096]
                 if len(rows):
-                    self._merge_block([pieces[r] for r in rows], sizes[rows], width, rows, out)
+                    for r, x in zip(rows.tolist(), self._merge_block([pieces[r] for r in rows], sizes[rows], width), strict=True):
+                        out[r] = x
         for r in np.flatnonzero(sizes > low):
             out[r] = np.array(self._merge_long(pieces[r]), "<u4").tobytes()
         return out
 
-    def _merge_block(self, pieces: list[bytes], sizes: np.ndarray, width: int, rows: np.ndarray, out: list[bytes]) -> None:
+    def _merge_block(self, pieces: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         ids, size, where = self.byte_ids[raw], sizes.copy(), np.arange(len(pieces))
-        joint = self.byte_pairs[raw[:, :-1].astype(np.intp) * 256 + raw[:, 1:]] if width > 1 else np.zeros((len(pieces), 0), np.int32)
+        done, left = np.zeros((len(pieces), width), "<u4"), sizes.copy()
+        joint = self.byte_pairs[raw[:, :-1].astype(np.intp) * 256 + raw[:, 1:]]
         joint = np.where(np.arange(width - 1) < (size - 1)[:, None], joint, FAR)
         place = np.arange(width)
         while True:
@@ -287,12 +290,13 @@ class Encoder:
             best = joint[np.arange(len(k)), k]
             over = best == FAR
             if over.any():
-                for r, n, x in zip(where[over].tolist(), size[over].tolist(), ids[over], strict=True):
-                    out[rows[r]] = x[:n].astype("<u4").tobytes()
+                done[where[over]], left[where[over]] = ids[over], size[over]
                 go = ~over
                 ids, joint, size, where, k, best = ids[go], joint[go], size[go], where[go], k[go], best[go]
                 if not len(k):
-                    return
+                    flat = done[place < left[:, None]].tobytes()
+                    ends = (4 * np.cumsum(left)).tolist()
+                    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             line = np.arange(len(k))
             take = np.minimum(place + (place > k[:, None]), width - 1)
             ids = np.take_along_axis(ids, take, 1)
@@ -325,25 +329,27 @@ class Encoder:
                 heapq.heappush(heap, (r, p, stop))
         return [self.ranks[raw[k : end[k]]] for k in range(n) if alive[k]]
 
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that the young generation lacks, remembered there unless long."""
-        got = {p: x for p in pieces if (x := self.old.get(p)) is not None}
-        new = [p for p in pieces if p not in got]
-        got |= zip(new, self.merge_many([p.encode() for p in new]), strict=True)
-        if len(self.cache) >= CACHE:
+    def learn(self, need: set[str]) -> None:
+        """Put pieces that the young generation lacks into it; a full one becomes the old one first."""
+        if len(self.cache) >= self.most:
             self.old, self.cache = self.cache, {}
-        self.cache |= {p: x for p, x in got.items() if len(p) <= 64}
-        return got
+        need = need.difference(self.cache)
+        if known := [p for p in need if p in self.old]:
+            self.cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
+            need.difference_update(known)
+        new = list(need)
+        self.cache.update(zip(new, self.merge_many([p.encode() for p in new]), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = split_batch(texts)
-        found = [list(map(self.cache.get, pieces)) for pieces in split]
-        missing = dict.fromkeys(p for pieces, ids in zip(split, found, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None)
-        if missing:
-            got = self.learn(list(missing))
-            found = [[got[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if None in ids else ids for pieces, ids in zip(split, found, strict=True)]
-        return list(map(b"".join, found))
+        seen = set().union(*split)
+        self.learn(seen)
+        out = [b"".join(map(self.cache.__getitem__, pieces)) for pieces in split]
+        for p in seen:
+            if len(p) > 64:
+                del self.cache[p]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
