@@ -10,9 +10,10 @@ similarity, with concentration as of independent hashes.
 Links: identical sets share a representative.  Coordinates are cut into bands;
 in every bucket of a band all members are compared with one pivot (another one
 in each bucket), exactly, on full sets.  Documents so linked form components; a
-bucket that still holds several of them gets every pair across components that
-no pivot has settled: sketches rule out pairs far below the threshold, in blocks
-of bounded size, and the rest are verified on full sets.  No cap on bucket sizes.
+bucket that still holds several of them goes on: documents that meet in such
+buckets form a cluster, which is cut into blocks of bounded size, and every pair
+of blocks is settled on full sets, where sketches rule out pairs far below the
+threshold.  No cap on bucket sizes, and no list of pairs within a group.
 
 With 30 bands of 6, a pair at the threshold of 0.85 shares no bucket with
 probability 7e-7; a sketch of 180 coordinates falls below 0.65 with less than 1e-9.
@@ -162,34 +163,71 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     return joined.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, least: float = SKETCH_LEAST) -> DataFrame:
-    """Pairs (a, b) across components within buckets whose sketches agree on `least` or more.
+def links_between(left: np.ndarray, right: np.ndarray, comp: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], least: float = SKETCH_LEAST, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between rows of left and of right that join their components into one; every pair is settled.
 
-    members: key, id, comp, sketch.  A bucket is cut into blocks of about BLOCK
-    members; a task sees two blocks at a time.
+    Sketches tell which rows of left can have links at all.  For those, an index
+    of the shingles of right counts the intersections with all rows at once.  A
+    link within what is one component already is not needed.
     """
-    size = members.groupBy("key").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = members.join(size, "key").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    both = dealt.select("key", "id", "comp", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    both = both.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch")
+    up = {int(c): int(c) for c in comp}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    near = {}
+    for r in left:
+        cand = right[comp[right] != comp[r]]
+        if len(cand) and (cand := cand[(sketch[cand] == sketch[r]).mean(1) >= least]).size:
+            near[int(r)] = cand
+    if not near:
+        return []
+    rows = np.unique(np.concatenate(list(near.values())))
+    sizes = np.array([len(sets[k]) for k in rows])
+    values, owner = np.concatenate([sets[k] for k in rows]), np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(values, kind="stable")
+    owner = owner[order]
+    known, first = np.unique(values[order], return_index=True)
+    first = np.append(first, len(values))
+    out = []
+    for r, cand in near.items():
+        own = sets[r]
+        at = np.searchsorted(known, own)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == own)]
+        n = first[at + 1] - first[at]
+        places = np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(at) else np.zeros(0, int)
+        common = np.bincount(owner[places], minlength=len(rows))[np.searchsorted(rows, cand)]
+        union = len(own) + np.array([len(sets[k]) for k in cand]) - common
+        for k in cand[100 * common >= percent * union]:
+            a, b = root(int(comp[r])), root(int(comp[k]))
+            if a != b:
+                up[a] = b
+                out.append((r, int(k)))
+    return out
+
+
+def across(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of a cluster; members: cluster, id, comp, sketch, members (the full set).
+
+    A cluster is cut into blocks of about BLOCK rows; a task sees two blocks at a
+    time, and gives no more links than it takes to join what is in them.
+    """
+    size = members.groupBy("cluster").agg(F.count("*").alias("m"))
+    dealt = members.join(size, "cluster").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    both = both.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch", "members")
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        ids, comp = part.column("id").to_numpy(), part.column("comp").to_numpy()
-        own = part.column("own").to_numpy()
-        sk = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b = [], []
-        for r in left:
-            cand = right[(comp[right] != comp[r]) & ((ids[right] > ids[r]) if i == j else True)]
-            if len(cand):
-                near = cand[(sk[cand] == sk[r]).mean(1) >= least]
-                out_a += [min(ids[r], ids[k]) for k in near]
-                out_b += [max(ids[r], ids[k]) for k in near]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return both.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        ids, comp, own = (part.column(c).to_numpy() for c in ("id", "comp", "own"))
+        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sets = [x.values.to_numpy() for x in part.column("members")]
+        found = links_between(np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py()), comp, sketch, sets)
+        return pa.table({"a": pa.array([ids[r] for r, _ in found], pa.int64()), "b": pa.array([ids[k] for _, k in found], pa.int64())})
+
+    return both.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _labelled(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -222,9 +260,12 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     comp = stored(components(links), "component")
     # what remains: buckets of three or more with several components
     own = _labelled(met.where("m > 2").select("id", "key", "pivot"), comp)
-    open_keys = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = stored(own.join(small_side(open_keys), "key", "left_semi").where("id <> pivot").join(reps.select("id", "sketch"), "id").select("key", "id", "comp", "sketch"), "open")
-    late = stored(verified(docs, stored(across(left), "across")), "links")
+    ends = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    left = stored(own.join(small_side(ends), "key", "left_semi").select("id", "pivot").distinct(), "open")
+    # one cluster for what meets in such buckets, so that no pair is seen in every band
+    cluster = stored(components(left.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "cluster")
+    part = _labelled(cluster.select("id", F.col("component").alias("cluster")), comp).join(reps.select("id", "sketch"), "id")
+    late = stored(across(part.join(sets_of(docs, cluster), "id")), "links")
     return links.union(late)
 
 

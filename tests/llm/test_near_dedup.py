@@ -85,3 +85,33 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)}
+
+
+def test_every_pair_of_a_cluster_is_settled():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, 300)
+    sets = []
+    for _ in range(120):
+        s = base.copy()
+        at = rng.choice(300, rng.integers(0, 40), replace=False)
+        s[at] = rng.integers(0, 2**62, len(at))
+        sets.append(np.unique(s))
+    sk = (op.sketches([s.view(np.uint64) for s in sets]) & np.uint64(255)).astype(np.uint8)
+    comp = np.arange(120) * 10
+    found = op.links_between(np.arange(120), np.arange(120), comp, sk, sets)
+    up = list(range(120))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in found:
+        x = len(np.intersect1d(sets[a], sets[b]))
+        assert 100 * x >= 85 * (len(sets[a]) + len(sets[b]) - x) and root(a) != root(b)
+        up[root(a)] = root(b)
+    for a in range(120):
+        for b in range(a):
+            x = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * x >= 85 * (len(sets[a]) + len(sets[b]) - x):
+                assert root(a) == root(b)
