@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pairlens.plans import paired
+from pairlens.plans import paired, selecting
 
-MODULES = [paired]
+MODULES = [paired, selecting]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
