@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import bpe, chat, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, warc
+from pairlens.llm import bpe, chat, exact_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, toxicity, warc
 from pairlens.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -25,6 +29,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_quality_rules, op4_byte_bpe, op5_exact_dedup, op7_near_dedup, op8_warc, op9_best_fit_packing, op10_chat_formatting)
-}
+    for f in (
+        op1_quality_classifier, op2_quality_rules, op3_lm_scoring, op4_byte_bpe, op5_exact_dedup,
+        op6_toxicity, op7_near_dedup, op8_warc, op9_best_fit_packing, op10_chat_formatting,
+    )
+}
 
 #: DuckDB SQL over the same tables.  The others fit models, tokenise or pack: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
