@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pairlens.plans import logs, paired, selecting
+from pairlens.plans import logs, paired, selecting, texts
 
-MODULES = [paired, selecting, logs]
+MODULES = [paired, selecting, logs, texts]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
