@@ -43,11 +43,11 @@ HERE, BEFORE = 1, 2
 #: White space beyond ASCII that the pattern's \s takes (fixed values of the Unicode standard).
 WIDE_WHITE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points that a scan's block holds; texts joined for one scan have about CHUNK.
-WIDTH, CHUNK = 128, 400_000
+WIDTH, CHUNK = 128, 1_000_000
 #: Code points of a block's tail whose function is tried first.
 TAIL = 6
 #: Pieces in each of the two generations that a worker remembers.
-CACHE = 150_000
+CACHE = 400_000
 #: Bytes up to which pieces are merged side by side, in classes of like length.
 WIDTHS = (8, 12, 16, 24, 40, 64)
 _SEP = 0x110000
