@@ -14,14 +14,19 @@ NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3",
 ARTICLES = ["a", "an", "the"]
 
 
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def words(c: Column) -> Column:
     """Non-empty parts between white space."""
-    return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(strip(c), r"\s+"), lambda w: w != "")
 
 
 def strip_fences(c: Column) -> Column:
     """Text without a code fence around it."""
-    return F.regexp_replace(F.regexp_replace(F.trim(c), r"\A```[A-Za-z]*\s*", ""), r"\s*```\z", "")
+    return F.regexp_replace(F.regexp_replace(strip(c), r"\A```[A-Za-z]*\s*", ""), r"\s*```\z", "")
 
 
 def first_object(c: Column, greedy: bool = True) -> Column:
@@ -37,7 +42,7 @@ def json_fields(c: Column, fields: list[str], greedy: bool = True) -> Column:
 
 def task_verdict(c: Column) -> Column:
     """Claim of a permissive answer: the field of the first short object, else the first of FALSE, TRUE, NONE in the text."""
-    claim = F.upper(F.trim(json_fields(c, ["claim"], greedy=False)["claim"]))
+    claim = F.upper(strip(json_fields(c, ["claim"], greedy=False)["claim"]))
     t = F.upper(F.coalesce(c, F.lit("None")))
     found = F.when(t.contains("FALSE"), "FALSE").when(t.contains("TRUE"), "TRUE").when(t.contains("NONE"), "NONE")
     return F.when(claim.isin("TRUE", "FALSE", "NONE"), claim).otherwise(found)
@@ -57,13 +62,13 @@ def strict_object(c: Column, fields: list[str], verdict: str, allowed: list[str]
 
 def binary_answer(c: Column) -> Column:
     """yes or no at the start of the answer, else the first mention; yes is tried first."""
-    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    t = F.lower(strip(F.coalesce(c, F.lit(""))))
     return F.when(t.rlike(r"^yes\b"), "yes").when(t.rlike(r"^no\b"), "no").when(t.rlike(r"\byes\b"), "yes").when(t.rlike(r"\bno\b"), "no")
 
 
 def bare_option(c: Column, letters: str = "ABC") -> Column:
     """The letter if it is the whole answer, with or without parentheses and a full stop."""
-    m = F.regexp_extract(F.trim(F.coalesce(c, F.lit(""))), rf"(?i)\A\(?([{letters}])\)?\.?\z", 1)
+    m = F.regexp_extract(strip(F.coalesce(c, F.lit(""))), rf"(?i)\A\(?([{letters}])\)?\.?\z", 1)
     return F.when(m != "", F.upper(m))
 
 
@@ -82,7 +87,7 @@ def choice(c: Column, options: Column) -> Column:
 
 def reasoned(c: Column) -> Column:
     """The letter of a single FINAL: on the last line, else null."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    t = strip(F.coalesce(c, F.lit("")))
     once = F.size(F.regexp_extract_all(t, F.lit("FINAL:"), F.lit(0))) == 1
     m = F.regexp_extract(t, r"(?:\A|\n)FINAL:\s*\(?([A-C])\)?\.?\z", 1)
     return F.when(once & (m != ""), m)
@@ -90,7 +95,7 @@ def reasoned(c: Column) -> Column:
 
 def semantic_answer(c: Column, format_: Column, order: Column) -> Column:
     """yes/no answers, or a letter a/b through an order of two meanings."""
-    t = F.lower(F.trim(F.coalesce(c, F.lit("None"))))
+    t = F.lower(strip(F.coalesce(c, F.lit("None"))))
     yes_no = F.when(t.rlike(r"^yes\b"), "yes").when(t.rlike(r"^no\b"), "no")
     letter = F.regexp_extract(t, r"^\s*\(?([ab])\)?(?:\s|$|[.,:;])", 1)
     two = F.when(letter == "a", F.try_element_at(order, F.lit(1))).when(letter == "b", F.try_element_at(order, F.lit(2)))
@@ -99,14 +104,14 @@ def semantic_answer(c: Column, format_: Column, order: Column) -> Column:
 
 def side(c: Column) -> Column:
     """L or R as a left or right answer."""
-    m = F.regexp_extract(F.upper(F.trim(F.coalesce(c, F.lit("")))), r"\A\(?(L|R|LEFT|RIGHT)\)?\b", 1)
+    m = F.regexp_extract(F.upper(strip(F.coalesce(c, F.lit("")))), r"\A\(?(L|R|LEFT|RIGHT)\)?\b", 1)
     return F.when(m != "", F.substring(m, 1, 1))
 
 
 def normalize_answer(c: Column) -> Column:
     """Lower case, commas between digits and punctuation out, number words as digits, articles dropped (unless alone)."""
     t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?<=\d),(?=\d)", "")
-    t = F.regexp_replace(t, r"[^a-z0-9.\s-]", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"\.(?!\d)", " "), r"[^a-z0-9.\s-]", " ")
     numbers = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
     w = F.transform(words(t), lambda x: F.coalesce(F.try_element_at(numbers, x), x))
     kept = F.filter(w, lambda x: ~x.isin(*ARTICLES))
@@ -114,7 +119,7 @@ def normalize_answer(c: Column) -> Column:
 
 
 def normalize_claim(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    return strip(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
 
 
 def contains_tokens(observed: Column, expected: Column) -> Column:
@@ -148,7 +153,7 @@ def label_match(a: Column, b: Column) -> Column:
 
 def answer_letter(answer: Column, choices: Column) -> Column:
     """A bare letter, else the letter of the choice that equals the answer."""
-    t = F.trim(F.coalesce(answer, F.lit("")))
+    t = strip(F.coalesce(answer, F.lit("")))
     bare = bare_option(t, "ABCDE")
     at = F.array_position(F.transform(choices, normalize_claim), normalize_claim(t))
     return F.coalesce(bare, F.when(at > 0, F.substring(F.lit("ABCDE"), at.cast("int"), F.lit(1))))
@@ -169,7 +174,7 @@ def one_number(c: Column) -> Column:
 
 
 def first_line(c: Column) -> Column:
-    return F.trim(F.element_at(F.split(F.trim(F.coalesce(c, F.lit(""))), "\n"), 1))
+    return strip(F.element_at(F.split(strip(F.coalesce(c, F.lit(""))), "\n"), 1))
 
 
 def trimmed_letter(c: Column) -> Column:
@@ -178,13 +183,13 @@ def trimmed_letter(c: Column) -> Column:
 
 def kept_segments(c: Column, drop: str, mark: str = "|") -> Column:
     """Segments between marks, trimmed, without those that match `drop`."""
-    parts = F.transform(F.split(c, "\\" + mark), F.trim)
+    parts = F.transform(F.split(c, "\\" + mark), strip)
     return F.array_join(F.filter(parts, lambda x: ~x.rlike(drop)), f" {mark} ")
 
 
 def without_leading(c: Column, mark: str = "|") -> Column:
     """The text behind the first segment; null if that holds digits."""
-    parts = F.transform(F.split(c, "\\" + mark), F.trim)
+    parts = F.transform(F.split(c, "\\" + mark), strip)
     return F.when(~F.element_at(parts, 1).rlike(r"\d"), F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), f" {mark} "))
 
 
@@ -197,7 +202,7 @@ def plain_text(html: Column) -> Column:
     t = html
     for name, value in ENTITIES.items():
         t = F.replace(t, F.lit(name), F.lit(value))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), r"(?U)\s+", " "))
 
 
 def attempt_class(parsed: Column, target: Column, exact: Column) -> Column:
@@ -213,5 +218,5 @@ def gold_and_target(truth: Column, polarity: Column) -> tuple[Column, Column]:
 
 def task_type(question: Column, has_choices: Column) -> Column:
     """choice, count, binary or open, by choices and the first words."""
-    q = F.lower(F.trim(F.coalesce(question, F.lit(""))))
+    q = F.lower(strip(F.coalesce(question, F.lit(""))))
     return F.when(has_choices, "choice").when(q.rlike(r"^how many\b"), "count").when(q.rlike(r"^(is|are|was|were|do|does|did|can|has|have)\b"), "binary").otherwise("open")
