@@ -31,22 +31,24 @@ def prepared(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
-def _field(t: Column, label: str) -> Column:
-    return F.regexp_extract_all(t, F.lit(rf"(?<![A-Z0-9_]){label} {NUMBER}(?![A-Z0-9_]|\.\d)"), F.lit(1))
-
-
 def checked(df: DataFrame, text: str, out: str = "check") -> DataFrame:
     """df with struct<family, outcome, reason>: consistent, inconsistent or abstain.
 
-    The text, its fields and their decimals are projected one after the other, so
-    every pattern is matched once a row.
+    All labels with a number behind them are taken out in one pass; a field is
+    there once if its label is in that list once.
     """
     labels = sorted({x for _, own in FAMILIES.values() for x in own})
     marks = F.array_compact(F.array(*[F.when(F.col("__t").rlike(rf"(?<![A-Z0-9_])RECORD {m}(?![A-Z0-9_])"), F.lit(f)) for f, (m, _) in FAMILIES.items()]))
     d = df.withColumn("__t", prepared(F.col(text)))
-    d = d.withColumns({"__marks": marks, "__u": F.regexp_extract_all(F.col("__t"), F.lit(rf"UNCERTAINTY \+/- {NUMBER}(?![A-Z0-9_]|\.\d)"), F.lit(1)), "__f": F.struct(*[_field(F.col("__t"), x).alias(x) for x in labels])})
-    values = F.struct(*[F.try_element_at(F.col("__f")[x], F.lit(1)).try_cast(DECIMAL).alias(x) for x in labels])
-    once = F.struct(*[(F.size(F.col("__f")[x]) == 1).alias(x) for x in labels])
+    pattern = rf"(?<![A-Z0-9_])([A-Z]+) {NUMBER}(?![A-Z0-9_]|\.\d)"
+    d = d.withColumns({
+        "__marks": marks, "__u": F.regexp_extract_all(F.col("__t"), F.lit(rf"UNCERTAINTY \+/- {NUMBER}(?![A-Z0-9_]|\.\d)"), F.lit(1)),
+        "__l": F.regexp_extract_all(F.col("__t"), F.lit(pattern), F.lit(1)), "__n": F.regexp_extract_all(F.col("__t"), F.lit(pattern), F.lit(2)),
+    })
+    place = lambda x: F.array_position("__l", x).cast("int")
+    values = F.struct(*[F.when(place(x) > 0, F.try_element_at(F.col("__n"), F.greatest(place(x), F.lit(1)))).try_cast(DECIMAL).alias(x) for x in labels])
+    times = lambda x: F.size(F.filter("__l", lambda y: y == x))
+    once = F.struct(*[(times(x) == 1).alias(x) for x in labels])
     d = d.withColumns({"__family": F.when(F.size("__marks") == 1, F.element_at("__marks", 1)), "__u": F.when(F.size("__u") == 1, F.try_element_at(F.col("__u"), F.lit(1)).try_cast(DECIMAL)), "__v": values, "__once": once})
     family, u = F.col("__family"), F.col("__u")
     outcome, reason = None, F.when(family.isNull(), F.lit("missing_or_ambiguous_family")).when(u.isNull(), F.lit("missing_or_duplicate_uncertainty")).when(u < 0, F.lit("negative_tolerance"))
@@ -59,7 +61,7 @@ def checked(df: DataFrame, text: str, out: str = "check") -> DataFrame:
         outcome = F.when(family == f, valid) if outcome is None else outcome.when(family == f, valid)
     d = d.withColumns({"__ok": outcome, "__reason": reason})
     said = F.when(F.col("__reason").isNotNull(), "abstain").when(F.col("__ok"), "consistent").otherwise("inconsistent")
-    return d.withColumn(out, F.struct(family.alias("family"), said.alias("outcome"), F.col("__reason").alias("reason"))).drop("__t", "__marks", "__u", "__f", "__family", "__v", "__once", "__ok", "__reason")
+    return d.withColumn(out, F.struct(family.alias("family"), said.alias("outcome"), F.col("__reason").alias("reason"))).drop("__t", "__marks", "__u", "__l", "__n", "__family", "__v", "__once", "__ok", "__reason")
 
 
 def _valid(family: str, v: dict[str, Column], u: Column) -> tuple[Column, Column | None]:
