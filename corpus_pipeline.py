@@ -14,6 +14,8 @@ from pairlens.llm import exact_dedup, near_dedup, packing, quality_classifier, q
 from pairlens.llm.common import new_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Documents whose five-word shingles agree on this per cent of their union are near copies.
+NEAR_PERCENT = 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 

@@ -15,8 +15,9 @@ buckets form a cluster, which is cut into blocks of bounded size, and every pair
 of blocks is settled on full sets, where sketches rule out pairs far below the
 threshold.  No cap on bucket sizes, and no list of pairs within a group.
 
-With 30 bands of 6, a pair at the threshold of 0.85 shares no bucket with
-probability 7e-7; a sketch of 180 coordinates falls below 0.65 with less than 1e-9.
+Bands and prefilter follow from the threshold.  At 0.85, 30 bands of 6: a pair at
+it shares no bucket with probability 7e-7, and its sketch of 180 coordinates falls
+below 0.65 with less than 1e-9.  At 0.8, 36 bands of 5 (6e-7) and 0.6.
 
 Defined cases: null and empty texts have empty sets and link with nothing; under
 five words the whole sequence is the one shingle; rows with a null doc_id are
@@ -27,6 +28,7 @@ table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,19 @@ _STEP = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band: the longest bands that part a pair at the threshold with 1e-6 at most."""
+    p, t = percent / 100, BANDS * ROWS
+    return next((t // r, r) for r in range(t, 0, -1) if t % r == 0 and ((1 - p**r) ** (t // r) <= 1e-6 or r == 1))
+
+
+def sketch_least(percent: int) -> float:
+    """What sketches of linked pairs agree on at least, in steps of a twentieth: less with under 1e-9."""
+    p, t = percent / 100, BANDS * ROWS
+    below = lambda k: sum(comb(t, i) * p**i * (1 - p) ** (t - i) for i in range(-(-t * k // 20)))
+    return next(k / 20 for k in range(20, -1, -1) if below(k) < 1e-9)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that scatters them."""
     x = (x ^ (x >> _U(30))) * _M1
@@ -103,7 +118,7 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 SIGNED = "doc_id long, n_shingles long, sig binary, sketch binary, bands array<long>"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """SIGNED for every row: set size, a 128-bit digest of the set, sketch bytes, band keys (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 part = b.slice(start, 400)
                 sets = [shingle_set(x) for x in part.column(1).to_pylist()]
                 sk = sketches(sets)
-                keys = band_keys(sk)
+                keys = band_keys(sk, bands)
                 low = (sk & _U(0xFF)).astype(np.uint8)
                 full = [len(s) > 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -209,12 +224,13 @@ def links_between(left: np.ndarray, right: np.ndarray, comp: np.ndarray, sketch:
     return out
 
 
-def across(members: DataFrame) -> DataFrame:
+def across(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that join the components of a cluster; members: cluster, id, comp, sketch, members (the full set).
 
     A cluster is cut into blocks of about BLOCK rows; a task sees two blocks at a
     time, and gives no more links than it takes to join what is in them.
     """
+    least = sketch_least(percent)
     size = members.groupBy("cluster").agg(F.count("*").alias("m"))
     dealt = members.join(size, "cluster").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -224,7 +240,7 @@ def across(members: DataFrame) -> DataFrame:
         ids, comp, own = (part.column(c).to_numpy() for c in ("id", "comp", "own"))
         sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
         sets = [x.values.to_numpy() for x in part.column("members")]
-        found = links_between(np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py()), comp, sketch, sets)
+        found = links_between(np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py()), comp, sketch, sets, least, percent)
         return pa.table({"a": pa.array([ids[r] for r, _ in found], pa.int64()), "b": pa.array([ids[k] for _, k in found], pa.int64())})
 
     return both.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
@@ -237,7 +253,7 @@ def _labelled(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
     return nodes.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
 
 
-def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def link(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified links (a, b) that connect what is linked; reps: id, sketch, bands."""
     thrown = reps.select("id", F.explode("bands").alias("key"))
     # a key permutes the ids of its bucket by exclusive or, so that buckets differ in their pivots
@@ -248,14 +264,14 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     pairs = stored(met.where("id <> pivot").groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.col("id")).agg(F.count("*").alias("bands")), "pairs")
     # one pivot a document first: the one that it meets in most buckets
     first = stored(pairs.groupBy("id").agg(F.max(F.struct("bands", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "first")
-    links = stored(verified(docs, first), "links")
+    links = stored(verified(docs, first, percent), "links")
     comp = stored(components(links), "component")
     # then every other pivot of another component that the sketches do not rule out
     rest = pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     rest = _labelled(rest.withColumnRenamed("a", "id"), comp).withColumnsRenamed({"id": "a", "comp": "ca"})
     rest = _labelled(rest.withColumnRenamed("b", "id"), comp).withColumnsRenamed({"id": "b", "comp": "cb"}).where("ca <> cb")
-    rest = stored(_similar(rest.select("a", "b"), reps), "rest")
-    more = stored(verified(docs, rest), "links")
+    rest = stored(_similar(rest.select("a", "b"), reps, sketch_least(percent)), "rest")
+    more = stored(verified(docs, rest, percent), "links")
     links = links.union(more)
     comp = stored(components(links), "component")
     # what remains: buckets of three or more with several components
@@ -265,7 +281,7 @@ def link(docs: DataFrame, reps: DataFrame) -> DataFrame:
     # one cluster for what meets in such buckets, so that no pair is seen in every band
     cluster = stored(components(left.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "cluster")
     part = _labelled(cluster.select("id", F.col("component").alias("cluster")), comp).join(reps.select("id", "sketch"), "id")
-    late = stored(across(part.join(sets_of(docs, cluster), "id")), "links")
+    late = stored(across(part.join(sets_of(docs, cluster), "id"), percent), "links")
     return links.union(late)
 
 
@@ -282,14 +298,14 @@ def _similar(pairs: DataFrame, reps: DataFrame, least: float = SKETCH_LEAST) ->
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    signed = stored(signatures(docs), "signed")
+    signed = stored(signatures(docs, banding(percent)[0]), "signed")
     known = signed.where("sig is not null and doc_id is not null")
     rep = known.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     owned = stored(known.select("doc_id", "sig").join(rep, "sig").select("doc_id", "rep"), "owned")
     reps = known.withColumnRenamed("doc_id", "id").join(owned.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "sig"]).select("id", "sketch", "bands")
-    links = link(docs, stored(reps, "reps"))
+    links = link(docs, stored(reps, "reps"), percent)
     edges = links.select("a", "b").union(owned.where("doc_id <> rep").select(F.col("rep"), F.col("doc_id")))
     comp = components(edges)
     out = signed.select("doc_id", "n_shingles").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
