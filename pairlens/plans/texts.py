@@ -89,6 +89,34 @@ def transcription_hits(spark, sf_dir):
     return hit.where("found > 0")
 
 
+def whole_hits(documents, benchmark):
+    """How many benchmark texts stand whole in each document (doc_id, text), by contains_tokens; documents without any are left out.
+
+    Candidates meet by the hash of as many leading tokens as WINDOW_WORDS or the text has; every one is verified on all tokens.
+    """
+    part = lambda w, at, n: F.xxhash64(F.array_join(F.slice(w, at, n), " "))
+    b = benchmark.select(T.normalize_claim(F.col("text")).alias("x")).where("x <> ''").withColumn("n", F.least(F.size(F.split("x", " ")), F.lit(WINDOW_WORDS)))
+    b = b.withColumn("h", part(F.split("x", " "), F.lit(1), F.col("n")))
+    lengths = [r.n for r in b.select("n").distinct().collect()]
+    d = documents.select("doc_id", T.normalize_claim(F.col("text")).alias("t"))
+    at = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), part(w, i, F.lit(n)).alias("h")))).otherwise(F.array())
+    # the tokens are bound by transform, so that they are split once a document and not once a place
+    starts = F.flatten(F.transform(F.array(F.split("t", " ")), lambda w: F.concat(*[at(w, n) for n in lengths]))) if lengths else F.array().cast("array<struct<n:int,h:bigint>>")
+    seen = d.withColumn("s", F.explode(F.array_distinct(starts)))
+    met = seen.select("doc_id", "t", "s.n", "s.h").join(b, ["n", "h"])
+    return met.where(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), "x", F.lit(" ")))).groupBy("doc_id").agg(F.count("*").alias("found"))
+
+
+#: Tokens of a benchmark text by which documents are looked up; all tokens are verified.
+WINDOW_WORDS = 8
+
+
+@query()
+def whole_transcription_hits(spark, sf_dir):
+    """Benchmark texts that stand whole and in a row in a document; transcription_hits and its SQL know openings only."""
+    return whole_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 @query("""with w as (select doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 1)) as have,
         list_distinct(list_filter(string_split(trim(regexp_replace(lower(source || ' the of and ' || lang), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 1)) as want from documents)
     select doc_id, round(len(list_intersect(want, have))::double / len(want), 9) as recall from w""")
