@@ -12,7 +12,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def texts():
     rng = np.random.default_rng(2)
     out = [" ".join(f"word{k}" for k in rng.integers(0, 99, n)) for n in rng.integers(0, 500, 300)]
-    return [*out, None, "", "again", "again", "long text " * 9000, "x"]
+    special = ["a <|endoftext|> b  <|endoftext|>\n c", "<|endoftext|><|endoftext|>", "x <|endoftext", " " * 1_500_000 + "b <|endoftext|> " + "^" * 1_500_000]
+    return [*out, None, "", "again", "again", "long text " * 9000, "x", *special]
 
 
 def check(rows, ids_of, length):
@@ -46,6 +47,7 @@ def test_pieces_are_whole_and_sequences_gapless(spark):
         got = op.pack(df, PATH, length, window=11, group=group).collect()
         n = check(got, ids_of, length)
         assert n <= 1.08 * total / length + 2 or length == 100
+        assert 50256 in ids_of[306] and ids_of[306].count(50256) == 2
     one = op.pack(df.where("doc_id = 304"), PATH, with_ids=True).collect()
     assert sum((r.ids for r in sorted(one, key=lambda r: r.piece)), []) == ids_of[304]
 
@@ -69,3 +71,19 @@ def test_best_fit_is_as_good_as_a_plain_search():
         assert sorted(plain) == sorted(filled.tolist())
         assert np.bincount(bins, sizes, len(filled)).tolist() == filled.tolist() if len(sizes) else len(filled) == 0
     assert op.cut(2500) == [(0, 452), (452, 1024), (1476, 1024)] and op.cut(1024) == [(0, 1024)] and op.cut(1) == [(0, 1)]
+
+
+def test_rounds_go_on_to_one_group_and_close_only_what_cannot_change(spark):
+    # many bins over a half that no other fits, and small ones that each fit one of them
+    sizes = [60] * 500 + [35] * 40 + [70] * 300 + [3] * 9
+    df = spark.createDataFrame([(k, s, [k], [0]) for k, s in enumerate(sizes)], op.BINS)
+    pieces = df.selectExpr("root as bin", "filled")
+    for group in (11, 10_000):
+        moves = {r.bin: (r.root, r.shift) for r in op.merged(pieces, 100, 2, group).collect()}
+        assert sorted(moves) == list(range(len(sizes)))
+        filled = {}
+        for b, (root, shift) in sorted(moves.items(), key=lambda x: x[1]):
+            assert filled.get(root, 0) == shift
+            filled[root] = shift + sizes[b]
+        # the 40 of 35 go behind a 60; the 3s close the gaps of 5 and 30
+        assert len(filled) == 800 and max(filled.values()) <= 100
