@@ -1,7 +1,15 @@
 """The document pipeline: each stage takes what its predecessor kept and stored.
 
 quality classifier -> quality rules -> exact dedup -> MinHash near-dedup -> packing.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents.  Both quality models
+learn from the whole documents table, so the second one sees what the first one
+rejects.
+
+Defined cases: null texts are empty, fail the base rules and go; rows with a null
+doc_id are judged like others; a row that repeats a doc_id and its text goes as an
+exact copy; rows that repeat a doc_id with other texts, or have none, come behind
+all others where near copies choose the row that stays; an empty table passes
+every stage as an empty table; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,36 +19,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
-from pairlens.llm.common import new_folder, table
+from pairlens.llm.common import new_folder, small_side, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Documents whose five-word shingles agree on this per cent of their union are near copies.
 NEAR_PERCENT = 80
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, made longer until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.classify(docs, model)
-    return scored.where(F.col("__quality") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    model = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    score = unused(docs, "__quality")
+    scored = quality_classifier.classify(docs, model, score)
+    return scored.where(F.col(score) >= quality_classifier.THRESHOLD).select(*docs.columns)
 
 
 def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet the base rules and that the boosted trees accept."""
-    forest = quality_rules.train(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, forest).where("__verdict.kept").select(*docs.columns)
+    forest = quality_rules.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    verdict = unused(docs, "__verdict")
+    return quality_rules.judge(docs, forest, out=verdict).where(F.col(verdict)["kept"]).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that with the largest id."""
-    kept = exact_dedup.deduplicate(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each group of equal texts: one with the largest id."""
+    digest, many, own = (unused(docs, x) for x in ("__digest", "__many", "__id"))
+    kept = exact_dedup.deduplicate(docs).where("kept").groupBy(F.col("doc_id").alias(own), F.col("text_sha256").alias(digest)).agg(F.count("*").alias(many))
+    kept = stored(kept, "kept")
+    text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    met = docs.join(small_side(kept), (text == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    if kept.where(F.col(many) > 1).limit(1).count():  # an id and text that rows repeat are kept once
+        met = met.where(F.col(many) == 1).unionByName(met.where(F.col(many) > 1).dropDuplicates([own, digest]))
+    return met.select(*docs.columns)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with column `name`, a number of each row: its doc_id, or beyond all ids for rows whose id is null or not its own."""
+    doubt = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id", F.lit(True).alias(name)), "doubt")
+    if not doubt.limit(1).count():
+        return docs.withColumn(name, F.col("doc_id"))
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    met = docs.join(small_side(doubt.withColumnRenamed("doc_id", name + "id")), F.col("doc_id").eqNullSafe(F.col(name + "id")), "left")
+    # the numbers are written once, so that no later run of a task deals others
+    return stored(met.withColumn(name, F.when(F.col(name), F.monotonically_increasing_id() + 1 + top).otherwise(F.col("doc_id"))).select(*docs.columns, name), "numbered")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    kept = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each group of near-duplicates: that with the smallest number."""
+    number = unused(docs, "__number")
+    rows = numbered(docs, number)
+    found = near_dedup.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), NEAR_PERCENT)
+    kept = stored(found.where("kept").select(F.col("doc_id").alias(number)), "kept")
+    return rows.join(small_side(kept), number, "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
