@@ -140,7 +140,10 @@ def labelled_matrix(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 def classify(docs: DataFrame, model: RuleEnsemble, out: str = "__quality") -> DataFrame:
     """docs with a column `out`: the probability that the text is of good quality."""
-    return textstats.with_stats(docs).withColumn(out, model.column(F.col("__stats"))).drop("__stats")
+    stats = out + "_stats"
+    while stats in docs.columns:
+        stats += "_"
+    return textstats.with_stats(docs, out=stats).withColumn(out, model.column(F.col(stats))).drop(stats)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, held: tuple[int, int] = HELD) -> RuleEnsemble:
