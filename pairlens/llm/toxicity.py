@@ -1,20 +1,26 @@
 """Toxicity: maximum-scoring segments of token log-odds, calibrated by extreme values.
 
-Tokens are lower-cased runs of letters.  From a bounded sample of labelled
-documents each token, and each prefix of four to six letters, gets a log-odds
-score between toxic and clean documents under an informative Dirichlet prior
-(the pooled frequencies); those that are clearly in favour of toxic form the
-lexicon, and every other token has the small negative score that makes the
-expectation over clean text negative.  A linear scan finds all maximal segments
-of a document; a segment of score S in n tokens has the expected number
-E = K n exp(-lambda S) in clean text, lambda from the score distribution and K
-from the segments of clean documents.  A document's score is a logistic function
-of the summed -log10 E of its significant segments.
+Tokens are lower-cased runs of letters.  In a bounded sample of labelled documents
+every token, and every prefix of four to six letters, has a share of toxic ones
+among the documents that hold it.  A Dirichlet prior shrinks the share towards
+that of the next shorter prefix, and in the end of all documents; the log-odds of
+the share against all documents, less a drift, is the score of the token.
+So each token has a score of its own, tokens never seen that of their longest
+known prefix, and clean words count against a passage.  Features in fewer than
+LEAST_DOCS documents, or that change their prefix's score by less than LEAST_STEP,
+score as that prefix.
+
+A linear scan finds all maximal segments of a document.  In n tokens of clean text
+the expected number of segments with a score of S or more is K n exp(-lambda S);
+both constants are the most likely ones for the best segments of all clean sample
+documents (those without any count as censored).  A document's score is a logistic
+function of the summed -log10 of that number over its significant segments.  If
+the sample is large enough, a part that the shares have not seen calibrates.
 
 Defined cases: null and empty texts have no segment and get the lowest score; a
 null doc_id is never held out; repeated rows are scored each; without labels of
-both classes the lexicon is empty and all scores are equal to the base rate (0
-without labels); extra columns are not read.
+both classes all scores are equal to the base rate (0 without labels); extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,24 +28,26 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import bucket, label_sample
+from pairlens.llm.common import bucket, label_sample, stored
 
 #: Labelled rows to learn from, at most (about).
 SAMPLE = 24_000
 HELD = (4, 2)
 THRESHOLD = 0.3
-#: Weight of the prior in documents, least toxic documents of a lexicon entry, and its least z-score and log-odds.
-PRIOR, LEAST_DOCS, LEAST_Z, LEAST_ODDS = 10.0, 4, 2.5, 2.0
+#: Weight of the prior in documents, what each token's score is lowered by, and the two limits of a feature.
+PRIOR, DRIFT, LEAST_DOCS, LEAST_STEP = 20.0, 1.5, 3, 0.05
 PREFIXES = (4, 5, 6)
 #: Segments expected less often than this in clean text of the document's length are significant.
 SIGNIFICANT = 0.05
+#: One of so many documents calibrates if it gives this many of either class; else all do both.
+CALIBRATE, ENOUGH = 4, 100
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -52,30 +60,43 @@ def features_of(token: str) -> list[str]:
     return [token, *[f"{token[:k]}*" for k in reversed(PREFIXES) if len(token) >= k]]
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio of each feature and its z-score, with a Dirichlet prior in proportion to pooled counts."""
-    alpha = prior * (toxic + clean) / max(1.0, n_toxic + n_clean)
-    a, b = toxic + alpha, clean + alpha
-    odds = np.log(a / np.maximum(n_toxic + prior - a, 1e-9)) - np.log(b / np.maximum(n_clean + prior - b, 1e-9))
-    return odds, odds / np.sqrt(1 / a + 1 / b)
+def log_odds(counts: dict[str, tuple[int, int]], n_clean: int, n_toxic: int, prior: float = PRIOR, step: float = LEAST_STEP) -> dict[str, float]:
+    """Log-odds of each feature against all documents; counts: (clean, toxic) documents that hold it."""
+    root = n_toxic / (n_toxic + n_clean)
+    share, out = {"": root}, {"": 0.0}
+    logit = lambda p: float(np.log(p / (1 - p)))
+    # prefixes before tokens, short ones first, so that what a feature falls back to is known
+    for f in sorted(counts, key=lambda f: (f[-1] != "*", len(f), f)):
+        above = next((g for g in _above(f) if g in share), "")
+        clean, toxic = counts[f]
+        share[f] = (toxic + prior * share[above]) / (toxic + clean + prior)
+        out[f] = logit(share[f]) - logit(root)
+        if abs(out[f] - out[above]) < step:
+            del share[f], out[f]
+    del out[""]
+    return out
 
 
-def segments(places: np.ndarray, weights: np.ndarray, other: float) -> list[tuple[int, int, float]]:
+def _above(feature: str) -> list[str]:
+    """What a feature falls back to, nearest first."""
+    if feature[-1:] == "*":
+        return [f"{feature[:k]}*" for k in reversed(PREFIXES) if k < len(feature) - 1]
+    return features_of(feature)[1:]
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score), in linear time.
 
-    places and weights give the tokens of positive score; every other token
-    scores `other`, below zero.  Each candidate carries the cumulative score
-    before and behind it; a new one is joined to the nearest candidate with a
-    smaller score before it unless that one ends higher.
+    Each candidate carries the cumulative score before and behind it; a new one is
+    joined to the nearest candidate with a smaller score before it unless that one
+    ends higher.
     """
     out: list[tuple[int, int, float, float]] = []
     lower: list[int] = []  # for each candidate, the nearest earlier one that starts lower
-    total, last = 0.0, -1
-    for p, w in zip(places.tolist(), weights.tolist(), strict=True):
-        total += other * (p - last - 1)
-        first, before, last = p, total, p
-        total += w
-        behind = total
+    total = np.concatenate([[0.0], np.cumsum(scores)])
+    places = np.flatnonzero(scores > 0)
+    for p, before, behind in zip(places.tolist(), total[places].tolist(), total[places + 1].tolist(), strict=True):
+        first = p
         k = len(out) - 1
         while True:
             while k >= 0 and out[k][2] >= before:
@@ -92,36 +113,42 @@ def segments(places: np.ndarray, weights: np.ndarray, other: float) -> list[tupl
 
 @dataclass
 class Model:
-    lexicon: dict[str, float]
-    other: float  # score of a token outside the lexicon
-    decay: float  # lambda
-    scale: float  # K
+    odds: dict[str, float]
+    decay: float = 1.0  # lambda
+    scale: float = 1.0  # K
     intercept: float = 0.0
     slope: float = 1.0
+    known: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def score(self, token: str) -> float:
+        if (w := self.known.get(token)) is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            w = self.known[token] = next((self.odds[f] for f in features_of(token) if f in self.odds), 0.0) - DRIFT
+        return w
+
+    def scores(self, text: str | None) -> np.ndarray:
+        return np.array([self.score(x) for x in tokens_of(text)], float)
 
-    def weight(self, token: str) -> float:
-        for f in features_of(token):
-            if (w := self.lexicon.get(f)) is not None:
-                return w
-        return 0.0
+    def best(self, text: str | None) -> tuple[int, float]:
+        """Tokens of the text and the score of its best segment (0 without one)."""
+        s = self.scores(text)
+        return len(s), max((x for *_, x in segments(s)), default=0.0)
 
     def scored(self, texts: list[str | None]) -> tuple[list[list[tuple[int, int, float, float]]], np.ndarray]:
         """Significant segments of each text as (first, last, score, expected), and each text's evidence."""
         found, evidence = [], np.zeros(len(texts))
-        cache: dict[str, float] = {}
         for k, t in enumerate(texts):
-            own = tokens_of(t)
-            for x in set(own).difference(cache):
-                cache[x] = self.weight(x)
-            w = np.fromiter(map(cache.__getitem__, own), float, len(own))
-            places = np.flatnonzero(w)
+            s = self.scores(t)
+            # what a segment must score to be significant
+            least = np.log(self.scale * len(s) / SIGNIFICANT) / self.decay if len(s) else 0.0
             kept = []
-            if len(places):
-                for a, b, s in segments(places, w[places], self.other):
-                    expected = self.scale * len(own) * np.exp(-self.decay * s)
+            if s[s > 0].sum() >= least:
+                for a, b, x in segments(s):
+                    expected = self.scale * len(s) * np.exp(-self.decay * x)
                     if expected <= SIGNIFICANT:
-                        kept.append((a, b, float(s), float(expected)))
-                evidence[k] = sum(-np.log10(max(x[3], 1e-300)) for x in kept)
+                        kept.append((a, b, float(x), float(expected)))
+            evidence[k] = sum(-np.log10(max(x[3], 1e-300)) for x in kept)
             found.append(kept)
         return found, evidence
 
@@ -129,115 +156,100 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * np.log1p(evidence), -40, 40)))
 
 
-def _decay(rates: np.ndarray, scores: np.ndarray, other: float) -> float:
-    """The positive root of E[exp(x * score)] = 1 under the clean distribution."""
-    rest = max(0.0, 1 - rates.sum())
-    low, high = 1e-6, 1.0
-    value = lambda x: float((rates * np.exp(np.minimum(x * scores, 700))).sum() + rest * np.exp(x * other))
-    while value(high) < 1 and high < 64:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if value(mid) < 1 else (low, mid)
-    return (low + high) / 2
+def extreme_values(size: np.ndarray, best: np.ndarray) -> tuple[float, float]:
+    """lambda and K that make the best segments (0: none) of texts of these sizes most likely.
+
+    The best score of n tokens is below S with the probability exp(-K n exp(-lambda S)).
+    """
+    some = best > 0
+    if some.sum() < 2:
+        return 1.0, float((some.sum() + 1) / max(1, size.sum()))
+
+    def at(decay: float) -> tuple[float, float]:
+        mass = float((size * np.exp(-decay * best)).sum())
+        scale = some.sum() / mass
+        return float(some.sum() * (np.log(decay) + np.log(scale)) - decay * best[some].sum() - scale * mass), scale
+
+    low, high, ratio = np.log(0.01), np.log(20.0), (5**0.5 - 1) / 2
+    for _ in range(80):  # golden section
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (a, high) if at(np.exp(a))[0] < at(np.exp(b))[0] else (low, b)
+    decay = float(np.exp((low + high) / 2))
+    return decay, float(at(decay)[1])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[float, float]:
+    """Intercept and slope (not below 0) by Newton steps with a small ridge on the slope."""
+    rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    a, s = float(np.log(rate / (1 - rate))), 1.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a + s * x, -40, 40)))
+        w = np.maximum(p * (1 - p), 1e-6)
+        g = np.array([(p - y).sum(), ((p - y) * x).sum() + 0.01 * s])
+        h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.01]])
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        a, s = a - step[0], s - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(a), float(max(s, 0.0))
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(feature, y, docs): in how many documents of each class a feature is; the empty feature counts documents."""
+    """(feature, d0, d1): how many documents of each class hold a feature; the empty feature counts documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
+            for start in range(0, b.num_rows, 2000):
+                part = b.slice(start, 2000)
                 found: tuple[Counter, Counter] = (Counter(), Counter())
                 for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found[y].update({f for x in set(tokens_of(t)) for f in features_of(x)})
                     found[y][""] += 1
-                for y in (0, 1):
-                    yield pa.RecordBatch.from_pydict({"feature": pa.array(found[y].keys(), pa.string()), "y": pa.array([y] * len(found[y]), pa.int32()), "docs": pa.array(found[y].values(), pa.int64())})
+                names = list(found[0] | found[1])
+                yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "d0": pa.array([found[0][f] for f in names], pa.int64()), "d1": pa.array([found[1][f] for f in names], pa.int64())})
 
-    return sample.select("text", "y").mapInArrow(run, "feature string, y int, docs long").groupBy("feature", "y").agg(F.sum("docs").alias("docs"))
+    return sample.select("text", "y").mapInArrow(run, "feature string, d0 long, d1 long").groupBy("feature").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, held: tuple[int, int] = HELD) -> Model:
     sample = label_sample(labels, "toxic", *held, bound)
     parts = docs.sparkSession.sparkContext.defaultParallelism
-    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").repartition(parts)
-    wide = _counts(met).groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("y") == y, F.col("docs"))), F.lit(0)).alias(f"d{y}") for y in (0, 1)])
-    total = wide.where("feature = ''").collect()
-    n0, n1 = (total[0]["d0"], total[0]["d1"]) if total else (0, 0)
-    if not n0 or not n1:
-        p = np.clip(n1 / (n0 + n1), 0.0, 1.0) if n0 + n1 else 0.0
-        return Model({}, -1.0, 1.0, 1.0, float(np.log(max(p, 1e-6) / max(1 - p, 1e-6))), 0.0)
-    rows = wide.where(f"feature <> '' and d1 >= {LEAST_DOCS} and d1 * {n0} >= 4 * d0 * {n1}").collect()
-    rows.sort(key=lambda r: r["feature"])
-    t, c = np.array([r["d1"] for r in rows], float), np.array([r["d0"] for r in rows], float)
-    odds, z = log_odds(t, c, n1, n0)
-    keep = (z >= LEAST_Z) & (odds >= LEAST_ODDS)
-    lexicon = {r["feature"]: float(w) for r, w, k in zip(rows, odds, keep, strict=True) if k}
-    return calibrated(met, lexicon)
-
-
-def calibrated(sample: DataFrame, lexicon: dict[str, float], rounds: int = 300) -> Model:
-    """The model of a lexicon: token rates and segments of the sample, by class, set its constants."""
-    first = Model(lexicon, -1.0, 1.0, 1.0)
-
-    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, float], int] = {}
-        cache: dict[str, float] = {}
-        for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for x, n in Counter(tokens_of(t)).items():
-                    if (w := cache.get(x)) is None:
-                        w = cache[x] = first.weight(x)
-                    found[y, w] = found.get((y, w), 0) + n
-        yield pa.RecordBatch.from_pydict({"y": pa.array([k[0] for k in found], pa.int32()), "w": pa.array([k[1] for k in found], pa.float64()), "n": pa.array(found.values(), pa.int64())})
-
-    got = sample.select("text", "y").mapInArrow(rates, "y int, w double, n long").groupBy("y", "w").agg(F.sum("n").alias("n")).toPandas()
-    n = {y: max(1, int(got.loc[got["y"] == y, "n"].sum())) for y in (0, 1)}
-    hit = {y: int(got.loc[(got["y"] == y) & (got["w"] > 0), "n"].sum()) for y in (0, 1)}
-    part = {y: (hit[y] + (0.5 if y == 0 else 1)) / (n[y] + 1) for y in (0, 1)}
-    other = float(np.log((1 - part[1]) / (1 - part[0]))) if part[1] > part[0] else -1e-3
-    clean = got[(got["y"] == 0) & (got["w"] > 0)]
-    scores = np.append(clean["w"].to_numpy(float), np.mean(list(lexicon.values())) if lexicon else 1.0)
-    weights = np.append(clean["n"].to_numpy(float), 0.5) / (n[0] + 0.5)
-    model = Model(lexicon, min(other, -1e-4), _decay(weights, scores, min(other, -1e-4)), 1.0)
+    own = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(CALIBRATE)) == 0
+    met = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").select("text", "y", own.alias("late")).repartition(parts)
+    met = stored(met, "sample")
+    many = {(r.late, r.y): r["count"] for r in met.groupBy("late", "y").count().collect()}
+    if not all(sum(n for (_, y), n in many.items() if y == k) for k in (0, 1)):
+        n = sum(many.values())
+        p = np.clip(sum(k for (_, y), k in many.items() if y) / n, 0.0, 1.0) if n else 0.0
+        return Model({}, intercept=float(np.log(max(p, 1e-6) / max(1 - p, 1e-6))), slope=0.0)
+    apart = all(many.get((late, y), 0) >= ENOUGH for late in (True, False) for y in (0, 1))
+    rows = _counts(met.where("not late") if apart else met).where(F.col("d0") + F.col("d1") >= LEAST_DOCS).collect()
+    counts = {r.feature: (r.d0, r.d1) for r in rows}
+    n0, n1 = counts.pop("", None) or (max(1, sum(n for (_, y), n in many.items() if not y)), sum(n for (_, y), n in many.items() if y))
+    return calibrated(met.where("late") if apart else met, log_odds(counts, n0, n1))
+
+
+def calibrated(sample: DataFrame, odds: dict[str, float]) -> Model:
+    """The model of these log-odds: the best segments of clean texts and the evidence of all set its constants."""
+    model = Model(odds)
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def heights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            best, size = [], []
-            for t in texts:
-                own = tokens_of(t)
-                w = np.array([model.weight(x) for x in own])
-                places = np.flatnonzero(w)
-                best.append(max((s for *_, s in segments(places, w[places], model.other)), default=0.0) if len(places) else 0.0)
-                size.append(len(own))
-            yield pa.RecordBatch.from_pydict({"y": b.column(1), "best": pa.array(best, pa.float64()), "size": pa.array(size, pa.int64())})
-
-    high = sample.where("y = 0").select("text", "y").mapInArrow(heights, "y int, best double, size long").toPandas()
-    if len(high):
-        least = float(min(lexicon.values(), default=1.0))
-        over = int((high["best"] >= least).sum())
-        model.scale = float((over + 1) / max(1e-9, (high["size"] * np.exp(-model.decay * least)).sum()))
+            found = [shared.value.best(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"size": pa.array([n for n, _ in found], pa.int64()), "best": pa.array([s for _, s in found], pa.float64())})
+
+    high = sample.where("y = 0").select("text").mapInArrow(heights, "size long, best double").toPandas()
+    high = high[high["size"] > 0].sort_values(["size", "best"])
+    model.decay, model.scale = extreme_values(high["size"].to_numpy(float), high["best"].to_numpy(float))
+    fitted = sample.sparkSession.sparkContext.broadcast(model)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"y": b.column(1), "x": pa.array(model.scored(b.column(0).to_pylist())[1])})
+            yield pa.RecordBatch.from_pydict({"y": b.column(1), "x": pa.array(fitted.value.scored(b.column(0).to_pylist())[1])})
 
-    both = sample.select("text", "y").mapInArrow(evidence, "y int, x double").toPandas()
-    x, y = np.log1p(both["x"].to_numpy(float)), both["y"].to_numpy(float)
-    a, s = float(np.log(y.mean() / (1 - y.mean()))), 1.0
-    for _ in range(rounds):  # Newton steps with a small ridge on the slope
-        p = 1 / (1 + np.exp(-np.clip(a + s * x, -40, 40)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([(p - y).sum(), ((p - y) * x).sum() + 0.01 * s])
-        h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.01]])
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, s = a - step[0], s - step[1]
-        if np.abs(step).max() < 1e-9:
-            break
-    model.intercept, model.slope = float(a), float(max(s, 0.0))
+    both = sample.select("text", "y").mapInArrow(evidence, "y int, x double").toPandas().sort_values(["y", "x"])
+    model.intercept, model.slope = logistic(np.log1p(both["x"].to_numpy(float)), both["y"].to_numpy(float))
     return model
 
 
@@ -248,7 +260,10 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the significant segments (token places, inclusive) of every row of docs (doc_id, text)."""
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
