@@ -1,10 +1,13 @@
 """Exact dedup: a log-structured merge index of text digests with byte verification.
 
 Every task fills a memtable (digest -> identifiers, texts held to verify hits in
-it byte by byte) and flushes it, sorted by digest, as a run in the shared
-folder.  Compaction then merges the runs of a digest range level by level: a
-filter on the larger level tells which digests can be in it at all, a binary
-search finds those that are, and each digest keeps one identifier and a count.
+it byte by byte) and flushes it, sorted by digest, as a run with a filter in the
+shared folder.  The filter holds the cells (32 bits) of the run's digests.  Filters
+are consulted before any entry moves: an entry whose cell no other run has is alone
+and stays where it is.  Compaction then merges the other entries of a digest range
+level by level: a bit filter on the larger level tells which digests can be in it
+at all, a binary search finds those that are, and each digest keeps one identifier
+and a count.  Where more cells are shared than may be broadcast, all entries go.
 Hits across runs are verified on whole texts before they count; entries whose
 bytes differ from the kept text's (digest collisions) are compacted again among
 themselves until none is left.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import small_side, stored
+from pairlens.llm.common import BROADCAST_ROWS, small_side, stored
 
 #: A memtable is flushed at this many rows or bytes of text.
 MEMTABLE_ROWS, MEMTABLE_BYTES = 20_000, 32 << 20
@@ -37,8 +40,10 @@ MEMTABLE_ROWS, MEMTABLE_BYTES = 20_000, 32 << 20
 SHARD_ENTRIES = 100_000
 FILTER_BITS, FILTER_HASHES = 10, 4
 
-RUNS = "run long, digest binary, variant int, top long, n long, members array<long>"
-_RUNS_ARROW = pa.schema([("run", pa.int64()), ("digest", pa.binary()), ("variant", pa.int32()), ("top", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
+RUNS = "run long, digest binary, variant int, top long, n long, members array<long>, cell int, filter binary"
+_RUNS_ARROW = pa.schema(
+    [("run", pa.int64()), ("digest", pa.binary()), ("variant", pa.int32()), ("top", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64())), ("cell", pa.int32()), ("filter", pa.binary())]
+)
 
 
 def sha256(raw: bytes) -> bytes:
@@ -67,11 +72,31 @@ class Memtable:
         variants.append([raw, doc_id, [doc_id]])
 
     def flush(self, run: int) -> pa.RecordBatch:
-        """The sorted run: an entry for each digest and distinct text."""
-        rows = [(run, d, k, v[1], len(v[2]), v[2]) for d in sorted(self.found) for k, v in enumerate(self.found[d])]
+        """The sorted run: an entry for each digest and distinct text, and behind them the run's filter."""
+        rows = [(run, d, k, v[1], len(v[2]), v[2], cell_of(d), None) for d in sorted(self.found) for k, v in enumerate(self.found[d])]
+        cells = np.unique(np.array([r[6] for r in rows], np.int32))
+        rows.append((run, None, None, None, None, None, None, cells.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RUNS_ARROW.types, strict=True)], schema=_RUNS_ARROW)
 
 
+def cell_of(digest: bytes) -> int:
+    """The cell of a digest in the filters."""
+    return int.from_bytes(digest[:4].ljust(4, b"\0"), "little", signed=True)
+
+
+def shared_cells(runs: DataFrame) -> DataFrame:
+    """(cell) that the filters of two or more runs hold, or that two texts of one digest in a run do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()]
+            cells, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], names=["cell", "n"])
+
+    found = runs.where("filter is not null").select("filter").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return found.where("n > 1").select("cell").union(runs.where("variant > 0").select("cell")).distinct()
+
+
 def flush_runs(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, most_rows: int = MEMTABLE_ROWS, most_bytes: int = MEMTABLE_BYTES) -> DataFrame:
     """Sorted runs of a table with columns doc_id and text; entries as in RUNS."""
 
@@ -191,10 +216,14 @@ def texts_of(docs: DataFrame, ids: DataFrame, digest: Callable[[bytes], bytes])
 
 def classes(docs: DataFrame, runs: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
     """(run, digest, variant, keep, size) for the entries whose digest other entries have too, bytes verified."""
-    pending = runs.select("run", "digest", "variant", F.coalesce("top", F.lit(_NO_ID)).alias("top"), "n")
+    pending = runs.where("filter is null").select("run", "digest", "variant", F.coalesce("top", F.lit(_NO_ID)).alias("top"), "n", "cell")
+    met = stored(shared_cells(runs), "cells")
+    if met.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pending = pending.join(F.broadcast(met), "cell", "left_semi")
+    pending = pending.drop("cell")
     done = None
     while True:
-        shared = compaction(pending).where(F.col("entries") > 1).select("digest", "keep")
+        shared = compaction(stored(pending, "entries")).where(F.col("entries") > 1).select("digest", "keep")
         hits = stored(pending.join(shared, "digest"), "hits")
         ids = hits.select("top").union(hits.select("keep"))
         texts = texts_of(docs, ids, digest)
@@ -221,7 +250,7 @@ def deduplicate(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, most
     """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs (doc_id, text)."""
     runs = stored(flush_runs(docs, digest, most_rows, most_bytes), "runs")
     met = classes(docs, runs, digest)
-    out = runs.join(met, ["run", "digest", "variant"], "left")
+    out = runs.where("filter is null").join(met, ["run", "digest", "variant"], "left")
     keep = F.when(F.col("size").isNull(), F.col("top")).otherwise(F.col("keep"))
     return out.select(
         F.explode("members").alias("doc_id"), keep.alias("keep_id"), F.coalesce("size", "n").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256")

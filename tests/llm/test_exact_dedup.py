@@ -68,3 +68,17 @@ def test_levels_merge_like_a_dictionary():
     assert dict(zip(out.digests.tolist(), zip(out.top.tolist(), out.n.tolist(), strict=True), strict=True)) == truth
     assert (out.digests[1:] > out.digests[:-1]).all()
     assert (out.find(np.array([b"absent"], "S32")) == -1).all()
+
+
+def test_filters_hold_back_entries_that_are_alone(spark):
+    df = spark.createDataFrame(sample(), SCHEMA).repartition(6)
+    runs = op.flush_runs(df, most_rows=40).cache()
+    cells = {}
+    for r in runs.where("filter is not null").collect():
+        own = {e.cell for e in runs.where(f"filter is null and run = {r.run}").collect()}
+        assert set(np.frombuffer(r["filter"], np.int32).tolist()) == own
+        for c in own:
+            cells[c] = cells.get(c, 0) + 1
+    assert {r.cell for r in op.shared_cells(runs).collect()} == {c for c, n in cells.items() if n > 1}
+    alone = [r for r in runs.where("filter is null").collect() if cells[r.cell] == 1]
+    assert alone and all(op.cell_of(bytes(r.digest)) == r.cell for r in alone)
