@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: Rows up to which a two-column key table may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+#: Keys of a table that may be broadcast because they are hot, or because there are no more.
+HOT_KEYS = 20_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -20,11 +26,13 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a temporary folder takes its place.
+    Only where that is unset on a local master (tests, one machine) a temporary folder takes its place.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='pairlens-')}")
         found = sc.getCheckpointDir()
@@ -50,8 +58,8 @@ def _remove_all() -> None:
     for spark, path in _made:
         try:
             remove(spark, path)
-        except Exception:  # the JVM may have gone first  # noqa: BLE001
-            return
+        except Exception:  # one folder may be gone already, or the JVM  # noqa: BLE001
+            continue
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -76,6 +84,35 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def join_hot(rows: DataFrame, one: DataFrame, key: str, count: str, how: str = "inner", most: int = HOT_KEYS) -> DataFrame:
+    """rows joined with `one`, a stored table of one row a key whose column `count` says how many of the rows share it.
+
+    A table of at most `most` keys is broadcast.  Of a larger one only the keys
+    that hold more than that part of all counted rows are, which cannot be more
+    than `most`; rows of the other keys shuffle, and none of those keys is hot.
+    """
+    if one.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(one.drop(count)), key, how)
+    total = one.agg(F.sum(count)).first()[0]
+    hot = F.broadcast(one.where(F.col(count) * most > total).drop(count))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(one.drop(count), key, how))
+
+
+def runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive slices whose sizes add up to about `most`."""
+    if len(sizes):
+        group = (np.cumsum(sizes) - sizes) // most
+        cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        yield from map(slice, cuts[:-1], cuts[1:])
+
+
+def text_runs(b: pa.RecordBatch, column: int = 1, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about `most` bytes."""
+    for k in runs(pc.binary_length(b.column(column)).fill_null(0).to_numpy() + 16, most):
+        yield b.slice(k.start, k.stop - k.start)
+
+
 def label_sample(labels: DataFrame, label: str, modulus: int, held: int, bound: int, seed: int = 1) -> DataFrame:
     """(doc_id, y): one row a labelled document outside the held-out bucket, about `bound` at most.
 

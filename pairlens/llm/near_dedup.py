@@ -11,7 +11,8 @@ Links: identical sets share a representative.  Coordinates are cut into bands;
 in every bucket of a band all members are compared with one pivot (another one
 in each bucket), exactly, on full sets.  Documents so linked form components; a
 bucket that still holds several of them goes on: documents that meet in such
-buckets form a cluster, which is cut into blocks of bounded size, and every pair
+buckets form a cluster.  Large clusters meet fresh pivots for some rounds; what then is
+not one component is cut into blocks of bounded size, and every pair
 of blocks is settled on full sets, where sketches rule out pairs far below the
 threshold.  No cap on bucket sizes, and no list of pairs within a group.
 
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import small_side, stored
+from pairlens.llm.common import join_hot, small_side, stored, text_runs
 from pairlens.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 30, 6
@@ -45,7 +46,9 @@ PERCENT = 85
 #: Pairs whose sketches agree on less than this part are not linked.
 SKETCH_LEAST = 0.65
 #: Members of a bucket that are compared in one block.
-BLOCK = 512
+BLOCK = 256
+#: Rounds in which large clusters meet a fresh pivot, and pivots whose sets may be broadcast.
+ROUNDS, PIVOTS = 8, 200
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -123,8 +126,7 @@ def signatures(docs: DataFrame, bands: int = BANDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, b.num_rows, 400):
-                part = b.slice(start, 400)
+            for part in text_runs(b):
                 sets = [shingle_set(x) for x in part.column(1).to_pylist()]
                 sk = sketches(sets)
                 keys = band_keys(sk, bands)
@@ -149,8 +151,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, b.num_rows, 400):
-                part = b.slice(start, 400)
+            for part in text_runs(b):
                 sets = [shingle_set(x).view(np.int64) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
@@ -158,6 +159,14 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return met.join(small_side(ids.select("id").distinct()), "id", "left_semi").mapInArrow(run, "id long, members array<long>").dropDuplicates(["id"])
 
 
+def meets(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two sets share `percent` of their union."""
+    both = np.concatenate([u, v])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of pairs (a, b) whose full sets meet the threshold."""
     sets = stored(sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), "sets")
@@ -165,13 +174,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             s, t = x.column(2), x.column(3)
-            ok = []
-            for k in range(x.num_rows):
-                u, v = s[k].values.to_numpy(), t[k].values.to_numpy()
-                both = np.concatenate([u, v])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
+            ok = [meets(s[k].values.to_numpy(), t[k].values.to_numpy(), percent) for k in range(x.num_rows)]
             yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("t")), "b")
@@ -224,17 +227,85 @@ def links_between(left: np.ndarray, right: np.ndarray, comp: np.ndarray, sketch:
     return out
 
 
+def peeled(members: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, block: int | None = None) -> tuple[list[DataFrame], DataFrame]:
+    """Links (a, b) of large clusters to fresh pivots, and the members with the components that those links make.
+
+    In each round a cluster of more than `block` members shows one member, drawn
+    by a hash and so likely of a large component, to all that are not of its
+    component.  Large groups of near copies join their pivot so, and leave the
+    pairs of blocks.
+    """
+    links, least, block = [], sketch_least(percent), block or BLOCK
+    for k in range(rounds):
+        salted = members.withColumn("turn", F.xxhash64("id", F.lit(k)))
+        own = salted.groupBy("cluster").agg(F.count("*").alias("m"), F.min(F.struct("turn", "id", "comp", "sketch")).alias("p")).where(F.col("m") > block)
+        own = stored(own.select("cluster", "m", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pc"), F.col("p.sketch").alias("ps")), "pivots")
+        if not own.limit(1).count():
+            break
+        sets = members.join(own.select(F.col("pivot").alias("id")), "id").select(F.col("id").alias("pivot"), F.col("members").alias("other"))
+        met = join_hot(members, stored(own.join(sets, "pivot"), "pivots"), "cluster", "m", most=PIVOTS).where("comp <> pc")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                u, v = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(x.num_rows, -1) for k in (2, 3))
+                x = x.filter(pa.array((u == v).mean(1) >= least))
+                ok = [meets(s.values.to_numpy(), t.values.to_numpy(), percent) for s, t in zip(x.column(4), x.column(5), strict=True)]
+                yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+        found = stored(met.select(F.col("id").alias("a"), F.col("pivot").alias("b"), "sketch", "ps", "members", "other").mapInArrow(run, "a long, b long"), "links")
+        if not found.limit(1).count():
+            continue
+        links.append(found)
+        # components of the cluster's components: what met the pivot takes the smallest of their labels
+        named = members.select(F.col("id"), "comp")
+        ends = found.join(named.withColumnsRenamed({"id": "a", "comp": "x"}), "a").join(named.withColumnsRenamed({"id": "b", "comp": "y"}), "b")
+        comp = stored(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()), "component").select(F.col("id").alias("comp"), "component")
+        members = stored(members.join(small_side(comp), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component"), "peeled")
+        # a cluster that is one component now is settled
+        open_ = members.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster")
+        members = stored(members.join(small_side(open_), "cluster", "left_semi"), "peeled")
+    return links, members
+
+
+def paired_blocks(members: DataFrame) -> DataFrame:
+    """A row of members (as for `across`) for each pair of blocks (i, j) that it is in, with its own block.
+
+    Blocks have about BLOCK rows.  Components of more than half a block have
+    blocks of their own, and blocks of one component are not paired: a cluster of
+    one large component and few other rows costs no more than those rows against it.
+    """
+    comps = stored(members.groupBy("cluster", "comp").agg(F.count("*").alias("n")), "comps")
+    large = F.col("n") > BLOCK // 2
+    rest = comps.groupBy("cluster").agg(F.sum("n").alias("m"), F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)).alias("small"))
+    # a component's blocks: its own ones, or one among those of all small components
+    blocks = comps.join(rest.select("cluster", "small"), "cluster").select(
+        "cluster", F.when(large, F.col("comp")).alias("g"), F.explode(F.sequence(F.lit(0), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / BLOCK).cast("int") - 1)).alias("h")
+    )
+    label = lambda g, h: F.xxhash64(F.coalesce(g.cast("string"), F.lit("small")), h)
+    listed = blocks.distinct().groupBy("cluster").agg(F.collect_list(F.struct(label(F.col("g"), F.col("h")).alias("own"), "g")).alias("blocks"))
+    listed = stored(rest.join(listed, "cluster"), "blocks")
+    sized = stored(comps.where(large).select("cluster", F.col("comp"), F.col("n").alias("own_n"), "n"), "large")
+    # a large component is found by (cluster, comp) in one value, so that a hot one is met without moving its rows
+    both = lambda df: df.withColumn("__at", F.xxhash64("cluster", "comp"))
+    dealt = join_hot(both(members), both(sized).select("__at", "own_n", "n"), "__at", "n", "left").drop("__at")
+    dealt = join_hot(dealt, listed, "cluster", "m")
+    g = F.when(F.col("own_n").isNotNull(), F.col("comp"))
+    h = F.when(g.isNotNull(), F.pmod(F.xxhash64("id"), F.ceil(F.col("own_n") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / BLOCK)))
+    dealt = dealt.withColumn("g", g).withColumn("own", label(F.col("g"), h.cast("int")))
+    others = F.filter("blocks", lambda x: F.col("g").isNull() | ~x["g"].eqNullSafe(F.col("g")))
+    dealt = dealt.withColumn("other", F.explode(F.transform(others, lambda x: x["own"])))
+    return dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch", "members")
+
+
 def across(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that join the components of a cluster; members: cluster, id, comp, sketch, members (the full set).
 
-    A cluster is cut into blocks of about BLOCK rows; a task sees two blocks at a
-    time, and gives no more links than it takes to join what is in them.
+    A task sees two blocks at a time, and gives no more links than it takes to
+    join what is in them.  Pairs of blocks are dealt over tasks one by one, also
+    those of one cluster.
     """
     least = sketch_least(percent)
-    size = members.groupBy("cluster").agg(F.count("*").alias("m"))
-    dealt = members.join(size, "cluster").withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    both = both.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sketch", "members")
+    both = paired_blocks(members)
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         ids, comp, own = (part.column(c).to_numpy() for c in ("id", "comp", "own"))
@@ -243,7 +314,7 @@ def across(members: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = links_between(np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py()), comp, sketch, sets, least, percent)
         return pa.table({"a": pa.array([ids[r] for r, _ in found], pa.int64()), "b": pa.array([ids[k] for _, k in found], pa.int64())})
 
-    return both.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    return both.repartition("cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _labelled(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -281,8 +352,10 @@ def link(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     # one cluster for what meets in such buckets, so that no pair is seen in every band
     cluster = stored(components(left.select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "cluster")
     part = _labelled(cluster.select("id", F.col("component").alias("cluster")), comp).join(reps.select("id", "sketch"), "id")
-    late = stored(across(part.join(sets_of(docs, cluster), "id"), percent), "links")
-    return links.union(late)
+    early, part = peeled(stored(part.join(sets_of(docs, cluster), "id"), "open"), percent)
+    for more in [*early, stored(across(part, percent), "links")]:
+        links = links.union(more)
+    return links
 
 
 def _similar(pairs: DataFrame, reps: DataFrame, least: float = SKETCH_LEAST) -> DataFrame:
@@ -302,8 +375,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     signed = stored(signatures(docs, banding(percent)[0]), "signed")
     known = signed.where("sig is not null and doc_id is not null")
-    rep = known.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    owned = stored(known.select("doc_id", "sig").join(rep, "sig").select("doc_id", "rep"), "owned")
+    rep = stored(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1"), "copies")
+    owned = join_hot(known.select("doc_id", "sig"), rep, "sig", "m", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    owned = stored(owned, "owned")
     reps = known.withColumnRenamed("doc_id", "id").join(owned.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "sig"]).select("id", "sketch", "bands")
     links = link(docs, stored(reps, "reps"), percent)
     edges = links.select("a", "b").union(owned.where("doc_id <> rep").select(F.col("rep"), F.col("doc_id")))

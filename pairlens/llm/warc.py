@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import new_folder
+from pairlens.llm.common import join_hot, new_folder, stored
 
 #: Fixed values of the formats: magic numbers, little-endian, and the revisit profile.
 SKIPPABLE, DICTIONARY, FRAME = 0x184D2A5D, 0xEC30A437, 0xFD2FB528
@@ -222,7 +222,7 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("same", F.sha2("payload", 256))
     groups = own.where(F.length("payload") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
-    joined = own.join(groups.where("n > 1").select("same", "keep"), "same", "left")
+    joined = join_hot(own, stored(groups.where("n > 1"), "groups"), "same", "n", "left")
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     return joined.select(
         "page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("keep")).alias("refers_to")

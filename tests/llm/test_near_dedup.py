@@ -115,3 +115,55 @@ def test_every_pair_of_a_cluster_is_settled():
             x = len(np.intersect1d(sets[a], sets[b]))
             if 100 * x >= 85 * (len(sets[a]) + len(sets[b]) - x):
                 assert root(a) == root(b)
+
+
+def clustered(rng, n, size=200, edits=40):
+    base = rng.integers(0, 2**62, size)
+    sets = []
+    for _ in range(n):
+        s = base.copy()
+        at = rng.choice(size, rng.integers(0, edits), replace=False)
+        s[at] = rng.integers(0, 2**62, len(at))
+        sets.append(np.unique(s))
+    return sets
+
+
+def test_large_clusters_take_several_blocks_and_pivots(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    # one large cluster with a group of close copies and loose ones, and a small cluster
+    sets = [*clustered(rng, 120, edits=9), *clustered(rng, 30, edits=40), *clustered(rng, 9)]
+    sk = (op.sketches([s.view(np.uint64) for s in sets]) & np.uint64(255)).astype(np.uint8)
+    rows = [(0 if k < 150 else 1, k, k, sk[k].tobytes(), sets[k].tolist()) for k in range(len(sets))]
+    members = spark.createDataFrame(rows, "cluster long, id long, comp long, sketch binary, members array<long>")
+    plan = op.across(members)._jdf.queryExecution().toString()
+    assert "repartition" in plan.lower() or "REPARTITION_BY_COL" in plan
+    pairs = {(a, b) for a in range(len(sets)) for b in range(a) if (a < 150) == (b < 150) and op.meets(sets[a], sets[b], 85)}
+    links, left = op.peeled(members, block=16)
+    # rows that met their pivots leave the pairs of blocks
+    assert links and op.paired_blocks(left).count() < 0.8 * op.paired_blocks(members).count()
+    cells = op.paired_blocks(members).groupBy("cluster", "i", "j").count().collect()
+    assert len(cells) > 40 and max(r["count"] for r in cells) < 80
+    found = [tuple(r) for df in [*links, op.across(left)] for r in df.collect()]
+    assert {(max(p), min(p)) for p in found} <= pairs
+    only = [tuple(r) for r in op.across(members).collect()]
+    for got in (found, only):
+        labels = {k: k for k in range(len(sets))}
+        for edges in (got, pairs):
+            for a, b in edges:
+                x, y = labels[a], labels[b]
+                if edges is pairs:
+                    assert x == y
+                elif x != y:
+                    labels = {k: (x if v == y else v) for k, v in labels.items()}
+
+
+def test_hot_keys_join_like_others(spark):
+    from pairlens.llm.common import join_hot
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)] + [(None, 1), (99, 2)], "key long, x long")
+    one = rows.where("key <> 99").groupBy("key").count().withColumn("v", rows["key"] * 2)
+    for most in (3, 100):
+        for how in ("inner", "left"):
+            want = sorted(map(tuple, rows.join(one.drop("count"), "key", how).collect()), key=str)
+            assert sorted(map(tuple, join_hot(rows, one, "key", "count", how, most).collect()), key=str) == want
