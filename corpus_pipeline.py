@@ -24,6 +24,8 @@ from pairlens.llm.common import new_folder, small_side, stored, table
 TOKENIZER = "byte_bpe_50k.json"
 #: Documents whose five-word shingles agree on this per cent of their union are near copies.
 NEAR_PERCENT = 80
+#: Rows up to which a stage's verdict is broadcast.
+FEW = 20_000
 
 
 def unused(docs: DataFrame, name: str) -> str:
@@ -55,7 +57,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = exact_dedup.deduplicate(docs).where("kept").groupBy(F.col("doc_id").alias(own), F.col("text_sha256").alias(digest)).agg(F.count("*").alias(many))
     kept = stored(kept, "kept")
     text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    met = docs.join(small_side(kept), (text == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    met = docs.join(small_side(kept, FEW), (text == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(own)))
     if kept.where(F.col(many) > 1).limit(1).count():  # an id and text that rows repeat are kept once
         met = met.where(F.col(many) == 1).unionByName(met.where(F.col(many) > 1).dropDuplicates([own, digest]))
     return met.select(*docs.columns)
@@ -77,8 +79,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     number = unused(docs, "__number")
     rows = numbered(docs, number)
     found = near_dedup.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), NEAR_PERCENT)
-    kept = stored(found.where("kept").select(F.col("doc_id").alias(number)), "kept")
-    return rows.join(small_side(kept), number, "left_semi").select(*docs.columns)
+    gone = stored(found.where("not kept").select(F.col("doc_id").alias(number)), "gone")
+    return rows.join(small_side(gone, FEW), number, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
