@@ -80,10 +80,11 @@ def cluster_error(df: DataFrame, cluster: str, value: str, by: list[str]) -> Dat
 def interval_alpha(df: DataFrame, item: str, value: str, by: list[str]) -> DataFrame:
     """Interval agreement alpha: one minus observed over expected squared distance.
 
-    Pairs within an item against pairs over all ratings of items with two or more,
-    both from sums and sums of squares, so no pairs are formed.
+    Pairs within an item against pairs over all ratings, those of singly rated
+    items included; both from sums and sums of squares, so no pairs are formed.
+    Null where no item has two ratings or all ratings are equal.
     """
-    per = df.where(F.col(value).isNotNull()).groupBy(*by, item).agg(F.count("*").alias("m"), F.sum(F.col(value).cast("double")).alias("s"), F.sum(F.col(value).cast("double") * F.col(value)).alias("q")).where("m > 1")
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, item).agg(F.count("*").alias("m"), F.sum(F.col(value).cast("double")).alias("s"), F.sum(F.col(value).cast("double") * F.col(value)).alias("q"))
     tot = per.groupBy(*by).agg(
         F.sum(F.col("m") * F.col("q") - F.col("s") * F.col("s")).alias("within"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"),
         F.sum("m").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),

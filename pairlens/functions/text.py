@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Number words and articles of answer normalisation (fixed values).
-NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
+NUMBER_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 ARTICLES = ["a", "an", "the"]
 
 
@@ -60,10 +60,20 @@ def strict_object(c: Column, fields: list[str], verdict: str, allowed: list[str]
     return F.when(whole & v.isNotNull() & typed & parts[verdict].isin(*allowed), parts)
 
 
+def _letter_first(t: Column) -> Column:
+    """a or b at the start of a lower-case answer, alone or in parentheses; empty if neither."""
+    return F.regexp_extract(t, r"(?U)\A\(?([ab])\)?(?:\s|\z|[.,:;])", 1)
+
+
+def _has_word(t: Column, word: str) -> Column:
+    return t.rlike(rf"(?U)\b{word}\b")
+
+
 def binary_answer(c: Column) -> Column:
-    """yes or no at the start of the answer, else the first mention; yes is tried first."""
-    t = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return F.when(t.rlike(r"^yes\b"), "yes").when(t.rlike(r"^no\b"), "no").when(t.rlike(r"\byes\b"), "yes").when(t.rlike(r"\bno\b"), "no")
+    """a or b: a leading letter, else a for the word no and b for the word yes (no is looked for first), else invalid."""
+    t = F.lower(strip(F.coalesce(c, F.lit("None"))))
+    letter = _letter_first(t)
+    return F.when(letter != "", letter).when(_has_word(t, "no"), "a").when(_has_word(t, "yes"), "b").otherwise("invalid")
 
 
 def bare_option(c: Column, letters: str = "ABC") -> Column:
@@ -79,10 +89,14 @@ def stray_choice(c: Column, letters: str = "ABC") -> Column:
 
 
 def choice(c: Column, options: Column) -> Column:
-    """Meaning of an answer: by stray letter through the option map, else by phrase ("inconsistent" first)."""
-    t = F.lower(F.coalesce(c, F.lit("")))
-    phrase = F.when(t.contains("inconsistent"), "inconsistent").when(t.contains("consistent"), "consistent").when(t.contains("absent"), "absent")
-    return F.coalesce(F.try_element_at(options, stray_choice(c)), phrase)
+    """Meaning of an answer: of its first stray letter by the option map (null if the map lacks it), else by phrase."""
+    t = strip(F.coalesce(c, F.lit("None")))
+    letter = F.regexp_extract(t, r"(?iU)\b([ABC])\b", 1)
+    said = F.trim(F.regexp_replace(F.lower(t), "[^a-z]+", " "))
+    phrase = F.when(said.contains("no corresponding record") | said.contains("record is not visible"), "absent")
+    for word in ("inconsistent", "consistent"):
+        phrase = phrase.when(said.contains(f"internally {word}") | (said == word), word)
+    return F.when(c.isNull(), None).when(letter != "", F.try_element_at(options, F.upper(letter))).otherwise(phrase)
 
 
 def reasoned(c: Column) -> Column:
@@ -94,12 +108,11 @@ def reasoned(c: Column) -> Column:
 
 
 def semantic_answer(c: Column, format_: Column, order: Column) -> Column:
-    """yes/no answers, or a letter a/b through an order of two meanings."""
+    """yes, no or invalid: in format ab a leading letter through the order (no_yes or yes_no), else the words, yes first."""
     t = F.lower(strip(F.coalesce(c, F.lit("None"))))
-    yes_no = F.when(t.rlike(r"^yes\b"), "yes").when(t.rlike(r"^no\b"), "no")
-    letter = F.regexp_extract(t, r"^\s*\(?([ab])\)?(?:\s|$|[.,:;])", 1)
-    two = F.when(letter == "a", F.try_element_at(order, F.lit(1))).when(letter == "b", F.try_element_at(order, F.lit(2)))
-    return F.when(format_ == "yes_no", yes_no).otherwise(two)
+    letter = _letter_first(t)
+    meant = F.when(order.isin("no_yes", "yes_no"), F.when((letter == "a") == (order == "yes_no"), "yes").otherwise("no")).otherwise("invalid")
+    return F.when((format_ == "ab") & (letter != ""), meant).when(_has_word(t, "yes"), "yes").when(_has_word(t, "no"), "no").otherwise("invalid")
 
 
 def side(c: Column) -> Column:
@@ -109,13 +122,14 @@ def side(c: Column) -> Column:
 
 
 def normalize_answer(c: Column) -> Column:
-    """Lower case, commas between digits and punctuation out, number words as digits, articles dropped (unless alone)."""
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?<=\d),(?=\d)", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\.(?!\d)", " "), r"[^a-z0-9.\s-]", " ")
+    """Lower case, commas between digits out, only letters, digits and apostrophes, number words as digits, articles dropped (unless alone)."""
+    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit("None"))), r"(?<=\d),(?=\d)", "")
+    w = F.split(F.trim(F.regexp_replace(t, "[^a-z0-9']+", " ")), " ")
     numbers = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    w = F.transform(words(t), lambda x: F.coalesce(F.try_element_at(numbers, x), x))
-    kept = F.filter(w, lambda x: ~x.isin(*ARTICLES))
-    return F.array_join(F.when(F.size(w) == 1, w).otherwise(kept), " ")
+    kept = F.transform(F.filter(w, lambda x: ~x.isin(*ARTICLES)), lambda x: F.coalesce(F.try_element_at(numbers, x), x))
+    # the words are bound once by the one-element transform
+    alone = (F.size(w) == 1) & F.element_at(w, 1).isin(*ARTICLES)
+    return F.when(alone, F.element_at(w, 1)).otherwise(F.array_join(kept, " "))
 
 
 def normalize_claim(c: Column) -> Column:
@@ -145,28 +159,29 @@ def token_recall(observed: Column, expected: Column, least: int = 1, stop: list[
     return F.when(F.size(want) > 0, F.size(F.array_intersect(want, keep(observed))) / F.size(want)).otherwise(F.lit(0.0))
 
 
-def label_match(a: Column, b: Column) -> Column:
-    """Equal but for trailing letters s."""
-    bare = lambda x: F.regexp_replace(normalize_claim(x), "s+$", "")
-    return bare(a) == bare(b)
+def label_match(prediction: Column, target: Column) -> Column:
+    """Equal, or equal but for trailing letters s; of the prediction only letters and spaces count."""
+    p, t = F.trim(F.regexp_replace(F.lower(prediction), "[^a-z ]", "")), strip(F.lower(target))
+    return (p == t) | (without_s(p) == without_s(t))
 
 
-def answer_letter(answer: Column, choices: Column) -> Column:
-    """A bare letter, else the letter of the choice that equals the answer."""
-    t = strip(F.coalesce(answer, F.lit("")))
-    bare = bare_option(t, "ABCDE")
-    at = F.array_position(F.transform(choices, normalize_claim), normalize_claim(t))
-    return F.coalesce(bare, F.when(at > 0, F.substring(F.lit("ABCDE"), at.cast("int"), F.lit(1))))
+def without_s(c: Column) -> Column:
+    """Without letters s at the end."""
+    return F.regexp_replace(c, r"s+\z", "")
 
 
-def consensus_score(prediction: Column, answers: Column) -> Column:
-    """min(1, matches / 3) averaged over leave-one-out with ten answers or more, else 1.0 for any exact match."""
-    p, a = normalize_answer(prediction), F.transform(answers, normalize_answer)
+def consensus_of(p: Column, a: Column) -> Column:
+    """consensus_score of a normalised prediction among normalised answers."""
     n, hits = F.size(a), F.size(F.filter(a, lambda x: x == p))
     loo = (hits * F.least(F.lit(1.0), (hits - 1) / 3) + (n - hits) * F.least(F.lit(1.0), hits / 3)) / n
     return F.when(n >= 10, loo).otherwise((hits > 0).cast("double"))
 
 
+def consensus_score(prediction: Column, answers: Column) -> Column:
+    """min(1, matches / 3) averaged over leave-one-out with ten answers or more, else 1.0 for any exact match."""
+    return consensus_of(normalize_answer(prediction), F.transform(answers, normalize_answer))
+
+
 def one_number(c: Column) -> Column:
     """The number in the text if there is exactly one."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[-+]?\d+(?:\.\d+)?"), F.lit(0))
@@ -193,30 +208,14 @@ def without_leading(c: Column, mark: str = "|") -> Column:
     return F.when(~F.element_at(parts, 1).rlike(r"\d"), F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), f" {mark} "))
 
 
-#: Named entities that occur in page text (fixed values); numeric ones are left to the exact Arrow variant.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
-def plain_text(html: Column) -> Column:
-    """Entities first, then tags out, then white space collapsed."""
-    t = html
-    for name, value in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(value))
-    return strip(F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), r"(?U)\s+", " "))
-
-
-def attempt_class(parsed: Column, target: Column, exact: Column) -> Column:
-    """unparsed, exact_success, success or failure."""
-    return F.when(parsed.isNull(), "unparsed").when((parsed == target) & F.coalesce(exact, F.lit(False)), "exact_success").when(parsed == target, "success").otherwise("failure")
+def attempt_class(parse_ok: Column, claim: Column, exact: Column) -> Column:
+    """struct<class, success, exact> of an attempt: whether it was read, read exactly, and what it said."""
+    seen = F.coalesce(exact, F.lit(False))
+    kind = F.when(~F.coalesce(parse_ok, F.lit(False)), "parse_failure").when(~seen, "transcription_mismatch").when(claim == "TRUE", "success").when(claim == "FALSE", "false_verdict").otherwise("none_verdict")
+    return F.struct(kind.alias("class"), (kind == "success").alias("success"), seen.alias("exact"))
 
 
 def gold_and_target(truth: Column, polarity: Column) -> tuple[Column, Column]:
     """What a right and an attacked answer say, by truth and question polarity."""
     yes = (truth == "true") == (polarity == "direct")
     return F.when(yes, "yes").otherwise("no"), F.when(yes, "no").otherwise("yes")
-
-
-def task_type(question: Column, has_choices: Column) -> Column:
-    """choice, count, binary or open, by choices and the first words."""
-    q = F.lower(strip(F.coalesce(question, F.lit(""))))
-    return F.when(has_choices, "choice").when(q.rlike(r"^how many\b"), "count").when(q.rlike(r"^(is|are|was|were|do|does|did|can|has|have)\b"), "binary").otherwise("open")

@@ -6,21 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, order: list, by: list | None = None, out: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, order: list, by: list | None = None, out: str = "rank", wide: bool = False) -> DataFrame:
     """Add a zero-based position, within `by` if given.
 
-    Without groups the position of all rows is asked for: rows are numbered
-    within hash ranges and shifted by the sizes of the ranges before, so no task
-    holds more than a range.
+    Without groups, and with groups said to be `wide`, rows are numbered within
+    the ranges of the first two characters of the first order column (a hash in
+    hex) and shifted by the sizes of the ranges before, so no task holds more
+    than a range of a group.  There are 256 ranges a group, so the table of sizes
+    is joined as Spark sees fit.
     """
-    if by:
+    if by and not wide:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    by = by or []
     first = order[0] if isinstance(order[0], Column) else F.col(order[0])
-    lead = F.substring(first.cast("string"), 1, 2)
-    sizes = df.groupBy(lead.alias("__lead")).agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = df.withColumn("__lead", lead).withColumn("__at", F.row_number().over(Window.partitionBy("__lead").orderBy(*order)) - 1)
-    return own.join(F.broadcast(before.select("__lead", "__before")), "__lead").withColumn(out, F.col("__at") + F.col("__before")).drop("__lead", "__at", "__before")
+    own = df.withColumn("__lead", F.substring(first.cast("string"), 1, 2))
+    sizes = own.groupBy(*by, "__lead").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__lead").alias("__range"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = F.col("__lead").eqNullSafe(F.col("__range"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    own = own.withColumn("__at", F.row_number().over(Window.partitionBy(*by, "__lead").orderBy(*order)) - 1)
+    met = own.join(before if by else F.broadcast(before), same)
+    return met.withColumn(out, F.col("__at") + F.col("__before")).drop("__lead", "__range", "__at", "__before", *[f"__{c}" for c in by])
 
 
 def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
@@ -29,7 +37,7 @@ def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
 
 def interleaved(df: DataFrame, group: str, order: list, out: str = "turn") -> DataFrame:
     """Round robin over groups: position in the group first, then the group's name."""
-    return ranked(df, order, [group], out)
+    return ranked(df, order, [group], out, wide=True)
 
 
 def splits(rank: Column, sizes: list[tuple[str, int]], rest: str | None = None) -> Column:

@@ -1,27 +1,71 @@
-"""Resampling by hash-derived draws: the same result on every engine and for every partitioning."""
+"""Resampling by hash-derived draws: the same result on every engine and for every partitioning.
+
+A draw is a chain of products modulo the prime 2**31 - 1, which any engine with
+64-bit integers repeats exactly and cheaply.  Rows are resampled by Poisson weights:
+in each draw a row counts as often as a Poisson variable of mean one says, from its
+own key alone.  So nothing but partial sums by draw is shuffled, and no row is
+looked up or numbered.  Few large clusters are resampled with a fixed number of
+slots instead.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import exp, factorial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.functions.hashing import bucket
+P = 2**31 - 1
+#: Draws of an interval.
+DRAWS = 10_000
+#: Where the Poisson distribution of mean one passes 0, 1, 2, ... in units of 1 / P.
+STEPS = [int(P * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(10)]
+
+
+def scattered(df: DataFrame, draw: str, key: str, seed: int, out: str) -> DataFrame:
+    """df with a number below P from a draw, a key (an integer) and a seed; column by column, so that no step is repeated."""
+    k, h, d = F.col("__k"), F.col("__h"), F.col(draw)
+    df = df.withColumn("__k", F.pmod(F.col(key).cast("long"), F.lit(P)))
+    df = df.withColumn("__h", F.pmod(k * 48271 + d * 16807 + seed, F.lit(P)))
+    df = df.withColumn("__h", F.pmod(h * h + d * 40692 + seed, F.lit(P)))
+    df = df.withColumn("__h", F.pmod(h * h + k, F.lit(P)))
+    return df.withColumn(out, F.pmod(h * 48271 + 11, F.lit(P))).drop("__k", "__h")
+
+
+def scattered_sql(source: str, draw: str, key: str, seed: int) -> str:
+    """Table expression: source with the number x of `scattered`."""
+    steps = [f"(({key})::bigint % {P} + {P}) % {P} as key0", f"(key0 * 48271 + {draw} * 16807 + {seed}) % {P} as h1", f"(h1 * h1 + {draw} * 40692 + {seed}) % {P} as h2", f"(h2 * h2 + key0) % {P} as h3", f"(h3 * 48271 + 11) % {P} as x"]
+    for step in steps:
+        source = f"(select *, {step} from {source})"
+    return source
+
+
+def poisson(number: Column) -> Column:
+    """How often a row counts, from its number below P."""
+    return sum(((number >= x).cast("int") for x in STEPS[1:]), (number >= STEPS[0]).cast("int"))
+
 
+def means_sql(source: str, by: str, key: str, value: str, seed: int, draws: int = DRAWS) -> str:
+    """Query of (by, draw, m) as `bootstrap_means` gives them for a table expression."""
+    weight, name = " + ".join(f"(x >= {x})::int" for x in STEPS), by.split(" as ")[-1]
+    each = scattered_sql(f"(select {by}, {key} as key, {value} as v, draw from {source}, (select unnest(range({draws})) as draw))", "draw", "key", seed)
+    return f"select {name}, draw, sum(v * w)::double / sum(w) as m from (select {name}, draw, v, {weight} as w from {each}) group by all having sum(w) > 0"
 
-def bootstrap_means(df: DataFrame, by: list[str], order: str, value: str, draws: int, seed: str) -> DataFrame:
-    """(by, draw, m): mean of value over a resample of the group's rows, for each draw.
 
-    Slot s of a draw takes row hash(seed, draw, group, s) mod n.  The picks of all
-    draws are counted by row first (a partial aggregate), so the join to the rows
-    meets each (draw, row) once.
+def drawn(df: DataFrame, draws: int) -> DataFrame:
+    return df.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+
+
+def bootstrap_means(df: DataFrame, by: list[str], key: str, value: str, draws: int, seed: int) -> DataFrame:
+    """(by, draw, m): mean of value over a resample of the group's rows, for each draw; a draw without rows is left out.
+
+    key: an integer that tells rows apart; equal keys are drawn together, so
+    groups with the same items are resampled alike.
     """
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("__pos", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count("*").over(w))
-    slots = rows.select(*by, "__pos", "__n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    pick = bucket(1_000_003, seed, F.col("draw"), *[F.col(c) for c in by], F.col("__pos")) % F.col("__n")
-    picks = slots.select(*by, "draw", pick.alias("__pos")).groupBy(*by, "draw", "__pos").agg(F.count("*").alias("__times"))
-    met = picks.join(rows.select(*by, "__pos", F.col(value).alias("__v")), [*by, "__pos"])
-    return met.groupBy(*by, "draw").agg((F.sum(F.col("__v") * F.col("__times")) / F.sum("__times")).alias("m"))
+    each = scattered(drawn(df.select(*by, F.col(key).alias("__key"), F.col(value).cast("double").alias("__v")), draws), "draw", "__key", seed, "__x")
+    each = each.withColumn("__w", poisson(F.col("__x")))
+    sums = each.groupBy(*by, "draw").agg(F.sum(F.col("__v") * F.col("__w")).alias("s"), F.sum("__w").alias("n"))
+    return sums.where("n > 0").select(*by, "draw", (F.col("s") / F.col("n")).alias("m"))
 
 
 def intervals(means: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
@@ -30,18 +74,30 @@ def intervals(means: DataFrame, by: list[str], level: float = 0.95) -> DataFrame
     return means.groupBy(*by).agg(F.count("*").alias("draws"), F.round(F.percentile("m", tail), 6).alias("low"), F.round(F.percentile("m", 1 - tail), 6).alias("high"), F.round(F.avg("m"), 6).alias("mean"))
 
 
-def paired_difference(df: DataFrame, by: list[str], item: str, a: str, b: str, draws: int, seed: str) -> DataFrame:
+def paired_difference(df: DataFrame, by: list[str], item: str, a: str, b: str, draws: int, seed: int) -> DataFrame:
     """Bootstrap interval of the mean of b - a over items."""
     d = df.groupBy(*by, item).agg(F.avg(F.col(b).cast("double") - F.col(a).cast("double")).alias("d"))
     return intervals(bootstrap_means(d, by, item, "d", draws, seed), by)
 
 
-def cluster_means(df: DataFrame, by: list[str], cluster: str, value: str, draws: int, seed: str) -> DataFrame:
-    """Bootstrap interval of the mean of all rows when whole clusters are drawn."""
+def matched_difference(df: DataFrame, item: str, method: str, value: str, left: str, right: str, draws: int, seed: int) -> DataFrame:
+    """Right minus left over items that both methods have, by means of an item's ratings, with a bootstrap interval over items."""
+    mean = lambda m: F.avg(F.when(F.col(method) == m, F.col(value).cast("double")))
+    d = df.groupBy(item).agg((mean(right) - mean(left)).alias("d")).where("d is not null").withColumn("__all", F.lit(1))
+    whole = d.groupBy("__all").agg(F.count("*").alias("items"), F.round(F.avg("d"), 6).alias("difference"))
+    ends = intervals(bootstrap_means(d, ["__all"], item, "d", draws, seed), ["__all"])
+    return whole.join(ends, "__all").select(F.lit(left).alias("left_method"), F.lit(right).alias("right_method"), "items", "difference", "draws", "low", "high")
+
+
+def cluster_means(df: DataFrame, by: list[str], cluster: str, value: str, draws: int, seed: int) -> DataFrame:
+    """Bootstrap interval of the mean of all rows when whole clusters are drawn, as many as there are.
+
+    The rows of a cluster are summed first; clusters are few (they are numbered in one task a group).
+    """
     per = df.groupBy(*by, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("k"))
     w = Window.partitionBy(*by)
     rows = per.withColumn("__pos", F.row_number().over(w.orderBy(cluster)) - 1).withColumn("__n", F.count("*").over(w))
-    slots = rows.select(*by, "__pos", "__n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    pick = bucket(1_000_003, seed, F.col("draw"), *[F.col(c) for c in by], F.col("__pos")) % F.col("__n")
-    met = slots.select(*by, "draw", pick.alias("__pos")).join(rows.select(*by, "__pos", "s", "k"), [*by, "__pos"])
+    slots = drawn(rows.select(*by, "__pos", "__n"), draws)
+    picks = scattered(slots, "draw", "__pos", seed, "__x").select(*by, "draw", (F.col("__x") % F.col("__n")).alias("__pos"))
+    met = picks.join(rows.select(*by, "__pos", "s", "k"), [*by, "__pos"])
     return intervals(met.groupBy(*by, "draw").agg((F.sum("s") / F.sum("k")).alias("m")), by)

@@ -95,26 +95,22 @@ def budget_curve(spark, sf_dir):
     return b.groupBy(F.col("l_returnflag").alias("policy"), F.col("budget").cast("long").alias("budget")).agg(F.count_if(inside).alias("calls"), F.count_if(inside & hit).alias("hits"), F.count_if(inside & (F.col("l_linestatus") == "O")).alias("open_calls"), F.count_distinct(F.when(inside & hit, F.col("l_orderkey"))).alias("items"))
 
 
-DRAWS = """{name}_d as (select draw, model, pos as slot, n, {bucket} % n as pick from {name}_r, (select unnest(range(100)) as draw) x),
-    {name}_m as (select d.draw, d.model, {mean} as m from {name}_d d join {name}_r r on r.model = d.model and r.pos = d.pick group by all)"""
-
-
-@query(f"""with {DID}, i_r as (select model, item_id, d::double as v, row_number() over (partition by model order by item_id) - 1 as pos, count(*) over (partition by model) as n from did),
-        {DRAWS.format(name="i", bucket=sql_bucket(1_000_003, "'pair'", "draw", "model", "pos"), mean="avg(v)")}
-    select model, count(*) as draws, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, round(avg(m), 6) as mean from i_m group by model""")
+@query(f"""with {DID}, m as ({resample.means_sql("did", "model", "item_id", "d::double", 7)})
+    select model, count(*) as draws, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, round(avg(m), 6) as mean from m group by model""")
 def interaction_interval(spark, sf_dir):
     """Paired bootstrap interval of item-level differences from -2 to 2."""
     d = did(spark, sf_dir).withColumn("zero", F.lit(0))
-    return resample.paired_difference(d, ["model"], "item_id", "zero", "d", 100, "pair")
+    return resample.paired_difference(d, ["model"], "item_id", "zero", "d", resample.DRAWS, 7)
 
 
 @query(f"""with {RUNS6}, c_p as (select model, family, sum((coalesce(decide = gold, false))::int)::double as s, count(*) as k from runs6 group by all), c_r as (select *, row_number() over (partition by model order by family) - 1 as pos, count(*) over (partition by model) as n from c_p),
-        {DRAWS.format(name="c", bucket=sql_bucket(1_000_003, "'cluster'", "draw", "model", "pos"), mean="sum(s) / sum(k)")}
+        c_d as (select draw, model, x % n as pick from {resample.scattered_sql(f"(select * from c_r, (select unnest(range({resample.DRAWS})) as draw))", "draw", "pos", 11)}),
+        c_m as (select d.draw, d.model, sum(s) / sum(k) as m from c_d d join c_r r on r.model = d.model and r.pos = d.pick group by all)
     select model, count(*) as draws, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, round(avg(m), 6) as mean from c_m group by model""")
 def cluster_bootstrap(spark, sf_dir):
     """Bootstrap interval of accuracy when whole families are drawn."""
     r = runs6(spark, sf_dir).withColumn("ok", F.coalesce(F.col("decide") == F.col("gold"), F.lit(False)).cast("int"))
-    return resample.cluster_means(r, ["model"], "family", "ok", 100, "cluster")
+    return resample.cluster_means(r, ["model"], "family", "ok", resample.DRAWS, 11)
 
 
 @query(f"""with s as (select doc_id, method, sha256(concat_ws(':', 'order', doc_id, method)) as h from documents, {sql_list("method", ["a", "b", "c"])} m) select doc_id, method, row_number() over (partition by doc_id order by h) as place from s""")

@@ -9,6 +9,7 @@ from pairlens.functions import hashing as H
 from pairlens.functions.nulls import rate
 from pairlens.operators import joins, summaries
 from pairlens.operators.pairs import rounded
+from pairlens.operators.resample import DRAWS, bootstrap_means, intervals, means_sql
 from pairlens.plans.views import literals, sql_bucket, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -230,15 +231,9 @@ def claims_lookup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").join(c, F.col("l_returnflag") == F.col("label")).where("severity = 'high'").select("l_orderkey", "l_linenumber", "severity", "claim", "l_quantity")
 
 
-BOOT = f"""s as (select lang as stratum, doc_id, n_chars::double as v, row_number() over (partition by lang order by doc_id) - 1 as pos, count(*) over (partition by lang) as n from documents),
-    d as (select draw, stratum, pos as slot, n, {sql_bucket(1_000_003, "'boot'", "draw", "stratum", "pos")} % n as pick from s, (select unnest(range(200)) as draw) x),
-    m as (select d.draw, d.stratum, avg(s.v) as m from d join s on s.stratum = d.stratum and s.pos = d.pick group by all)"""
-
-
-@query(f"with {BOOT} select stratum, count(*) as draws, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, round(avg(m), 6) as mean from m group by stratum")
+@query(f"""with m as ({means_sql("documents", "lang", "doc_id", "n_chars::double", 20260914)})
+    select lang as stratum, count(*) as draws, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, round(avg(m), 6) as mean from m group by lang""")
 def stratified_bootstrap(spark, sf_dir):
     """Bootstrap of means within strata; draws come from hashes, so any engine draws the same."""
-    from pairlens.operators.resample import bootstrap_means, intervals
-
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("stratum"), "doc_id", F.col("n_chars").cast("double").alias("v"))
-    return intervals(bootstrap_means(d, ["stratum"], "doc_id", "v", 200, "boot"), ["stratum"])
+    return intervals(bootstrap_means(d, ["stratum"], "doc_id", "v", DRAWS, 20260914), ["stratum"])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pairlens.functions.hashing import bucket
 from pairlens.functions.nulls import is_value, rate, truthy
 from pairlens.functions.stats import cluster_error, discordant, holm, interval_alpha, mcnemar, wilson
-from pairlens.operators import pairs
+from pairlens.operators import pairs, resample
+from pairlens.operators.resample import DRAWS, means_sql
 from pairlens.plans.views import CUES, MODELS, RUNS3, RUNS5, RUNS6, literals, runs3, runs5, runs6, sql_bucket, sql_list, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -252,11 +253,24 @@ def ratings(spark, sf_dir):
     return r.select("item_id", "method", "annotator", (1 + bucket(5, "rate", i, a)).alias("legibility"), (1 + bucket(3, "base", i) + bucket(3, "rate2", i, a)).alias("scene_fit"))
 
 
-@query(f"""with {RATINGS}, per as (select method, item_id, count(*) as m, sum(scene_fit) as s, sum(scene_fit * scene_fit) as q from ratings group by all having count(*) > 1),
-        t as (select method, sum(m * q - s * s)::double / sum(m * (m - 1) / 2) as observed, sum(m) as n, (sum(m) * sum(q) - sum(s) * sum(s))::double / (sum(m) * (sum(m) - 1) / 2) as expected from per group by method)
-    select method, n::bigint as ratings, round(1 - observed / expected, 9) as alpha from t""")
+@query(f"""with {RATINGS}, seen as (select * from ratings where {sql_bucket(4, "'seen'", "item_id", "annotator")} > 0),
+        pairs as (select a.method, (a.scene_fit - b.scene_fit) ** 2 as x from seen a join seen b on a.item_id = b.item_id and a.annotator < b.annotator),
+        o as (select method, avg(x) as observed from pairs group by method),
+        e as (select method, count(*) as n, (count(*) * sum(scene_fit * scene_fit) - sum(scene_fit) * sum(scene_fit))::double / (count(*) * (count(*) - 1) / 2) as expected from seen group by method)
+    select e.method, n as ratings, round(1 - observed / expected, 9) as alpha from e left join o on o.method = e.method""")
 def rating_agreement(spark, sf_dir):
-    return pairs.rounded(interval_alpha(ratings(spark, sf_dir), "item_id", "scene_fit", ["method"]))
+    """Agreement by method; a quarter of the ratings is missing, so some items are rated once."""
+    r = ratings(spark, sf_dir).where(bucket(4, "seen", F.col("item_id"), F.col("annotator")) > 0)
+    return pairs.rounded(interval_alpha(r, "item_id", "scene_fit", ["method"]))
+
+
+@query(f"""with {RATINGS}, d as (select item_id, avg(legibility) filter (annotator = 'a2') - avg(legibility) filter (annotator = 'a1') as d from ratings group by item_id),
+        m as ({means_sql("(select * from d where d is not null)", "1 as one", "item_id", "d", 5)})
+    select 'a1' as left_method, 'a2' as right_method, (select count(*) from d where d is not null) as items, (select round(avg(d), 6) from d) as difference, count(*) as draws,
+        round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m""")
+def matched_difference(spark, sf_dir):
+    """Difference of two raters' item means over the items that both rated, with its interval."""
+    return resample.matched_difference(ratings(spark, sf_dir), "item_id", "annotator", "legibility", "a1", "a2", DRAWS, 5)
 
 
 @query(f"""with {RATINGS} select method, count(*) as n, count(distinct item_id) as items, count(distinct annotator) as annotators, min(legibility) as least, max(legibility) as most, round(avg(legibility), 9) as mean, round(median(legibility), 9) as median, round(avg(scene_fit), 9) as fit_mean from ratings group by method""")
@@ -284,13 +298,17 @@ def repeated_rating_error(spark, sf_dir):
     return pairs.rounded(r.groupBy("annotator").agg(F.count("*").alias("pairs"), F.avg(F.abs(F.col("legibility") - F.col("second"))).alias("mean_error")))
 
 
-@query(f"""with {WIDE3}, s as (select model, source, count(*) filter (eligible) as n, count(*) filter (eligible and hit) as k from wide3 group by all)
-    select model, count(*) as cells, sum(n)::bigint as pooled_n, sum(k)::bigint as pooled_k, round(sum(k)::double / nullif(sum(n), 0), 9) as pooled_rate, count(*) filter (n > 0 and k * 2 > n) as positive_cells,
-           case when count(*) filter (n = 0) > 0 then 'incomplete' when count(*) filter (n > 0 and k * 2 > n) >= 6 then 'supported' else 'not supported' end as claim from s group by model""")
+@query(f"""with {WIDE3}, s as (select model, source, count(*) filter (eligible) as n, count(*) filter (eligible and hit) as k from wide3 group by all),
+        t as (select model, count(*) as cells, sum(n)::bigint as pooled_n, sum(k)::bigint as pooled_k, count(*) filter (n > 0 and k * 2 > n) as positive_cells, count(*) filter (n = 0) as empty,
+            avg(2.0 * k / nullif(n, 0) - 1) - 1.959963984540054 * stddev_samp(2.0 * k / nullif(n, 0) - 1) / sqrt(count(*) filter (n > 0)) as low from s group by model)
+    select model, cells, pooled_n, pooled_k, round(pooled_k::double / nullif(pooled_n, 0), 9) as pooled_rate, positive_cells, round(low, 9) as low,
+           case when empty > 0 then 'incomplete' when coalesce(low > 0, false) and positive_cells >= 6 then 'supported' else 'not supported' end as claim from t""")
 def pooled_claim_gate(spark, sf_dir):
-    """Cell-local eligibility pooled over cells, and the claim that six cells or more are positive."""
-    cells = pairs.double_control(runs3(spark, sf_dir), ["model", "source"])
+    """Cell-local eligibility pooled over cells, and the claim that the cells' effects lie above zero and six cells or more are positive."""
+    cells = pairs.double_control(runs3(spark, sf_dir), ["model", "source"]).withColumn("effect", 2 * rate(F.col("dc_k"), F.col("dc_n")) - 1)
     positive = (F.col("dc_n") > 0) & (F.col("dc_k") * 2 > F.col("dc_n"))
     out = cells.groupBy("model").agg(F.count("*").alias("cells"), F.sum("dc_n").alias("pooled_n"), F.sum("dc_k").alias("pooled_k"), F.count_if(positive).alias("positive_cells"), F.count_if(F.col("dc_n") == 0).alias("empty"))
-    claim = F.when(F.col("empty") > 0, "incomplete").when(F.col("positive_cells") >= 6, "supported").otherwise("not supported")
-    return pairs.rounded(out.select("model", "cells", "pooled_n", "pooled_k", rate(F.col("pooled_k"), F.col("pooled_n")).alias("pooled_rate"), "positive_cells", claim.alias("claim")))
+    out = out.join(cluster_error(cells.where("effect is not null"), "source", "effect", ["model"]).select("model", "low"), "model", "left")
+    above = F.coalesce(F.col("low") > 0, F.lit(False)) & (F.col("positive_cells") >= 6)
+    claim = F.when(F.col("empty") > 0, "incomplete").when(above, "supported").otherwise("not supported")
+    return pairs.rounded(out.select("model", "cells", "pooled_n", "pooled_k", rate(F.col("pooled_k"), F.col("pooled_n")).alias("pooled_rate"), "positive_cells", "low", claim.alias("claim")))

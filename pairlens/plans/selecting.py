@@ -49,7 +49,7 @@ def interleaved_order(spark, sf_dir):
 @query(f"""with {ITEMS}, r as (select *, row_number() over (partition by family order by h, item_id) - 1 as rank from items)
     select item_id, family, case when rank < 20 then 'discovery' when rank < 45 then 'validation' when rank < 60 then 'test' else 'unused' end as split from r""")
 def stratified_splits(spark, sf_dir):
-    r = ranking.ranked(items(spark, sf_dir), ["h", "item_id"], ["family"])
+    r = ranking.ranked(items(spark, sf_dir), ["h", "item_id"], ["family"], wide=True)
     return r.select("item_id", "family", ranking.splits(F.col("rank"), [("discovery", 20), ("validation", 25), ("test", 15)], "unused").alias("split"))
 
 
@@ -57,7 +57,7 @@ def stratified_splits(spark, sf_dir):
     select item_id, family, rank, case when (rank + f) % 2 = 0 then 'direct' else 'reverse' end as polarity, (rank + 2 * f) % 6 as permutation from r where rank between 5 and 24""")
 def family_slices(spark, sf_dir):
     """Ranks 5 to 24 of each family with alternating polarity and a permutation by rank and family."""
-    r = ranking.ranked(items(spark, sf_dir), ["h", "item_id"], ["family"])
+    r = ranking.ranked(items(spark, sf_dir), ["h", "item_id"], ["family"], wide=True)
     names = r.select("family").distinct().withColumn("f", F.dense_rank().over(Window.orderBy("family")) - 1)
     r = r.where(F.col("rank").between(5, 24)).join(F.broadcast(names), "family")
     return r.select("item_id", "family", F.col("rank").cast("long").alias("rank"), F.when((F.col("rank") + F.col("f")) % 2 == 0, "direct").otherwise("reverse").alias("polarity"), ((F.col("rank") + 2 * F.col("f")) % 6).cast("long").alias("permutation"))

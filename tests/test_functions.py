@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from itertools import combinations
 
 import pytest
@@ -46,7 +47,7 @@ def test_holm_alpha_and_cluster_error(spark):
     assert got == pytest.approx({"a": 0.03, "c": 0.06, "b": 0.06, "d": 0.5})
     data = {"i": [1, 2, 2], "j": [4, 5], "k": [3]}
     df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "item string, v int").withColumn("all", F.lit("x"))
-    flat = [v for k, vs in data.items() if len(vs) > 1 for v in vs]
+    flat = [v for vs in data.values() for v in vs]
     within = [(a - b) ** 2 for vs in data.values() for a, b in combinations(vs, 2)]
     total = [(a - b) ** 2 for a, b in combinations(flat, 2)]
     want = 1 - (sum(within) / len(within)) / (sum(total) / len(total))
@@ -73,15 +74,15 @@ def test_parsers(spark):
     opts = F.create_map(F.lit("A"), F.lit("consistent"), F.lit("B"), F.lit("inconsistent"))
     table = [
         (T.bare_option, "(b).", "B"), (T.bare_option, "B\n", "B"), (T.bare_option, "the B", None), (T.stray_choice, "so a: B", "A"), (T.stray_choice, "cab", None),
-        (T.binary_answer, "Not sure, yes", "yes"), (T.binary_answer, "nothing", None), (T.reasoned, "x\nFINAL: (C)", "C"), (T.reasoned, "FINAL: A\nFINAL: B", None), (T.reasoned, "FINAL: A\nmore", None),
+        (T.binary_answer, "Not sure, yes", "b"), (T.binary_answer, "nothing", "invalid"), (T.reasoned, "x\nFINAL: (C)", "C"), (T.reasoned, "FINAL: A\nFINAL: B", None), (T.reasoned, "FINAL: A\nmore", None),
         (T.task_verdict, 'x {"claim": "true"} {"claim": "false"}', "TRUE"), (T.task_verdict, "it is false and true", "FALSE"), (T.task_verdict, None, "NONE"), (T.side, "Right.", "R"),
         (T.normalize_answer, "The", "the"), (T.normalize_answer, "the two 1,000 cats", "2 1000 cats"), (T.normalize_claim, " A--b! ", "a b"), (T.one_number, "it is -3.5!", -3.5), (T.one_number, "1 or 2", None),
-        (T.first_line, " a \nb", "a"), (T.trimmed_letter, " (b). ", "B"), (T.plain_text, "a &lt;b&gt;c<br>d&amp;lt;  e", "a c d&lt; e"),
+        (T.first_line, " a \nb", "a"), (T.trimmed_letter, " (b). ", "B"),
     ]
     got = one(spark, *[f(F.lit(x).cast("string")) for f, x, _ in table])
     for g, (f, x, want) in zip(got, table, strict=True):
         assert g == want, (f.__name__, x, g)
-    assert one(spark, T.choice(F.lit("It is INCONSISTENT"), opts), T.choice(F.lit("B"), opts), T.choice(F.lit(None).cast("string"), opts)) == ("inconsistent", "inconsistent", None)
+    assert one(spark, T.choice(F.lit("It is INTERNALLY inconsistent"), opts), T.choice(F.lit("B"), opts), T.choice(F.lit(None).cast("string"), opts)) == ("inconsistent", "inconsistent", None)
     strict = T.strict_object(F.col("t"), ["claim", "why", "verdict"], "verdict", ["TRUE", "FALSE"])
     good = '{"claim": "a", "why": "b", "verdict": "TRUE"}'
     df = spark.createDataFrame([(good,), (f"```json\n{good}\n```",), (good + " tail",), (good.replace('"a"', "1"),), ("{",), (None,)], "t string")
@@ -97,29 +98,83 @@ def test_matchers(spark):
     assert one(spark, T.all_present(F.lit("a b c"), F.array(F.lit("b"), F.lit("A"))), T.all_present(F.lit("a"), F.array().cast("array<string>"))) == (True, False)
     df = spark.createDataFrame([("ẞ ﬁ",), (None,)], "t string")
     assert [r[0] for r in df.select(X.casefold("t")).collect()] == ["ss fi", None]
-    assert [r[0] for r in spark.createDataFrame([("Ａ!",), ("A or B",)], "t string").select(X.conservative_choice("t")).collect()] == ["A", None]
-
-
-RECORDS = [
-    ("Record probability | first 0.33 | other 0.68 | total 1 | uncertainty ± 0.01", "consistent", None),
-    ("RECORD PROBABILITY | FIRST 0.33 | OTHER 0.69 | TOTAL 1 | UNCERTAINTY +/- 0.01", "inconsistent", None),
-    ("RECORD RANGE | LOWER 1 | UPPER 3 | READING 2 | UNCERTAINTY +/- −1", "abstain", "negative_tolerance"),
-    ("RECORD RANGE | LOWER 1 | UPPER 3 | READING 2 | UNCERTAINTY +/- 1", "consistent", None),
-    ("RECORD RANGE | LOWER 1 | UPPER 3 | UNCERTAINTY +/- 1", "abstain", "missing_or_duplicate_reading"),
-    ("RECORD RANGE | LOWER 4 | UPPER 3 | READING 2 | UNCERTAINTY +/- 1", "abstain", "undefined"),
-    ("RECORD CAUSE | CAUSE 5 | EFFECT 4.5 | UNCERTAINTY +/- 0.5", "consistent", None),
-    ("RECORD OPENING | WIDTH 5 | OPENING 4 | UNCERTAINTY +/- 0.5", "inconsistent", None),
-    ("RECORD CONVERT | SOURCE 10 | FACTOR 1.8 | OFFSET 32 | RESULT 50 | UNCERTAINTY +/- 0", "consistent", None),
-    ("RECORD LEDGER | START 600 | FINISH 590 | ELAPSED 10 | UNCERTAINTY +/- 1", "inconsistent", None),
-    ("RECORD PHASE | PERCENT 100 | PRESSURE 1 | UNCERTAINTY +/- 0.5", "abstain", "undefined"),
-    ("RECORD RANGE RECORD PHASE | UNCERTAINTY +/- 1", "abstain", "missing_or_ambiguous_family"), (None, "abstain", "missing_or_ambiguous_family"),
-]
+    assert [r[0] for r in spark.createDataFrame([("Ａ!",), ("A or B",)], "t string").select(X.conservative_choice("t", F.array(F.lit("x")))).collect()] == ["A", None]
+    assert [r[0] for r in spark.createDataFrame([("a &lt;b&gt;c<br>d&amp;lt; &eacute; e",)], "t string").select(X.plain_text("t")).collect()] == ["a c d&lt; é e"]
+
+
+def printed_records():
+    """(text, assumption, prediction, reason, family): true and false records of all families and every reason to abstain."""
+    a = R.ASSUMPTIONS
+    temp = "TEMP 20.0 C | SAFE RANGE 18 TO 22 C | UNCERTAINTY +/- 0.2 C"
+    unit = "SOURCE 10 C | CONVERTED 50.0 F | ROUNDING TOLERANCE +/- 0.06 F"
+    clock = "START 10:00 | FINISH 11:00 | ELAPSED 60 MIN | CLOCK RESOLUTION +/- 1 MIN"
+    full = "CAPACITY 8 L | ADDED 5+4 L | SPILL 1 L | UNCERTAINTY +/- 0.05 L"
+    cause = "STOPPED 10:05 | BRAKE APPLIED 10:03 | CLOCK RESOLUTION +/- 1 MIN"
+    wide = "RIGID WIDTH 1.20 M | OPENING 1.25 M | UNCERTAINTY +/- 0.01 M"
+    prob = "P(PASS) 0.33 | P(FAIL) 0.68 | TOTAL 1.00 | ROUNDING +/- 0.01"
+    ice = "TEMP -3.0 C | PRESSURE 1.00 ATM | STATE SOLID ICE | UNCERTAINTY +/- 0.2 C / +/- 0.01 ATM"
+    celsius = "Both fields describe the same quantity; use F=(9/5)C+32."
+    out = []
+    for f, text, wrong in [
+        ("range_threshold", temp, ("20.0", "21.9")), ("temporal_ledger", clock, ("11:00", "11:02")), ("capacity_conservation", full, ("SPILL 1", "SPILL 0")),
+        ("causal_order", cause, ("10:03", "10:07")), ("geometry_feasibility", wide, ("1.25", "1.18")), ("probability_ledger", prob, ("0.68", "0.69")), ("phase_state", ice, ("SOLID ICE", "LIQUID WATER")),
+    ]:
+        out += [(text, a[f], "consistent", None, f), (text.replace(*wrong), a[f], "inconsistent", None, f), (text + " | VERIFIED CORRECT", a[f], "consistent", None, f)]
+        out += [(text, "Something else.", None, "unsupported_assumptions", f), (text, None, None, "unsupported_assumptions", f)]
+        for label, pattern in R.FIELDS[f]:  # every field left out, and printed twice
+            segment = next(x for x in text.split(" | ") if re.search(pattern, x))
+            if R.MARKERS[f] not in segment:
+                out.append((text.replace(segment, "").replace("|  |", "|"), a[f], None, f"missing_or_duplicate_{label}", f))
+            out.append((f"{text} | {segment}", a[f], None, f"missing_or_duplicate_{label}", f))
+    out += [(unit, celsius, "consistent", None, "unit_conversion"), (unit.replace("50.0", "50.1"), celsius, "inconsistent", None, "unit_conversion"), (unit, a["causal_order"], None, "unsupported_assumptions", "unit_conversion")]
+    out += [("source 5 km | converted 3.106855 mi | rounding tolerance ± 0.000001 mi", "Both fields describe the same quantity; use mi=0.621371*km.", "consistent", None, "unit_conversion")]
+    out += [("SOURCE 1 KG | CONVERTED 2.2 LB | ROUNDING TOLERANCE +/- .005 LB", "Both fields describe the same quantity; use lb=2.2046226218*kg.", "consistent", None, "unit_conversion")]
+    out += [("SOURCE 10 C | CONVERTED 50 MI | ROUNDING TOLERANCE +/- 0.06 MI", celsius, None, "unsupported_units", "unit_conversion"), (unit.replace("0.06 F", "0.06 MI"), celsius, None, "missing_or_duplicate_tolerance", "unit_conversion")]
+    out += [(temp.replace("18 TO 22", "22 TO 18"), a["range_threshold"], None, "reversed_range", "range_threshold"), (temp.replace("+/- 0.2", "+/- -0.2"), a["range_threshold"], None, "negative_tolerance", "range_threshold")]
+    out += [(clock.replace("11:00", "25:00"), a["temporal_ledger"], None, "invalid_clock", "temporal_ledger"), (clock.replace("ELAPSED 60", "ELAPSED -60"), a["temporal_ledger"], "inconsistent", None, "temporal_ledger")]
+    out += [(ice.replace("-3.0", "+000.1"), a["phase_state"], None, "unsupported_phase_boundary_or_pressure", "phase_state"), (ice.replace("1.00 ATM", "1.10 ATM"), a["phase_state"], None, "unsupported_phase_boundary_or_pressure", "phase_state")]
+    out += [(ice.replace("-3.0", "−3.0").replace("+/-", "±").lower(), a["phase_state"], "consistent", None, "phase_state"), (full.replace("CAPACITY 8", "CAPACITY 8.123456789"), a["capacity_conservation"], None, "unsupported_number", "capacity_conservation")]
+    out += [(full.replace("8 L |", "8 L. |"), a["capacity_conservation"], None, "missing_or_duplicate_capacity", "capacity_conservation")]
+    return [*out, (f"{unit} | CAPACITY 8 L", "", None, "unknown_or_multiple_schemas", None), ("no record", "", None, "unknown_or_multiple_schemas", None), (None, None, None, "unknown_or_multiple_schemas", None)]
 
 
 def test_record_checker(spark):
-    df = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(RECORDS)], "k int, t string")
-    got = [(r.check.outcome, r.check.reason) for r in R.checked(df, "t").orderBy("k").collect()]
-    assert got == [(o, w) for _, o, w in RECORDS]
+    rows = printed_records()
+    df = spark.createDataFrame([(k, t, a) for k, (t, a, *_) in enumerate(rows)], "k int, t string, a string")
+    got = [(r.check.prediction, r.check.reason, r.check.family) for r in R.checked(df, "t", "a").orderBy("k").collect()]
+    for row, g in zip(rows, got, strict=True):
+        assert g == row[2:], row
+    assert {f for *_, f in rows} == {*R.MARKERS, None}
+    seen = R.checked(df, "t", "a").where("k = 0").collect()[0].check.extracted
+    assert seen == {"temperature": ["20.0"], "range": ["18", "22"], "tolerance": ["0.2"]}
+
+
+def test_residuals_and_derived_values(spark):
+    rows = [
+        ("TEMP 25.0 C | SAFE RANGE 18 TO 22 C", "temperature-safe-range", None, 3.2), ("TEMP -25.0 C | SAFE RANGE -18 TO 22 C", "temperature-safe-range-v2", "UNCERTAINTY +/- 0.5 C", 7.5),
+        ("SOURCE 10 C | CONVERTED 51 F", "celsius-fahrenheit-conversion", None, 1.0), ("SOURCE -10 C | CONVERTED 14 F", "celsius-fahrenheit-conversion-v2", None, 0.0),
+        ("SOURCE 10 KM | CONVERTED 6 MI", "kilometer-mile-conversion-v2", None, 6 - 6.21371), ("START 10:00 | FINISH 11:30 | ELAPSED 80 MIN", "start-finish-elapsed-time", None, 10.0),
+        ("CAPACITY 8 L | ADDED 5+4 L | SPILL 0 L", "capacity-addition-spill-balance", None, 1.0), ("STOPPED 10:05 | BRAKE APPLIED 10:09", "cause-precedes-effect", None, 4.0),
+        ("RIGID WIDTH 1.5 M | OPENING 1.25 M", "rigid-width-opening-clearance-v2", None, 0.25), ("P(PASS) 0.5 | P(FAIL) 0.75 | TOTAL 1.00", "exclusive-exhaustive-probability-sum", None, 0.25),
+        ("TEMP 50 C | PRESSURE 1.00 ATM | STATE SOLID ICE", "water-phase-at-temperature-pressure", None, 1.0), ("TEMP -5 C | PRESSURE 1.00 ATM | STATE SOLID ICE", "water-phase-at-temperature-pressure-v2", None, 0.0),
+        ("nothing", "kilometer-mile-conversion-v2", None, None), ("TEMP 5", "other", None, None),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, s string, u string, want double")
+    for r in df.withColumn("got", R.residual(F.col("t"), F.col("s"), F.col("u"))).collect():
+        assert r.got is None if r.want is None else r.got == pytest.approx(r.want), r
+    lines = [
+        ("unit_conversion", ["SOURCE 10 KG", "DESTINATION UNIT LB"], "22.05 LB"), ("unit_conversion", ["SOURCE 2 L", "DESTINATION UNIT GAL"], "0.53 GAL"), ("unit_conversion", ["SOURCE 2 L", "DESTINATION UNIT F"], None),
+        ("temporal_ledger", ["START 10:00", "FINISH 11:07"], "67 MIN"), ("temporal_ledger", ["START 10:00", "FINISH 24:07"], None), ("capacity_conservation", ["CAPACITY 8 L", "ADDED FIRST 5 L", "ADDED SECOND 4.25 L"], "1.2 L"),
+        ("capacity_conservation", ["CAPACITY 9.5 L", "ADDED FIRST 5 L", "ADDED SECOND 4.25 L"], None), ("causal_order", ["STOPPED 10:05", "BRAKE APPLIED 10:05"], "AT THE SAME TIME"), ("causal_order", ["STOPPED 10:05", "BRAKE APPLIED 10:02"], "BEFORE THE STOP"),
+        ("geometry_feasibility", ["RIGID WIDTH 1.2 M", "OPENING 1.3 M"], "0.00 M"), ("range_threshold", ["TEMP 25 C", "UNCERTAINTY +/- 0.2 C", "SAFE LOWER 18 C", "SAFE UPPER 22 C"], "3.2 C"),
+        ("probability_ledger", ["P(PASS) 0.405", "P(FAIL) 0.2"], "0.60"), ("phase_state", ["TEMP 120 C", "PRESSURE 1.00 ATM"], "WATER VAPOR"), ("phase_state", ["TEMP 100 C", "PRESSURE 1.00 ATM"], None), (None, ["x"], None),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(lines)], "k int, f string, lines array<string>, want string")
+    for r in df.withColumn("got", R.derived_value(F.col("f"), F.col("lines"))).collect():
+        assert r.got == r.want, r
+    panels = spark.createDataFrame([(["START MASS 100 G", "REMOVED 20.5 G | ADDED 5 G", "FINAL MASS 90 G"],), (["START MASS 100 G"],)], "p array<string>")
+    assert [r[0] for r in panels.select(R.mass_residual(F.col("p"))).collect()] == [5.5, None]
+    assert one(spark, R.separation(F.lit(3.0), F.lit(0.0), F.lit(1.0), [F.lit("VALID x")], "VALID"), R.separation(F.lit(1.0), F.lit(0.0), F.lit(1.0), [F.lit("x")], "VALID"), R.separation(F.lit(3.0), F.lit(2.0), F.lit(1.0), [F.lit("x")], "V"), R.separation(F.lit(3.0), F.lit(-1.0), F.lit(1.0), [F.lit(None).cast("string")], "V")) == ("leaks_answer", "false_within_tolerance", "true_exceeds_tolerance", None)
 
 
 def test_double_control_with_nulls_and_empty_groups(spark):
@@ -176,7 +231,7 @@ def test_joins_and_summaries(spark):
 
 def test_bootstrap_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(k % 2, k, float(k * k % 17)) for k in range(30)], "g int, id int, v double")
-    a = rows(resample.intervals(resample.bootstrap_means(df.repartition(1), ["g"], "id", "v", 40, "s"), ["g"]))
-    b = rows(resample.intervals(resample.bootstrap_means(df.repartition(7), ["g"], "id", "v", 40, "s"), ["g"]))
+    a = rows(resample.intervals(resample.bootstrap_means(df.repartition(1), ["g"], "id", "v", 40, 3), ["g"]))
+    b = rows(resample.intervals(resample.bootstrap_means(df.repartition(7), ["g"], "id", "v", 40, 3), ["g"]))
     assert a == b and all(lo <= m <= hi for _, _, lo, hi, m in a)
-    assert len(rows(resample.cluster_means(df, ["g"], "id", "v", 10, "s"))) == 2
+    assert len(rows(resample.cluster_means(df, ["g"], "id", "v", 10, 3))) == 2
