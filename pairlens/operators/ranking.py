@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlens.operators.durable import kept
+
 
 def ranked(df: DataFrame, order: list, by: list | None = None, out: str = "rank", wide: bool = False) -> DataFrame:
     """Add a zero-based position, within `by` if given.
@@ -86,6 +88,6 @@ def greedy_cover(df: DataFrame, policy: str, item: str, k: int) -> DataFrame:
         if not best:
             break
         picked.append((place, best[0][policy], best[0]["gain"]))
-        left = left.join(left.where(F.col(policy) == best[0][policy]).select(item), item, "left_anti")
+        left = kept(left.join(left.where(F.col(policy) == best[0][policy]).select(item), item, "left_anti"))
     kind = df.schema[policy].dataType.simpleString()
     return spark.createDataFrame(picked, f"place int, {policy} {kind}, gain long")
