@@ -10,14 +10,18 @@ slots instead.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 P = 2**31 - 1
-#: Draws of an interval.
-DRAWS = 10_000
+#: Draws of an interval, and groups whose sums a task holds.
+DRAWS, GROUPS = 10_000, 64
 #: Where the Poisson distribution of mean one passes 0, 1, 2, ... in units of 1 / P.
 STEPS = [int(P * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(10)]
 
@@ -56,16 +60,64 @@ def drawn(df: DataFrame, draws: int) -> DataFrame:
     return df.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
 
 
+def numbers(draw: np.ndarray, key: np.ndarray, seed: int) -> np.ndarray:
+    """`scattered` for all draws (rows) and keys (columns)."""
+    k, d = (key % P)[None, :], draw[:, None]
+    h = (k * 48271 + d * 16807 + seed) % P
+    h = (h * h + d * 40692 + seed) % P
+    h = (h * h + k) % P
+    return (h * 48271 + 11) % P
+
+
 def bootstrap_means(df: DataFrame, by: list[str], key: str, value: str, draws: int, seed: int) -> DataFrame:
     """(by, draw, m): mean of value over a resample of the group's rows, for each draw; a draw without rows is left out.
 
     key: an integer that tells rows apart; equal keys are drawn together, so
-    groups with the same items are resampled alike.
+    groups with the same items are resampled alike.  Rows without a value do not
+    count.  Weights are made for blocks of draws and rows at once; a task hands on
+    sums by group and draw, of at most GROUPS groups at a time.
     """
-    each = scattered(drawn(df.select(*by, F.col(key).alias("__key"), F.col(value).cast("double").alias("__v")), draws), "draw", "__key", seed, "__x")
-    each = each.withColumn("__w", poisson(F.col("__x")))
-    sums = each.groupBy(*by, "draw").agg(F.sum(F.col("__v") * F.col("__w")).alias("s"), F.sum("__w").alias("n"))
-    return sums.where("n > 0").select(*by, "draw", (F.col("s") / F.col("n")).alias("m"))
+    rows = df.select(*by, F.col(key).cast("long").alias("__key"), F.col(value).cast("double").alias("__v")).where("__v is not null and __key is not null")
+    kinds = [f for f in rows.schema.fields if f.name in by]
+    out = T.StructType([*kinds, T.StructField("draw", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def sums() -> pa.RecordBatch:
+            cols = [pa.array([g[k] for g in held for _ in range(draws)], kind[k]) for k in range(len(by))]
+            s, n = (np.concatenate([x[k] for x in held.values()]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(np.arange(draws), len(held))), pa.array(s), pa.array(n)], names=out.names)
+
+        kind: list[pa.DataType] = []
+        for b in batches:
+            kind = [b.schema.field(k).type for k in range(len(by))]
+            for start in range(0, b.num_rows, 4096):
+                part = b.slice(start, 4096)
+                keys, v = part.column(len(by)).to_numpy(), part.column(len(by) + 1).to_numpy()
+                places: dict[tuple, list[int]] = {}
+                for k, g in enumerate(zip(*(part.column(c).to_pylist() for c in range(len(by))), strict=True)):
+                    places.setdefault(g, []).append(k)
+                if held and len(held) + len(places) > GROUPS:
+                    yield sums()
+                    held = {}
+                for g in places:
+                    held.setdefault(g, np.zeros((2, draws)))
+                same, back = np.unique(keys, return_inverse=True)
+                table = np.stack([v, np.ones(len(v))], 1)
+                for first in range(0, draws, 512):
+                    x = numbers(np.arange(first, min(draws, first + 512)), same, seed)
+                    w = np.zeros(x.shape, np.uint8)
+                    for step in STEPS:
+                        w += x >= step
+                    w = w.astype(float)
+                    for g, own in places.items():
+                        held[g][:, first : first + 512] += (w[:, back[own]] @ table[own]).T
+        if held:
+            yield sums()
+
+    total = rows.mapInArrow(run, out).groupBy(*by, "draw").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return total.where("n > 0").select(*by, "draw", (F.col("s") / F.col("n")).alias("m"))
 
 
 def intervals(means: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
