@@ -119,3 +119,38 @@ def test_stats_pass_other_columns_through(spark):
     d = spark.createDataFrame([(1, "a b", [1, 2], {"k": 1})], "n_words long, text string, arr array<int>, m map<string,int>")
     row = textstats.with_stats(d).select("n_words", "arr", "m", F.col("__stats.n_words").alias("w")).collect()[0]
     assert (row.n_words, row.arr, row.m, row.w) == (1, [1, 2], {"k": 1}, 2)
+
+
+def test_rules_are_the_distinct_paths_of_the_trees():
+    # a tree of two splits and one of a single split; node 0 is the root, a leaf points to itself
+    forest = trees.Forest(
+        feature=np.array([[0, 1, 0, 0, 0], [0, 0, 0, 0, 0]]), threshold=np.array([[2.0, 5.0, 0, 0, 0], [2.0, 0, 0, 0, 0]]),
+        left=np.array([[1, 3, 2, 3, 4], [1, 1, 2, 3, 4]]), right=np.array([[2, 4, 2, 3, 4], [2, 1, 2, 3, 4]]), value=np.zeros((2, 5)), base=0.0, depth=2,
+    )
+    got = {r.terms for r in quality_classifier.rules_of(forest)}
+    leaves = {((0, False, 2.0),), ((0, True, 2.0), (1, True, 5.0)), ((0, True, 2.0), (1, False, 5.0))}
+    inner = {((0, True, 2.0),)}
+    assert leaves <= {tuple(sorted(t, key=lambda x: (x[0], not x[1]))) for t in got} | got
+    assert {tuple(sorted(t)) for t in got} <= {tuple(sorted(t)) for t in leaves | inner}
+    x = np.array([[1.0, 4.0], [1.0, 6.0], [3.0, 0.0]])
+    for r in quality_classifier.rules_of(forest):
+        want = [all(row[f] <= v if low else row[f] > v for f, low, v in r.terms) for row in x]
+        assert r.holds(x).tolist() == want
+
+
+def test_lasso_weights_are_the_optimum():
+    rng = np.random.default_rng(9)
+    z = (rng.random((400, 12)) < rng.random(12)).astype(float)
+    truth = np.zeros(12)
+    truth[:3] = [2.0, -1.5, 1.0]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(z @ truth - 0.5)))).astype(float)
+    penalty = 0.01
+    b, w = quality_classifier.lasso_logistic(z, y, penalty, steps=4000)
+    mean = z.mean(0)
+    scale = np.sqrt(np.maximum(mean * (1 - mean), 1e-4))
+    residual = 1 / (1 + np.exp(-(z @ w + b))) - y
+    slope = ((z - mean) / scale).T @ residual / 400  # on the standardised rules, where the penalty applies
+    assert abs(residual.mean()) < 1e-4
+    on = np.abs(w) > 1e-6
+    assert 0 < on.sum() < 12
+    assert np.allclose(slope[on], -penalty * np.sign(w[on]), atol=1e-3) and (np.abs(slope[~on]) <= penalty + 1e-3).all()
