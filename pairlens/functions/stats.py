@@ -27,14 +27,31 @@ def rate_record(k: Column, n: Column) -> Column:
     return F.struct(k.cast("long").alias("k"), n.cast("long").alias("n"), F.try_divide(k.cast("double"), n.cast("double")).alias("rate"), low.alias("low"), high.alias("high"))
 
 
+def _log_share(n: Column, m: Column) -> Column:
+    """ln of C(n, m) / 2^n for 0 < m <= n / 2: by logarithms of m factors up to m = 50, beyond by Stirling's series.
+
+    The leading terms are written in (n - 2 m) / n, so that nothing large cancels.
+    """
+    few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.least(m, F.lit(50).cast("long")), F.lit(1).cast("long"))), F.lit(0.0), lambda acc, k: acc + F.log((n - m + k).cast("double")) - F.log(k.cast("double")))
+    x, y = n.cast("double"), m.cast("double")
+    z, d = x - y, (x - 2 * y) / x
+    lead = -x / 2 * ((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d)) - 0.5 * F.log(2 * F.pi() * y * (z / x))
+    rest = lambda v: 1 / (12 * v) - 1 / (360 * v * v * v) + 1 / (1260 * v * v * v * v * v)
+    return F.when(m <= 50, few - x * F.log(F.lit(2.0))).otherwise(lead + rest(x) - rest(y) - rest(z))
+
+
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided McNemar p: twice the binomial tail at one half, at most 1; 1 without discordant pairs.
 
-    The tail is summed relative to its largest term, in logarithms, so large counts do not underflow.
+    The tail is summed relative to its largest term, in logarithms, so large counts
+    do not underflow; terms beyond ten standard deviations, below 1e-80 of the sum,
+    are left out.
     """
-    n, m = (b + c).cast("int"), F.least(b, c).cast("int")
+    b, c = b.cast("long"), c.cast("long")
+    n, m = b + c, F.least(b, c)
     # terms relative to C(n, m): going down from k = m, each is the one above times k / (n - k + 1)
-    steps = F.when(m > 0, F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda i: m - i + 1)).otherwise(F.array().cast("array<int>"))
+    most = F.least(m, F.ceil(10 * F.sqrt(n.cast("double"))).cast("long") + 50)
+    steps = F.when(m > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(most, F.lit(1).cast("long"))), lambda i: m - i + 1)).otherwise(F.array().cast("array<long>"))
     start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
 
     def fold(acc: Column, k: Column) -> Column:
@@ -42,8 +59,7 @@ def mcnemar(b: Column, c: Column) -> Column:
         return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
 
     total = F.aggregate(steps, start, fold, lambda acc: acc["s"])
-    log_choose = F.aggregate(steps, F.lit(0.0), lambda acc, k: acc + F.log((n - m + k).cast("double")) - F.log(k.cast("double")))
-    p = 2 * total * F.exp(log_choose - n * F.log(F.lit(2.0)))
+    p = 2 * total * F.exp(F.when(m > 0, _log_share(n, m)).otherwise(-n * F.log(F.lit(2.0))))
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p))
 
 
@@ -53,10 +69,15 @@ def discordant(a: Column, b: Column) -> list[Column]:
     return [F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("a_only"), F.count_if(~a & b).alias("b_only"), F.count_if(~a & ~b).alias("neither")]
 
 
-def holm(df: DataFrame, p: str, family: list[str], ties: list[str], out: str = "holm_p") -> DataFrame:
-    """Add Holm's step-down adjusted p within each family; ties break by the given columns."""
+def holm(df: DataFrame, p: str, family: list[str], ties: list[str], out: str = "holm_p", members: int | None = None) -> DataFrame:
+    """Add Holm's step-down adjusted p within each family; ties break by the given columns.
+
+    members: how many tests every family must have; another number fails the query.
+    """
     w = Window.partitionBy(*family).orderBy(p, *ties)
     size = F.count("*").over(Window.partitionBy(*family))
+    if members is not None:
+        size = F.when(size == members, size).otherwise(F.raise_error(F.concat(F.lit(f"a family must have {members} tests, not "), size.cast("string"))).cast("long"))
     step = F.least(F.lit(1.0), (size - F.row_number().over(w) + 1) * F.col(p))
     return df.withColumn("__step", step).withColumn(out, F.max("__step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,11 +101,40 @@ def shards(spark: SparkSession, glob: str, schema: T.StructType | str) -> DataFr
     return df.join(F.broadcast(order), F.lit(True)).withColumn("shard", F.array_position("__files", F.col("file")) - 1).drop("__files")
 
 
+def ids_in(value, pattern: str, prefix: str = "coco-") -> list[str]:
+    """Ids in a parsed JSON value: of sample_id fields, of lists in fields that end in _ids, and texts with the prefix in any list."""
+    found, open_ = [], [value]
+    while open_:
+        v = open_.pop()
+        if isinstance(v, dict):
+            for key, x in v.items():
+                if key == "sample_id":
+                    found += [str(x)] if isinstance(x, (str, int)) else []
+                elif key.endswith("_ids") and isinstance(x, list):
+                    found += map(str, x)
+                else:
+                    open_.append(x)
+        elif isinstance(v, list):
+            open_ += [x for x in v if isinstance(x, (dict, list))]
+            found += [str(x) for x in v if isinstance(x, (str, int)) and str(x).startswith(prefix)]
+    return [x for x in found if re.fullmatch(pattern, x)]
+
+
 def harvest_ids(spark: SparkSession, path: str, pattern: str = r"coco-\d{12}") -> DataFrame:
-    """(file, id, n): ids anywhere in the values of nested JSON files below a path."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path)
-    found = F.regexp_extract_all("value", F.lit(f'"({pattern})"'), F.lit(1))
-    return text.select(F.input_file_name().alias("file"), F.explode(found).alias("id")).groupBy("file", "id").agg(F.count("*").alias("n"))
+    """(file, id, n): ids anywhere in the values of nested JSON files (or files of JSON lines) below a path; field names do not count."""
+
+    @F.pandas_udf("array<string>")
+    def walk(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> list[str]:
+            try:
+                return ids_in(json.loads(t), pattern)
+            except json.JSONDecodeError:
+                return [x for line in t.splitlines() if line.strip() for x in ids_in(json.loads(line), pattern)]
+
+        return texts.map(one)
+
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True)
+    return text.select(F.input_file_name().alias("file"), "value").select("file", F.explode(walk("value")).alias("id")).groupBy("file", "id").agg(F.count("*").alias("n"))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.sources.readers import exists
+from pairlens.sources.readers import checksums, exists
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -49,8 +49,13 @@ def latex_table(df: DataFrame, row: str, column: str, value: str, columns: list[
     return "\n".join(lines)
 
 
-#: Columns of a log row that may be published (an allow-list of our own).
-PUBLIC = ["item_id", "condition", "model", "family", "source", "decide", "parsed", "gold", "read_match", "exact_read"]
+#: Fields of a log row that may be published: free of paths and host names (fixed values).
+PUBLIC = [
+    "answer_correct", "answer_format", "answer_raw", "carrier_quad", "condition", "correct_answer_token", "correct_semantic", "counterbalance_cell", "dataset", "exact_read_match",
+    "family", "image_sha256", "item_id", "mask_sha256", "overlay_area_fraction", "overlay_text", "parsed_semantic", "plan", "planner_attempts", "planner_valid",
+    "read_prompt", "read_raw", "record", "registered_read_text", "renderer", "requires_read", "scenario_id", "seed", "selection_index", "source_dataset_manifest_sha256",
+    "source_sha256", "stage", "target_answer_token", "target_label", "target_match", "target_semantic", "truth", "verification_claim", "verification_question", "visible_labels",
+]
 
 
 def public_rows(df: DataFrame, allow: list[str] | None = None) -> DataFrame:
@@ -58,35 +63,63 @@ def public_rows(df: DataFrame, allow: list[str] | None = None) -> DataFrame:
 
 
 def leaks(df: DataFrame, forbidden_fields: list[str], forbidden_text: list[str]) -> DataFrame:
-    """(column, reason, rows) for forbidden columns and for text columns with forbidden substrings."""
+    """(column, reason, rows) for forbidden columns and for text columns with forbidden substrings, in one scan."""
     spark = df.sparkSession
     out = spark.createDataFrame([(c, "field", 0) for c in df.columns if c in forbidden_fields], "column string, reason string, rows long")
-    for f in df.schema.fields:
-        if f.dataType.simpleString() == "string":
-            hit = F.lit(False)
-            for t in forbidden_text:
-                hit = hit | F.coalesce(F.col(f.name).contains(t), F.lit(False))
-            n = df.agg(F.count_if(hit).alias("rows")).where("rows > 0")
-            out = out.unionByName(n.select(F.lit(f.name).alias("column"), F.lit("text").alias("reason"), "rows"))
-    return out
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    if not texts or not forbidden_text:
+        return out
+
+    def hit(c: str) -> Column:
+        found = F.lit(False)
+        for t in forbidden_text:
+            found = found | F.coalesce(F.col(c).contains(t), F.lit(False))
+        return found
+
+    counted = df.agg(*[F.count_if(hit(c)).alias(c) for c in texts])
+    rows = counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit("text").alias("reason"), F.col(c).alias("rows")) for c in texts])).alias("x"))
+    return out.unionByName(rows.select("x.*").where("rows > 0"))
+
+
+def one_json(spark: SparkSession, path: str, value) -> None:
+    """One JSON file: written beside its place and renamed, so that readers see the old one or the new one."""
+    jvm = spark.sparkContext._jvm
+    at, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(temp, True)
+    out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False, allow_nan=False, sort_keys=True).encode() + b"\n"))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(temp, at):
+        raise OSError(f"{path} could not be put in place")
+
+
+def folder_digest(spark: SparkSession, path: str) -> str:
+    """Digest of the names and contents of the files below a path."""
+    found = checksums(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    return digest(sorted([r.name, r.sha256] for r in found.collect()))
 
 
 def provenance(df: DataFrame, path: str, inputs: dict[str, str], config: dict) -> dict:
-    """Write df once, then a sidecar with status, row count and digests; the sidecar is there only if the write succeeded."""
+    """Write df once, beside a ledger that says running before and complete after; with digests of config, inputs (name -> path) and output."""
+    spark, ledger = df.sparkSession, f"{path}.provenance.json"
+    if exists(spark, path) or exists(spark, ledger):
+        raise FileExistsError(path)
+    note = {"status": "running", "config_sha256": digest(config), "inputs": {k: folder_digest(spark, v) for k, v in inputs.items()}}
+    one_json(spark, ledger, note)
     once(df, path)
-    spark = df.sparkSession
-    note = {"status": "complete", "rows": spark.read.parquet(path).count(), "config_sha256": digest(config), "inputs": inputs}
-    side = spark.createDataFrame([(canonical(note),)], "value string")
-    side.coalesce(1).write.mode("errorifexists").text(f"{path}.provenance")
+    note |= {"status": "complete", "rows": spark.read.parquet(path).count(), "output": folder_digest(spark, f"{path}/*.parquet")}
+    one_json(spark, ledger, note)
     return note
 
 
 def complete(spark, path: str, rows: int, config: dict) -> list[str]:
-    """What speaks against a finished output: no sidecar, status, row count, config."""
-    if not exists(spark, f"{path}.provenance"):
+    """What speaks against a finished output: no ledger, status, row count, config."""
+    if not exists(spark, f"{path}.provenance.json"):
         return ["no provenance"]
-    note = json.loads(spark.read.text(f"{path}.provenance").collect()[0].value)
-    checks = {"status": note["status"] == "complete", "rows": note["rows"] == rows, "config": note["config_sha256"] == digest(config)}
+    note = json.loads(spark.read.text(f"{path}.provenance.json", wholetext=True).collect()[0].value)
+    checks = {"status": note["status"] == "complete", "rows": note.get("rows") == rows, "config": note["config_sha256"] == digest(config)}
     return [k for k, ok in checks.items() if not ok]
 
 

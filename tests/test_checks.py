@@ -84,3 +84,30 @@ def test_poisson_weights_and_draws(spark):
     assert got == (h * 48271 + 11) % resample.P
     m = resample.bootstrap_means(df.withColumn("g", F.lit(1)), ["g"], "id", "v", 2000, 5).agg(F.avg("m"), F.stddev("m")).first()
     assert abs(m[0] - 199.5) < 1 and abs(m[1] - 115.6 / 20) < 0.6  # standard error of a mean of 400
+
+
+def test_ids_come_from_values_only():
+    from pairlens.sources.readers import ids_in
+
+    a, b, c, d = (f"coco-{k:012d}" for k in range(4))
+    value = {"sample_id": a, a: 1, "x_ids": [b, "other", 5], "rows": [{"deep": [c, "coco-1", [d]]}], "note": "coco-000000000009", "sample": {"sample_id": None}}
+    assert sorted(ids_in(value, r"coco-\d{12}")) == [a, b, c, d]
+
+
+def test_families_must_have_their_size(spark):
+    from pairlens.functions import stats
+
+    df = spark.createDataFrame([("f", 0.01), ("f", 0.04)], "fam string, p double")
+    assert [r.holm_p for r in stats.holm(df, "p", ["fam"], ["p"], members=2).orderBy("p").collect()] == [0.02, 0.04]
+    with pytest.raises(PySparkException, match="must have 3"):
+        stats.holm(df, "p", ["fam"], ["p"], members=3).collect()
+
+
+def test_mcnemar_of_large_counts(spark):
+    from math import erfc, sqrt
+
+    from pairlens.functions import stats
+
+    got = spark.range(1).select(stats.mcnemar(F.lit(1_000_000), F.lit(1_003_000)), stats.mcnemar(F.lit(3_000_000_000), F.lit(3_000_000_000)), stats.mcnemar(F.lit(0), F.lit(60))).first()
+    z = (3000 - 1) / sqrt(2_003_000)
+    assert got[0] == pytest.approx(erfc(z / sqrt(2)), rel=1e-3) and got[1] == 1.0 and got[2] == pytest.approx(2 / 2**60, rel=1e-9)

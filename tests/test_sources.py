@@ -58,7 +58,7 @@ def test_shards_harvest_checksums_variants(spark, tmp_path):
     put(tmp_path / "s/a.jsonl", '{"id": 1}\n')
     got = readers.shards(spark, str(tmp_path / "s/*.jsonl"), "id int").orderBy("shard").collect()
     assert [(r.id, r.shard) for r in got] == [(1, 0), (2, 1)]
-    put(tmp_path / "h/x/n.json", '{"a": [{"b": "coco-000000000001"}, "coco-000000000001", "coco-1"]}')
+    put(tmp_path / "h/x/n.json", '{"a": [{"sample_id": "coco-000000000001", "b": "coco-000000000002"}, "coco-000000000001", "coco-1"]}')
     assert [(r.id, r.n) for r in readers.harvest_ids(spark, str(tmp_path / "h")).collect()] == [("coco-000000000001", 2)]
     c = readers.checksums(spark, str(tmp_path / "s/a.jsonl")).collect()[0]
     assert c.bytes == 10 and len(c.sha256) == 64
@@ -88,7 +88,13 @@ def test_writers(spark, tmp_path):
     assert writers.drifted({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": 0}) == ["b", "c"]
     bad = writers.leaks(df.withColumn("path", F.lit("/home/me/x")), ["id"], ["/home/"]).collect()
     assert {(r["column"], r.reason) for r in bad} == {("id", "field"), ("path", "text")}
-    assert writers.public_rows(df.withColumn("model", F.lit("m"))).columns == ["model"]
+    assert writers.public_rows(df.withColumn("truth", F.lit("m")).withColumn("model", F.lit("host"))).columns == ["truth"]
+    assert note["status"] == "complete" and len(note["output"]) == 64
+    again = writers.provenance(df, str(tmp_path / "p2"), {"p": str(tmp_path / "l")}, {"seed": 1})
+    assert set(again["inputs"]) == {"p"} and len(again["inputs"]["p"]) == 64
+    writers.one_json(spark, str(tmp_path / "one.json"), {"a": 1})
+    writers.one_json(spark, str(tmp_path / "one.json"), {"a": "é"})
+    assert json.loads((tmp_path / "one.json").read_text("utf-8")) == {"a": "é"}
 
 
 def test_stream_resumes_and_deduplicates(spark, tmp_path):
