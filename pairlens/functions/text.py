@@ -40,12 +40,26 @@ def json_fields(c: Column, fields: list[str], greedy: bool = True) -> Column:
     return F.from_json(F.when(first_object(body, greedy) != "", first_object(body, greedy)), ", ".join(f"{f} string" for f in fields))
 
 
+def task_output(c: Column) -> Column:
+    """struct<object, claim_text, claim, parse_ok> of a permissive answer.
+
+    The fields come from the first short object; a claim that is none of TRUE, FALSE
+    and NONE is looked for in the whole text, in the order FALSE, TRUE, NONE, and is
+    PARSE_ERROR if the text holds none of them.  Answers without an object do not
+    parse.
+    """
+    f = json_fields(c, ["object", "claim_text", "claim"], greedy=False)
+    said, t = F.upper(strip(f["claim"])), F.upper(F.coalesce(c, F.lit("None")))
+    found = F.when(t.contains("FALSE"), "FALSE").when(t.contains("TRUE"), "TRUE").when(t.contains("NONE"), "NONE").otherwise("PARSE_ERROR")
+    claim = F.when(said.isin("TRUE", "FALSE", "NONE"), said).otherwise(found)
+    own = F.lower(strip(F.coalesce(f["object"], F.lit(""))))
+    text = strip(F.coalesce(f["claim_text"], F.lit("NONE")))
+    return F.struct(own.alias("object"), text.alias("claim_text"), claim.alias("claim"), ((own != "") & (claim != "PARSE_ERROR")).alias("parse_ok"))
+
+
 def task_verdict(c: Column) -> Column:
-    """Claim of a permissive answer: the field of the first short object, else the first of FALSE, TRUE, NONE in the text."""
-    claim = F.upper(strip(json_fields(c, ["claim"], greedy=False)["claim"]))
-    t = F.upper(F.coalesce(c, F.lit("None")))
-    found = F.when(t.contains("FALSE"), "FALSE").when(t.contains("TRUE"), "TRUE").when(t.contains("NONE"), "NONE")
-    return F.when(claim.isin("TRUE", "FALSE", "NONE"), claim).otherwise(found)
+    """The claim of task_output."""
+    return task_output(c)["claim"]
 
 
 def strict_object(c: Column, fields: list[str], verdict: str, allowed: list[str]) -> Column:

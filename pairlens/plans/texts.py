@@ -49,8 +49,8 @@ ANSWERS = f"answers as (select doc_id, ([{', '.join(map(q, RAW))}])[{sql_bucket(
              when contains(lower(raw), 'internally consistent') or trim(regexp_replace(lower(raw), '[^a-z]+', ' ', 'g')) = 'consistent' then 'consistent' end as choice,
         case when regexp_matches(lower(t), '^\\(?a\\)?(\\s|$|[.,:;])') then 'a' when regexp_matches(lower(t), '^\\(?b\\)?(\\s|$|[.,:;])') then 'b' when regexp_matches(lower(t), '\\bno\\b') then 'a' when regexp_matches(lower(t), '\\byes\\b') then 'b' else 'invalid' end as binary_said,
         case when len(regexp_extract_all(raw, 'FINAL:')) = 1 then nullif(regexp_extract(t, '(?:^|\\n)FINAL:\\s*\\(?([A-C])\\)?\\.?$', 1), '') end as reasoned,
-        case when upper(regexp_extract(body, '\\{{.*?\\}}')) <> '' then upper(json_extract_string(regexp_extract(body, '\\{{.*?\\}}'), '$.claim'))
-             when contains(upper(raw), 'FALSE') then 'FALSE' when contains(upper(raw), 'TRUE') then 'TRUE' when contains(upper(raw), 'NONE') then 'NONE' end as verdict,
+        coalesce(case when upper(regexp_extract(body, '\\{{.*?\\}}')) <> '' then upper(json_extract_string(regexp_extract(body, '\\{{.*?\\}}'), '$.claim'))
+             when contains(upper(raw), 'FALSE') then 'FALSE' when contains(upper(raw), 'TRUE') then 'TRUE' when contains(upper(raw), 'NONE') then 'NONE' end, 'PARSE_ERROR') as verdict,
         nullif(substr(regexp_extract(upper(t), '^\\(?(LEFT|RIGHT|L|R)\\)?\\b', 1), 1, 1), '') as side from a""")
 def answer_parsers(spark, sf_dir):
     """Every parser over the same raw answers; levels of strictness stay apart."""
