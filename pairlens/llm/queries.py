@@ -1,11 +1,11 @@
-"""The registered queries op1 to op10, each over its whole table, with oracle SQL where SQL can state the result."""
+"""The registered queries op1 to op13, each over its whole table, with oracle SQL where SQL can state the result."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import bpe, chat, exact_dedup, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, toxicity, warc
+from pairlens.llm import alignment, bpe, chat, exact_dedup, filter_audit, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_reputation, warc
 from pairlens.llm.common import table
 
 
@@ -49,11 +49,24 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_quality_rules, op3_lm_scoring, op4_byte_bpe, op5_exact_dedup,
         op6_toxicity, op7_near_dedup, op8_warc, op9_best_fit_packing, op10_chat_formatting,
+        op11_cross_tokenizer_alignment, op12_url_filters, op13_filter_audit,
     )
 }
 
@@ -116,4 +129,49 @@ ORACLE_SQL: dict[str, str] = {
                sum(length(role) + chars + 24)::bigint as formatted_chars
         from drawn group by conv_id
     """,
+    # hosts, domains and suffixes shrunken level by level; the beta tail as a sum of gamma terms
+    "op12_url_filters": """
+        with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+        rules as (select * from (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) r(verdict, own, start)),
+        hits as (select h.host, h.path, arg_max(own || start, length(own || start)) as rule, arg_max(verdict, length(own || start)) as verdict
+            from (select distinct host, path from p) h join rules on (h.host = own or ends_with(h.host, '.' || own)) and starts_with(h.path, start) group by all),
+        each as (select p.*, rule, verdict, regexp_replace(p.host, '(?s)\\A.*@|\\.?(:[0-9]*)?\\z', '', 'g') as name from p left join hits h on h.host = p.host and h.path = p.path),
+        hosts as (select name, case when regexp_matches(name, '^[0-9.]+$') or len(string_split(name, '.')) < 3 then name else array_to_string(string_split(name, '.')[-2:], '.') end as domain,
+                case when regexp_matches(name, '^[0-9.]+$') then '' else string_split(name, '.')[-1] end as suffix, count(verdict) as n, count(*) filter (verdict = 'block') as x from each group by all),
+        domains as (select domain, suffix, sum(n)::double as n, sum(x)::double as x from hosts group by all),
+        tops as (select suffix, sum(n)::double as n, sum(x)::double as x from domains group by all),
+        t0 as (select *, (select (sum(x) + 1) / (sum(n) + 2) from tops) as mean from tops),
+        k0 as (select coalesce(case when d = 0 then 1 when s <= 0 then 1000 else least(greatest(d / s - 1, 1), 1000) end, 1) as k from (select sum(n * power(x / n - mean, 2) - mean * (1 - mean)) as s, sum(mean * (1 - mean) * (n - 1)) as d from t0 where n > 0)),
+        t1 as (select suffix, (k * mean + x) / (k + n) as mean from t0, k0),
+        d0 as (select d.*, mean from domains d join t1 using (suffix)),
+        k1 as (select coalesce(case when d = 0 then 1 when s <= 0 then 1000 else least(greatest(d / s - 1, 1), 1000) end, 1) as k from (select sum(n * power(x / n - mean, 2) - mean * (1 - mean)) as s, sum(mean * (1 - mean) * (n - 1)) as d from d0 where n > 0)),
+        d1 as (select domain, (k * mean + x) / (k + n) as mean from d0, k1),
+        h0 as (select h.*, mean from hosts h join d1 using (domain)),
+        k2 as (select coalesce(case when d = 0 then 1 when s <= 0 then 1000 else least(greatest(d / s - 1, 1), 1000) end, 1) as k from (select sum(n * power(x / n - mean, 2) - mean * (1 - mean)) as s, sum(mean * (1 - mean) * (n - 1)) as d from h0 where n > 0)),
+        h1 as (select name, n, x, k * mean + x as a, k * (1 - mean) + n - x as b from h0, k2),
+        tails as (select name, n, x, a > b as low, least(a, b) as v, greatest(a, b) as u from h1),
+        risks as (select name, n, x, low, exp(lgamma(u + v) - lgamma(u) - lgamma(v) - ln(u) - (u + v) * ln(2))
+                * list_sum(list_transform(range(0, 60 + (12 * sqrt(u + v))::bigint), lambda i: exp(lgamma(u + v + i) - lgamma(u + v) + lgamma(u + 1) - lgamma(u + 1 + i) - i * ln(2)))) as tail from tails)
+        select page_id, host, path, rule, coalesce(verdict, case when (case when low then 1 - tail else tail end) >= 0.9 then 'block' else 'allow' end) as verdict, n::bigint as n_labelled, x::bigint as n_blocked
+        from each join risks using (name)
+    """,
+    "op13_filter_audit": r"""
+        with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        known as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+        f as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+                concat(case when len(w) < 200 then 'A' end, case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' end, case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) then 'C' end,
+                    case when regexp_matches(t, '[#$%&*|]') then 'D' end, case when d.doc_id > min(d.doc_id) over (partition by t) then 'E' end) as fails
+            from d left join known k on k.doc_id = d.doc_id),
+        cells as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by all),
+        l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+        orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        met as (select part, filter_order, step, substr(filter_order, step, 1) as letter, fails, n, good, toxic,
+                coalesce(list_min(list_filter(list_transform(range(1, 6), lambda i: case when contains(fails, substr(filter_order, i::int, 1)) then i end), lambda i: i is not null)), 9) as gone
+            from cells, orders, (select unnest([1, 2, 3, 4, 5]) as step)),
+        s as (select part, filter_order, step, letter, sum(n) filter (gone > step) as kept, sum(n) filter (gone = step) as removed, sum(n) filter (gone < step and contains(fails, letter)) as redundant,
+                sum(n) filter (fails = letter) as unique_fails, sum(good) filter (gone = step) as good_lost, sum(toxic) filter (gone = step) as toxic_lost from met group by all)
+        select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+               coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, sum(coalesce(removed, 0)) over (partition by part, letter)::bigint as shapley from s
+    """,
 }
