@@ -40,20 +40,29 @@ def json_fields(c: Column, fields: list[str], greedy: bool = True) -> Column:
     return F.from_json(F.when(first_object(body, greedy) != "", first_object(body, greedy)), ", ".join(f"{f} string" for f in fields))
 
 
+def said_field(v: Column, name: str, absent: str) -> Column:
+    """A field of a JSON object as text: null is the word None, true and false are capitalised, an absent field is `absent`."""
+    x = F.try_variant_get(v, f"$.{name}", "variant")
+    kind = F.schema_of_variant(x)
+    text = F.when(F.is_variant_null(x), "None").when(kind == "BOOLEAN", F.initcap(x.cast("string"))).otherwise(x.cast("string"))
+    return F.when(x.isNull(), absent).otherwise(text)
+
+
 def task_output(c: Column) -> Column:
     """struct<object, claim_text, claim, parse_ok> of a permissive answer.
 
-    The fields come from the first short object; a claim that is none of TRUE, FALSE
-    and NONE is looked for in the whole text, in the order FALSE, TRUE, NONE, and is
-    PARSE_ERROR if the text holds none of them.  Answers without an object do not
-    parse.
+    The fields come from the first short object, as text (a null field says None); a
+    claim that is none of TRUE, FALSE and NONE is looked for in the whole text, in
+    the order FALSE, TRUE, NONE, and is PARSE_ERROR if the text holds none of them.
+    Answers without an object do not parse.
     """
-    f = json_fields(c, ["object", "claim_text", "claim"], greedy=False)
-    said, t = F.upper(strip(f["claim"])), F.upper(F.coalesce(c, F.lit("None")))
+    body = first_object(strip_fences(c), False)
+    v = F.try_parse_json(F.when(body != "", body))
+    said, t = F.upper(strip(said_field(v, "claim", ""))), F.upper(F.coalesce(c, F.lit("None")))
     found = F.when(t.contains("FALSE"), "FALSE").when(t.contains("TRUE"), "TRUE").when(t.contains("NONE"), "NONE").otherwise("PARSE_ERROR")
     claim = F.when(said.isin("TRUE", "FALSE", "NONE"), said).otherwise(found)
-    own = F.lower(strip(F.coalesce(f["object"], F.lit(""))))
-    text = strip(F.coalesce(f["claim_text"], F.lit("NONE")))
+    own = F.lower(strip(said_field(v, "object", "")))
+    text = strip(said_field(v, "claim_text", "NONE"))
     return F.struct(own.alias("object"), text.alias("claim_text"), claim.alias("claim"), ((own != "") & (claim != "PARSE_ERROR")).alias("parse_ok"))
 
 
@@ -136,14 +145,18 @@ def side(c: Column) -> Column:
 
 
 def normalize_answer(c: Column) -> Column:
-    """Lower case, commas between digits out, only letters, digits and apostrophes, number words as digits, articles dropped (unless alone)."""
+    """Lower case, commas between digits out, only letters, digits and apostrophes, number words as digits, articles dropped (unless alone).
+
+    Words stand between single spaces, so each rule is one pass over the text; number
+    words are only looked for in texts that have any.
+    """
     t = F.regexp_replace(F.lower(F.coalesce(c, F.lit("None"))), r"(?<=\d),(?=\d)", "")
-    w = F.split(F.trim(F.regexp_replace(t, "[^a-z0-9']+", " ")), " ")
-    numbers = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    kept = F.transform(F.filter(w, lambda x: ~x.isin(*ARTICLES)), lambda x: F.coalesce(F.try_element_at(numbers, x), x))
-    # the words are bound once by the one-element transform
-    alone = (F.size(w) == 1) & F.element_at(w, 1).isin(*ARTICLES)
-    return F.when(alone, F.element_at(w, 1)).otherwise(F.array_join(kept, " "))
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, "[^a-z0-9']+", " ")), F.lit(" "))
+    counted = t
+    for word, digit in NUMBER_WORDS.items():
+        counted = F.regexp_replace(counted, f"(?<= ){word}(?= )", digit)
+    t = F.when(t.rlike(f" (?:{'|'.join(NUMBER_WORDS)}) "), counted).otherwise(t)
+    return F.trim(F.when(F.trim(t).isin(*ARTICLES), t).otherwise(F.regexp_replace(t, f"(?<= )(?:{'|'.join(ARTICLES)}) ", "")))
 
 
 def normalize_claim(c: Column) -> Column:
@@ -156,10 +169,6 @@ def contains_tokens(observed: Column, expected: Column) -> Column:
     return (normalize_claim(expected) != "") & pad(observed).contains(pad(expected))
 
 
-def same_normalized(a: Column, b: Column) -> Column:
-    return normalize_claim(a) == normalize_claim(b)
-
-
 def all_present(text: Column, fields: Column) -> Column:
     """Every field (normalised, not empty) is in the normalised text; false without fields."""
     t = normalize_claim(text)

@@ -82,14 +82,23 @@ def journal(calls: DataFrame, call: str, kind: str, at: str, fields: list[str])
     return per.withColumn("rule", F.explode(F.array_compact(F.array(*rules)))).select("rule", F.col(call).cast("string").alias("key"), F.concat_ws("/", "s", "f").alias("detail"))
 
 
-def adjacency(df: DataFrame, item: list[str], index: str, kind: str, success: str, budget: int) -> DataFrame:
-    """Call indices must be 1..n, every read follows a decision, success is the last call, and n keeps the budget."""
-    w = Window.partitionBy(*item).orderBy(index)
-    full = Window.partitionBy(*item)
-    c = df.select(*item, index, kind, success, F.row_number().over(w).alias("place"), F.lag(kind).over(w).alias("before"), F.max(index).over(full).alias("last"))
+def adjacency(df: DataFrame, item: list[str], index: str, kind: str, candidate: str, success: str, budget: int) -> DataFrame:
+    """Calls of an item in the order of their indices, as violations; rows of one index stand by kind and candidate.
+
+    Indices must be 1..n: a row whose place is not its index says `index`, and every
+    row of a repeated one `duplicate`.  A read must stand right behind a decision on
+    the same candidate, a success must have the last index, and no place may exceed
+    the budget.
+    """
+    w = Window.partitionBy(*item).orderBy(index, kind, candidate)
+    same, full = Window.partitionBy(*item, index), Window.partitionBy(*item)
+    c = df.select(
+        *item, index, kind, success, F.row_number().over(w).alias("place"), F.lag(F.struct(kind, candidate)).over(w).alias("before"), F.struct(F.lit("decision").alias(kind), candidate).alias("own"),
+        F.count("*").over(same).alias("copies"), F.max(index).over(full).alias("last"),
+    )
     rules = F.array_compact(F.array(
-        F.when(F.col("place") != F.col(index), F.lit("index")), F.when((F.col(kind) == "read") & ~F.col("before").eqNullSafe(F.lit("decision")), F.lit("read_order")),
-        F.when(F.coalesce(F.col(success), F.lit(False)) & (F.col(index) != F.col("last")), F.lit("after_success")), F.when(F.col(index) > budget, F.lit("budget")),
+        F.when(~F.col("place").eqNullSafe(F.col(index)), F.lit("index")), F.when(F.col("copies") > 1, F.lit("duplicate")), F.when((F.col(kind) == "read") & ~F.col("before").eqNullSafe(F.col("own")), F.lit("read_order")),
+        F.when(F.coalesce(F.col(success), F.lit(False)) & ~F.col(index).eqNullSafe(F.col("last")), F.lit("after_success")), F.when(F.col("place") > budget, F.lit("budget")),
     ))
     return c.withColumn("rule", F.explode(rules)).select("rule", *_row("", [*item, index], F.col(kind))[1:])
 

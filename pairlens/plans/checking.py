@@ -10,7 +10,6 @@ from pairlens.operators import checks
 from pairlens.operators.durable import scratch
 from pairlens.plans.views import sql_bucket, table
 from pairlens.sources import readers, writers
-from pairlens.streaming import journal
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -151,15 +150,3 @@ def rehashed_files(spark, sf_dir):
     files = readers.checksums(spark, f"{path}/*/*.txt")
     stated = files.withColumn("sha256", F.when(F.col("path").contains("region=3"), F.lit("0")).otherwise(F.col("sha256")))
     return checks.rehashed(stated, files).groupBy(F.regexp_extract("path", "region=([^/]*)", 1).alias("region")).agg(F.bool_and("matches").alias("matches"))
-
-
-@query("""with e as (select event_type, count(*) as n, count(*) filter (user_id % 2 = 0) as even from events group by event_type) select * from e""")
-def journal_summary(spark, sf_dir):
-    """Events appended to a journal, taken in by a stream into a table, and summed by type."""
-    log, out, state = (scratch(spark, k) for k in ("journal", "taken", "state"))
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 2 == 0).alias("even"), F.col("ts").cast("timestamp").alias("at"))
-    writers.append(e, log)
-    schema = "event_id long, event_type string, even boolean, at timestamp"
-    journal.run_once(journal.intake(spark, log, schema, ["event_id"], "at"), out, state)
-    taken = readers.parquet(spark, out)
-    return taken.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("even").alias("even"))

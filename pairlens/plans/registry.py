@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pairlens.plans import cases, checking, designs, logs, paired, selecting, texts
+from pairlens.plans import cases, checking, designs, logs, paired, selecting, streams, texts
 
-MODULES = [paired, selecting, logs, texts, designs, cases, checking]
+MODULES = [paired, selecting, logs, texts, designs, cases, checking, streams]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

@@ -166,21 +166,17 @@ def journal_audit(spark, sf_dir):
     return audits.journal(start.unionByName(end), "call_id", "event", "at", ["request"])
 
 
-@query("""with l as (select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 'read' else 'decision' end as kind, l_linestatus = 'F' and l_quantity < 3 as success,
-        row_number() over w as place, lag(case when l_returnflag = 'R' then 'read' else 'decision' end) over w as before, max(l_linenumber) over (partition by l_orderkey) as last
-        from lineitem window w as (partition by l_orderkey order by l_linenumber))
-    select unnest(list_filter([case when place <> l_linenumber then 'index' end, case when kind = 'read' and before is distinct from 'decision' then 'read_order' end,
-        case when success and l_linenumber <> last then 'after_success' end, case when l_linenumber > 5 then 'budget' end], lambda x: x is not null)) as rule, l_orderkey || '|' || l_linenumber as key, kind as detail
-    from l where not exists (select 1 from (select l_orderkey as k, l_linenumber as n from lineitem group by all having count(*) > 1) d where d.k = l.l_orderkey)""")
+@query("""with l as (select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 'read' else 'decision' end as kind, l_suppkey % 2 as candidate, l_linestatus = 'F' and l_quantity < 3 as success from lineitem),
+        c as (select *, row_number() over w as place, lag(kind) over w as kind_before, lag(candidate) over w as candidate_before, count(*) over (partition by l_orderkey, l_linenumber) as copies, max(l_linenumber) over (partition by l_orderkey) as last
+            from l window w as (partition by l_orderkey order by l_linenumber, kind, candidate))
+    select unnest(list_filter([case when place <> l_linenumber then 'index' end, case when copies > 1 then 'duplicate' end, case when kind = 'read' and (kind_before is distinct from 'decision' or candidate_before is distinct from candidate) then 'read_order' end,
+        case when success and l_linenumber <> last then 'after_success' end, case when place > 5 then 'budget' end], lambda x: x is not null)) as rule, l_orderkey || '|' || l_linenumber as key, kind as detail from c""")
 def adjacency_audit(spark, sf_dir):
-    """Order lines as calls: contiguous indices, reads behind decisions, success last, a budget of five.
-
-    Orders whose line numbers repeat have no defined sequence and are left to the key audit.
-    """
-    li = table(spark, sf_dir, "lineitem")
-    twice = li.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").select("l_orderkey").distinct()
-    c = li.join(twice, "l_orderkey", "left_anti").withColumn("kind", F.when(F.col("l_returnflag") == "R", "read").otherwise("decision")).withColumn("success", (F.col("l_linestatus") == "F") & (F.col("l_quantity") < 3))
-    return audits.adjacency(c, ["l_orderkey"], "l_linenumber", "kind", "success", 5)
+    """All order lines as calls: indices 1..n, each once, reads behind the decision on their candidate, success last, a budget of five."""
+    c = table(spark, sf_dir, "lineitem").withColumns({
+        "kind": F.when(F.col("l_returnflag") == "R", "read").otherwise("decision"), "candidate": F.col("l_suppkey") % 2, "success": (F.col("l_linestatus") == "F") & (F.col("l_quantity") < 3),
+    })
+    return audits.adjacency(c, ["l_orderkey"], "l_linenumber", "kind", "candidate", "success", 5)
 
 
 @query("""select 'domain' as rule, l_orderkey || '|' || l_linenumber as key, case when not (l_quantity between 1 and 45) then 'quantity' when l_discount > 0.08 then 'discount' when l_returnflag not in ('A', 'N') then 'flag' end as detail

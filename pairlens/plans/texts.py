@@ -88,14 +88,13 @@ def answer_scores(spark, sf_dir):
 @query("""with t as (select doc_id, lower(coalesce(text, 'None')) as t from documents),
         c as (select doc_id, t, trim(regexp_replace(regexp_replace(regexp_replace(t, '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g'), '[^a-z0-9'']+', ' ', 'g')) as n from t),
         w as (select doc_id, t, string_split(n, ' ') as w from c)
-    select doc_id, case when regexp_matches(t, '(^|[^\\p{L}\\p{N}_])no([^\\p{L}\\p{N}_]|$)') then 'a' when regexp_matches(t, '(^|[^\\p{L}\\p{N}_])yes([^\\p{L}\\p{N}_]|$)') then 'b' else 'invalid' end as binary_said,
+    select doc_id, case when regexp_matches(t, '^[\\s\\x0B\\x{85}\\p{Z}]*\\(?a\\)?([\\s\\x0B\\x{85}\\p{Z}.,:;]|$)') then 'a' when regexp_matches(t, '^[\\s\\x0B\\x{85}\\p{Z}]*\\(?b\\)?([\\s\\x0B\\x{85}\\p{Z}.,:;]|$)') then 'b'
+            when regexp_matches(t, '(^|[^\\p{L}\\p{N}_])no([^\\p{L}\\p{N}_]|$)') then 'a' when regexp_matches(t, '(^|[^\\p{L}\\p{N}_])yes([^\\p{L}\\p{N}_]|$)') then 'b' else 'invalid' end as binary_said,
         md5(case when len(w) = 1 and w[1] in ('a', 'an', 'the') then w[1] else array_to_string(list_transform(list_filter(w, lambda x: x not in ('a', 'an', 'the')),
-            lambda x: coalesce(map {'zero': '0', 'one': '1', 'two': '2', 'three': '3', 'four': '4', 'five': '5', 'six': '6', 'seven': '7', 'eight': '8', 'nine': '9', 'ten': '10'}[x], x)), ' ') end) as normal
-    from w where not regexp_matches(ltrim(t, e' \\n\\t'), '^\\(?[ab]\\)?(\\s|$|[.,:;])')""")
+            lambda x: coalesce(map {'zero': '0', 'one': '1', 'two': '2', 'three': '3', 'four': '4', 'five': '5', 'six': '6', 'seven': '7', 'eight': '8', 'nine': '9', 'ten': '10'}[x], x)), ' ') end) as normal from w""")
 def document_answers(spark, sf_dir):
-    """Binary answers and normal forms of whole document texts that do not open with a letter."""
+    """Binary answers and normal forms of all whole document texts; a text may open with its letter."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("None")).alias("t"))
-    d = d.where(~F.lower(T.strip(F.col("t"))).rlike(r"(?U)\A\(?[ab]\)?(?:\s|\z|[.,:;])"))
     return d.select("doc_id", T.binary_answer(F.col("t")).alias("binary_said"), F.md5(T.normalize_answer(F.col("t"))).alias("normal"))
 
 

@@ -211,8 +211,11 @@ def test_audits_find_each_mutation(spark):
     assert {r.detail for r in audits.invariance(bad, ["item"], ["fam", "note"]).collect()} == {"fam", "note"}
     calls = spark.createDataFrame([("x", "call_started", 1, "p"), ("x", "call_finished", 2, "p"), ("y", "call_started", 5, "p"), ("y", "call_finished", 3, "q"), ("z", "call_started", 1, "p")], "c string, k string, t int, prompt string")
     assert {(r.rule, r.key) for r in audits.journal(calls, "c", "k", "t", ["prompt"]).collect()} == {("time", "y"), ("field prompt", "y"), ("finishes", "z")}
-    seq = spark.createDataFrame([(1, 1, "decision", False), (1, 2, "read", True), (2, 1, "read", False), (2, 3, "decision", False)], "i int, n int, k string, s boolean")
-    assert {(r.rule, r.key) for r in audits.adjacency(seq, ["i"], "n", "k", "s", 2).collect()} == {("read_order", "2|1"), ("index", "2|3"), ("budget", "2|3")}
+    seq = [(1, 1, "decision", 7, False), (1, 2, "read", 7, True), (2, 1, "read", 7, False), (2, 3, "decision", 7, False), (3, 1, "decision", 7, True), (3, 2, "read", 8, False), (4, 1, "decision", 7, False), (4, 1, "decision", 7, False), (4, 2, "read", 7, False)]
+    seq = spark.createDataFrame(seq, "i int, n int, k string, c int, s boolean")
+    assert sorted((r.rule, r.key) for r in audits.adjacency(seq, ["i"], "n", "k", "c", "s", 2).collect()) == sorted([
+        ("read_order", "2|1"), ("index", "2|3"), ("after_success", "3|1"), ("read_order", "3|2"), ("duplicate", "4|1"), ("duplicate", "4|1"), ("index", "4|1"), ("index", "4|2"), ("budget", "4|2"),
+    ])
     assert one(spark, audits.one_difference(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1), F.lit(3))), audits.one_difference(F.array(F.lit(1)), F.array(F.lit(1))))  == (True, False)
 
 

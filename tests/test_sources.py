@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.sources import readers, writers
-from pairlens.streaming import journal
 
 
 def put(path, text):
@@ -95,17 +94,3 @@ def test_writers(spark, tmp_path):
     writers.one_json(spark, str(tmp_path / "one.json"), {"a": 1})
     writers.one_json(spark, str(tmp_path / "one.json"), {"a": "é"})
     assert json.loads((tmp_path / "one.json").read_text("utf-8")) == {"a": "é"}
-
-
-def test_stream_resumes_and_deduplicates(spark, tmp_path):
-    put(tmp_path / "in/a.json", '{"k": 1, "ok": true, "at": "2024-01-01T00:00:00Z"}\n{"k": 1, "ok": true, "at": "2024-01-01T00:01:00Z"}\n')
-    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
-    stream = lambda: journal.intake(spark, str(tmp_path / "in"), "k int, ok boolean, at timestamp", ["k"], "at")
-    journal.run_once(stream(), out, cp)
-    put(tmp_path / "in/b.json", '{"k": 1, "ok": true, "at": "2024-01-01T00:02:00Z"}\n{"k": 2, "ok": false, "at": "2024-01-01T00:03:00Z"}\n')
-    journal.run_once(stream(), out, cp)
-    assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
-    raw = spark.readStream.schema("k int, ok boolean, at timestamp").json(str(tmp_path / "in"))
-    journal.run_summary(journal.summary(raw, ["k"], "ok"), "running", str(tmp_path / "cp2"))
-    assert {(r.k, r.n, r.rate) for r in spark.table("running").collect()} == {(1, 3, 1.0), (2, 1, 0.0)}
-    journal.run_once(journal.windowed(raw, "at", ["k"]), str(tmp_path / "w"), str(tmp_path / "cp3"))
