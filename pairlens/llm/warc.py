@@ -9,14 +9,17 @@ Of records with equal payloads (compared by SHA-256, at least `least_bytes` long
 the one with the largest page_id is a response; the others revisit it and carry
 its HTTP header without the payload.
 
-Archives are written to a folder that all executors share, under names made of
-the partition's number, each under a temporary name first: a task that runs again
-replaces its own files.
+Archives are written to a folder that all executors share, under names that hold
+the partition and the attempt of their task.  The list of archives is what the
+committed tasks report; the reader opens only those and holds their size and count
+of records against the list.  What a lost attempt left behind is never read.
 
 Defined cases: null html is an empty payload; a null url leaves the target URI
 out; a null page_id is written as such and revisits a known one; rows that repeat
-a page_id and its payload are all responses if they hold the largest id; an empty
-table writes no archive and gives an empty result; extra columns are not read.
+a page_id and its payload are all responses if they hold the largest id, and rows of
+one page_id with several payloads are records of their own (a record's id names the
+page and the payload's digest); an empty table writes no archive and gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -54,12 +57,12 @@ def sha1_32(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def page_uri(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def page_uri(page_id: int | None, digest: str) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}>"
 
 
 def page_of(uri: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:(null|-?\d+)>", uri)
+    found = re.fullmatch(r"<urn:page:(null|-?\d+):[A-Z2-7]{32}>", uri)
     if not found:
         raise WarcError(f"no page in {uri!r}")
     return None if found[1] == "null" else int(found[1])
@@ -68,14 +71,14 @@ def page_of(uri: str) -> int | None:
 def build(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None = None, date: str = DATE) -> bytes:
     """One record: head, block and the two line ends behind it."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {page_uri(page_id)}", f"WARC-Date: {date}"]
+    block, digest = http + payload if kind == "response" else http, sha1_32(payload)
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {page_uri(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}" if m[0] != "%" else "%", url))
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {page_uri(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {page_uri(refers_to, digest)}"]
     head += [
-        f"WARC-Block-Digest: sha1:{sha1_32(block)}", f"WARC-Payload-Digest: sha1:{sha1_32(payload)}",
+        f"WARC-Block-Digest: sha1:{sha1_32(block)}", f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -230,7 +233,7 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the rows of `decided` as .warc.zst files into folder; (file, records, bytes) of each, lazily."""
+    """Write the rows of `decided` as .warc.zst files into folder; ARCHIVES, one row each, as the committed tasks reported them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -250,10 +253,9 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                     used += len(r)
                 dictionary, known = train(samples), True
             raw = write_archive(rows, dictionary)
-            name = f"part-{part:06d}-{number:05d}.warc.zst"
-            with fs.open_output_stream(f"{base}/_{attempt}-{name}", compression=None) as out:
+            name = f"part-{part:06d}-{attempt}-{number:05d}.warc.zst"
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(raw)
-            fs.move(f"{base}/_{attempt}-{name}", f"{base}/{name}")
             done = pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([len(rows)], pa.int64()), "bytes": pa.array([len(raw)], pa.int64())})
             number, rows, size = number + 1, [], 0
             return done
@@ -270,37 +272,48 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 
     fs, base = _filesystem(folder)
     fs.create_dir(base, recursive=True)
-    return records.mapInArrow(run, "file string, records long, bytes long")
+    return stored(records.mapInArrow(run, ARCHIVES), "archives")
 
 
+ARCHIVES = "file string, records long, bytes long"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def read_archives(spark, folder: str, with_payload: bool = True) -> DataFrame:
-    """READ for every record of the archives in folder (payload null if not asked for, or of a revisit)."""
+def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+    """READ for every record of the listed archives in folder (payload null if not asked for, or of a revisit)."""
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _filesystem(folder)
         for b in batches:
-            for k in range(b.num_rows):
-                rows = []
-                for r in read_archive(b.column(0)[k].as_py()):
+            for name, records, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as file:
+                    raw = file.read()
+                rows, seen = [], 0
+                if len(raw) != size:
+                    raise WarcError(f"{name} has {len(raw)} bytes, {size} were written")
+                for r in read_archive(raw):
                     payload = r.payload if with_payload and r.kind == "response" else None
                     rows.append((r.page_id, r.headers.get("warc-target-uri"), r.payload_bytes, r.payload_digest, r.kind, r.refers_to, payload))
+                    seen += 1
                     if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=columns)
+                        yield batch(rows)
                         rows = []
+                if seen != records:
+                    raise WarcError(f"{name} has {seen} records, {records} were written")
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=columns)
+                    yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(run, READ)
+    # a task an archive; the list was stored, so a task that runs again has the same names
+    return archives.select("file", "records", "bytes").repartition(max(1, archives.count())).mapInArrow(run, READ)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to, read from archives written for pages."""
-    spark = pages.sparkSession
-    folder = folder or new_folder(spark, "warc")
-    write_archives(decided(pages, least_bytes), folder).agg(F.sum("records")).collect()
-    return read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = folder or new_folder(pages.sparkSession, "warc")
+    archives = write_archives(decided(pages, least_bytes), folder)
+    return read_archives(archives, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -4,6 +4,7 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from pairlens.llm import warc as op
 
@@ -40,14 +41,39 @@ def test_files_hold_payloads_and_dictionary(spark, tmp_path):
     rows = pages()[:200]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     folder = f"file://{tmp_path}/out"
-    made = op.write_archives(op.decided(df), folder, archive_bytes=20_000).collect()
+    listed = op.write_archives(op.decided(df), folder, archive_bytes=20_000)
+    made = listed.collect()
     assert sum(m.records for m in made) == 200 and len(made) > 3
     first = (tmp_path / "out" / made[0].file).read_bytes()
     assert struct.unpack("<I", first[:4])[0] == op.SKIPPABLE
-    html = {r.page_id: r.payload for r in op.read_archives(spark, folder).collect() if r.record_type == "response"}
+    html = {r.page_id: r.payload for r in op.read_archives(listed, folder).collect() if r.record_type == "response"}
     assert html and all(html[i] == h.encode() for i, _, h in rows if i in html)
 
 
+def test_archives_of_other_attempts_are_not_read(spark, tmp_path):
+    df = spark.createDataFrame(pages()[:200], "page_id long, url string, html string").repartition(1)
+    folder = f"file://{tmp_path}/out"
+    order = op.decided(df).repartition(1)
+    listed = op.write_archives(order.sortWithinPartitions("page_id"), folder, archive_bytes=9_000)
+    # a task that runs once more, over its rows in another order, leaves archives of its own
+    again = op.write_archives(order.sortWithinPartitions(F.length("payload")), folder, archive_bytes=9_000)
+    assert {r.file for r in listed.collect()}.isdisjoint({r.file for r in again.collect()}) and [r.records for r in listed.collect()] != [r.records for r in again.collect()]
+    for made in (listed, again):
+        assert sorted(r.page_id for r in op.read_archives(made, folder).collect()) == list(range(200))
+    (tmp_path / "out" / listed.first().file).write_bytes(b"")
+    with pytest.raises(Exception, match="bytes, .* were written"):
+        op.read_archives(listed, folder).collect()
+
+
+def test_one_page_with_several_payloads(spark, tmp_path):
+    rows = [(1, "http://a", "one"), (1, "http://a", "two"), (2, "http://b", "two"), (2, "http://b", "two")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in op.round_trip(df).collect()), key=str) == brute(rows)
+    raw = [op.build(i, u, h.encode(), "response") for i, u, h in rows]
+    ids = [op.read_record(r).headers["warc-record-id"] for r in raw]
+    assert len(set(ids)) == 3 and [op.page_of(i) for i in ids] == [1, 1, 2, 2]
+
+
 def test_empty_table(spark):
     assert op.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
