@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pairlens.functions.hashing import bucket
 from pairlens.functions.nulls import is_value, rate, truthy
 from pairlens.functions.stats import cluster_error, discordant, holm, interval_alpha, mcnemar, wilson
-from pairlens.operators import pairs, resample
+from pairlens.operators import fixed_bootstrap, pairs, resample
+from pairlens.operators.fixed_bootstrap import means_sql as fixed_sql
 from pairlens.operators.resample import DRAWS, means_sql
 from pairlens.plans.views import CUES, MODELS, RUNS3, RUNS5, RUNS6, literals, runs3, runs5, runs6, sql_bucket, sql_list, table
 
@@ -299,16 +300,50 @@ def repeated_rating_error(spark, sf_dir):
 
 
 @query(f"""with {WIDE3}, s as (select model, source, count(*) filter (eligible) as n, count(*) filter (eligible and hit) as k from wide3 group by all),
-        t as (select model, count(*) as cells, sum(n)::bigint as pooled_n, sum(k)::bigint as pooled_k, count(*) filter (n > 0 and k * 2 > n) as positive_cells, count(*) filter (n = 0) as empty,
-            avg(2.0 * k / nullif(n, 0) - 1) - 1.959963984540054 * stddev_samp(2.0 * k / nullif(n, 0) - 1) / sqrt(count(*) filter (n > 0)) as low from s group by model)
-    select model, cells, pooled_n, pooled_k, round(pooled_k::double / nullif(pooled_n, 0), 9) as pooled_rate, positive_cells, round(low, 9) as low,
-           case when empty > 0 then 'incomplete' when coalesce(low > 0, false) and positive_cells >= 6 then 'supported' else 'not supported' end as claim from t""")
+        t as (select model, count(*) as cells, sum(n)::bigint as pooled_n, sum(k)::bigint as pooled_k, count(*) filter (n > 0 and k * 2 > n) as positive_cells from s group by model),
+        m as ({fixed_sql("(select model, 'all' as one, case when hit then 1 else -1 end as effect from wide3 where eligible)", "model", "one", "effect", 9001)}),
+        i as (select model, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m group by model)
+    select model, cells, pooled_n, pooled_k, round(pooled_k::double / nullif(pooled_n, 0), 9) as pooled_rate, positive_cells, low, high,
+           case when cells <> (select count(distinct source) from documents) then 'incomplete' when coalesce(low > 0, false) and positive_cells >= 6 then 'supported' else 'not supported' end as claim from t left join i using (model)""")
 def pooled_claim_gate(spark, sf_dir):
-    """Cell-local eligibility pooled over cells, and the claim that the cells' effects lie above zero and six cells or more are positive."""
-    cells = pairs.double_control(runs3(spark, sf_dir), ["model", "source"]).withColumn("effect", 2 * rate(F.col("dc_k"), F.col("dc_n")) - 1)
+    """Cell-local eligibility pooled over cells, and the claim that the pooled bootstrap lies above zero and six cells or more are positive; another number of cells than planned is incomplete."""
+    r = runs3(spark, sf_dir)
+    cells = pairs.double_control(r, ["model", "source"])
     positive = (F.col("dc_n") > 0) & (F.col("dc_k") * 2 > F.col("dc_n"))
-    out = cells.groupBy("model").agg(F.count("*").alias("cells"), F.sum("dc_n").alias("pooled_n"), F.sum("dc_k").alias("pooled_k"), F.count_if(positive).alias("positive_cells"), F.count_if(F.col("dc_n") == 0).alias("empty"))
-    out = out.join(cluster_error(cells.where("effect is not null"), "source", "effect", ["model"]).select("model", "low"), "model", "left")
+    out = cells.groupBy("model").agg(F.count("*").alias("cells"), F.sum("dc_n").alias("pooled_n"), F.sum("dc_k").alias("pooled_k"), F.count_if(positive).alias("positive_cells"))
+    # an item counts one for a hit and minus one for none, so the mean is the effect
+    values = cells.select("model", F.explode(F.array(F.struct(F.lit(1.0).alias("effect"), F.col("dc_k").alias("rows")), F.struct(F.lit(-1.0).alias("effect"), (F.col("dc_n") - F.col("dc_k")).alias("rows")))).alias("x")).select("model", F.lit("all").alias("one"), "x.effect", "x.rows")
+    ends = resample.intervals(fixed_bootstrap.bootstrap_means(values, ["model"], "one", "effect", DRAWS, 9001, rows="rows"), ["model"]).select("model", "low", "high")
+    planned = table(spark, sf_dir, "documents").agg(F.count_distinct("source").alias("planned"))
+    out = out.join(ends, "model", "left").join(F.broadcast(planned), F.lit(True))
     above = F.coalesce(F.col("low") > 0, F.lit(False)) & (F.col("positive_cells") >= 6)
-    claim = F.when(F.col("empty") > 0, "incomplete").when(above, "supported").otherwise("not supported")
-    return pairs.rounded(out.select("model", "cells", "pooled_n", "pooled_k", rate(F.col("pooled_k"), F.col("pooled_n")).alias("pooled_rate"), "positive_cells", "low", claim.alias("claim")))
+    claim = F.when(F.col("cells") != F.col("planned"), "incomplete").when(above, "supported").otherwise("not supported")
+    return pairs.rounded(out.select("model", "cells", "pooled_n", "pooled_k", rate(F.col("pooled_k"), F.col("pooled_n")).alias("pooled_rate"), "positive_cells", "low", "high", claim.alias("claim")))
+
+
+TRUE_RIGHT = f"""{RUNS3}, right3 as (select model, item_id, source, coalesce(max(decide) filter (condition = 'record_true') = 'consistent', false)::int as ok from runs3 group by all),
+    versus as (select b.model, a.item_id, a.source, a.ok as a, b.ok as b, b.ok - a.ok as d from right3 a join right3 b using (item_id) where a.model = 'm0' and b.model in ('m1', 'm2'))"""
+
+
+@query(f"""with {TRUE_RIGHT}, m as ({fixed_sql("versus", "model", "source", "d", 20260914)}),
+        i as (select model, count(*) as draws, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m group by model)
+    select model, count(*) as n, sum(a)::bigint as a_count, sum(b)::bigint as b_count, count(*) filter (d > 0) as plus, count(*) filter (d < 0) as minus, round(avg(d), 9) as delta, any_value(draws) as draws, any_value(low) as low, any_value(high) as high
+    from versus join i using (model) group by model""")
+def stratified_paired_bootstrap(spark, sf_dir):
+    """Two models against the first on the same items: paired counts, difference, and its interval by 10,000 resamples of fixed size within sources, pooled."""
+    right = runs3(spark, sf_dir).where("condition = 'record_true'").groupBy("item_id", "source").pivot("model", ["m0", "m1", "m2"]).agg(F.max(is_value("decide", "consistent").cast("int")))
+    versus = right.select("item_id", "source", F.col("m0").alias("a"), F.explode(F.create_map(F.lit("m1"), F.col("m1"), F.lit("m2"), F.col("m2"))).alias("model", "b")).withColumn("d", F.col("b") - F.col("a"))
+    whole = versus.groupBy("model").agg(F.count("*").alias("n"), F.sum("a").alias("a_count"), F.sum("b").alias("b_count"), F.count_if(F.col("d") > 0).alias("plus"), F.count_if(F.col("d") < 0).alias("minus"), F.round(F.avg("d"), 9).alias("delta"))
+    return whole.join(resample.intervals(fixed_bootstrap.bootstrap_means(versus, ["model"], "source", "d", DRAWS, 20260914), ["model"]).drop("mean"), "model")
+
+
+@query(f"""with {RUNS5}, p as (select model, item_id, max((coalesce(parsed = gold, false))::int) filter (condition = 'clean_true') as a, max((coalesce(parsed = gold, false))::int) filter (condition = 'scene_true') as b from runs5 group by all),
+        d as (select model, 'all' as one, b - a as d from p), m as ({fixed_sql("d", "model", "one", "d", 31)}), i as (select model, count(*) as draws, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m group by model)
+    select model, any_value(draws) as draws, round(avg(d), 9) as gain, any_value(low) as low, any_value(high) as high from d join i using (model) group by model""")
+def paired_gain(spark, sf_dir):
+    """Paired bootstrap of a difference: right answers on scene records less those on clean ones, item by item, for each model."""
+    ok = F.coalesce(F.col("parsed") == F.col("gold"), F.lit(False)).cast("int")
+    p = runs5(spark, sf_dir).groupBy("model", "item_id").agg(*[F.max(F.when(F.col("condition") == c, ok)).alias(k) for k, c in (("a", "clean_true"), ("b", "scene_true"))])
+    d = p.select("model", F.lit("all").alias("one"), (F.col("b") - F.col("a")).alias("d"))
+    ends = resample.intervals(fixed_bootstrap.bootstrap_means(d, ["model"], "one", "d", DRAWS, 31), ["model"]).drop("mean")
+    return ends.join(d.groupBy("model").agg(F.round(F.avg("d"), 9).alias("gain")), "model")
