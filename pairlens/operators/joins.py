@@ -1,4 +1,4 @@
-"""Joins beyond equality: nearest in time with tolerance, nearest in space, pairing with baselines."""
+"""Joins beyond equality: nearest in time with tolerance, last value before, ids in every source, first accepted rows."""
 
 from __future__ import annotations
 
@@ -40,12 +40,6 @@ def latest_before(left: DataFrame, right: DataFrame, by: list[str], tick: str, o
     return both.withColumn(f"last_{field}", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__t", "__side", "__v")
 
 
-def nearest_in_space(left: DataFrame, right: DataFrame, cell: list[str], lat: str, lon: str, rlat: str, rlon: str, id_: str, pos: str) -> DataFrame:
-    """For each row of left (id_) the row of right in the same cell at the least distance; the first position wins ties."""
-    d = left.join(right, cell).withColumn("km", haversine(F.col(lat), F.col(lon), F.col(rlat), F.col(rlon)))
-    return d.groupBy(id_).agg(F.min(F.struct(F.round("km", 6).alias("km"), F.col(pos).alias(pos))).alias("__n")).select(id_, f"__n.{pos}", "__n.km")
-
-
 def in_every(df: DataFrame, id_: str, source: str, k: int) -> DataFrame:
     """Ids that occur in k sources."""
     return df.groupBy(id_).agg(F.count_distinct(source).alias("__k")).where(F.col("__k") == k).select(id_)

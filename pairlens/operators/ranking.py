@@ -33,6 +33,14 @@ def ranked(df: DataFrame, order: list, by: list | None = None, out: str = "rank"
     return met.withColumn(out, F.col("__at") + F.col("__before")).drop("__lead", "__range", "__at", "__before", *[f"__{c}" for c in by])
 
 
+def with_digits(df: DataFrame, number: str, out: str) -> DataFrame:
+    """df with an integer column as hex digits of one width that sort as the numbers do, spread over their range: an order for `ranked`."""
+    ends = df.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    width = max(2, len(f"{high - low:x}"))
+    return df.withColumn(out, F.lpad(F.lower(F.hex(F.col(number) - F.lit(low))), width, "0"))
+
+
 def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlens.functions import hashing as H
 from pairlens.functions import text as T
 from pairlens.functions.nulls import is_value
-from pairlens.operators import audits, pairs, ranking, resample
+from pairlens.operators import audits, digests, pairs, ranking, resample
 from pairlens.plans.paired import DID, did
 from pairlens.plans.selecting import OBSERVED, observed
 from pairlens.plans.views import RUNS3, RUNS6, literals, runs3, runs6, sql_bucket, sql_list, table
@@ -204,7 +204,7 @@ def decision_semantics(spark, sf_dir):
 def denominator_audit(spark, sf_dir):
     """Whether every model has the same eligible items, by digest of the sorted ids."""
     w = pairs.pivot_conditions(runs3(spark, sf_dir), ["model", "item_id"], "condition", ["record_true"], ["decide"])
-    d = w.where(is_value("decide_record_true", "consistent")).groupBy("model").agg(F.count("*").alias("n"), H.set_digest(F.col("item_id")).alias("ids"))
+    d = digests.set_digests(w.where(is_value("decide_record_true", "consistent")), "model", "item_id").select("model", F.col("lines").alias("n"), F.col("sha256").alias("ids"))
     return d.agg(F.count("*").alias("models"), F.count_distinct("ids").alias("denominators"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
 
 

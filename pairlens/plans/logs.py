@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pairlens.functions import hashing as H
 from pairlens.functions.nulls import rate
 from pairlens.operators import joins, summaries
+from pairlens.operators.nearest import nearest_place
 from pairlens.operators.pairs import rounded
+from pairlens.operators.quantiles import quantiles
 from pairlens.operators.resample import DRAWS, bootstrap_means, intervals, means_sql
 from pairlens.plans.views import literals, sql_bucket, table
 
@@ -82,7 +84,10 @@ def terminal_summary(spark, sf_dir):
 
 @query("""select event_type, count(value) as count, round(min(value), 9) as minimum, round(max(value), 9) as maximum, round(avg(value), 9) as mean, round(median(value), 9) as median, count(distinct user_id) as users from events group by event_type""")
 def distribution_block(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(*summaries.distribution("value"), F.count_distinct("user_id").alias("users")))
+    e = table(spark, sf_dir, "events")
+    block = e.groupBy("event_type").agg(*summaries.distribution("value"), F.count_distinct("user_id").alias("users"))
+    middle = quantiles(e, ["event_type"], "value", {"median": (0.5, "linear")}).select(F.col("event_type").alias("__type"), "median")
+    return rounded(block.join(middle, F.col("event_type").eqNullSafe(F.col("__type")), "left").drop("__type"))
 
 
 @query("""select l_orderkey, max(l_extendedprice) as l_extendedprice, arg_max(l_partkey, struct_pack(a := l_extendedprice, b := -l_linenumber)) as l_partkey, round(max(l_quantity) - min(l_quantity), 9) as spread,
@@ -97,7 +102,8 @@ def largest_in_group(spark, sf_dir):
 @query("""with r as (select l_orderkey, max(l_quantity) - min(l_quantity) as spread from lineitem group by all) select count(*) as items, round(avg(spread), 9) as mean, round(median(spread), 9) as median, max(spread) as most from r""")
 def within_item_range(spark, sf_dir):
     r = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.max("l_quantity") - F.min("l_quantity")).alias("spread"))
-    return rounded(r.agg(F.count("*").alias("items"), F.avg("spread").alias("mean"), F.median("spread").alias("median"), F.max("spread").alias("most")))
+    middle = quantiles(r, [], "spread", {"median": (0.5, "linear")}).select("median")
+    return rounded(r.agg(F.count("*").alias("items"), F.avg("spread").alias("mean"), F.max("spread").alias("most")).join(F.broadcast(middle), F.lit(True), "left"))
 
 
 @query("""with p as (select l_returnflag || '-' || l_linestatus || '-' || (l_linenumber % 2) as policy, l_orderkey, (l_discount > 0.05)::int as ok from lineitem),
@@ -172,14 +178,14 @@ def latest_event_before(spark, sf_dir):
     return joins.latest_before(p, v, ["user_id"], "ts", "t2", "value").select("event_id", "last_value")
 
 
-@query("""with s as (select s_suppkey, s_nationkey, (s_suppkey * 7 % 60)::double as lat, (s_suppkey * 13 % 90)::double as lon from supplier), c as (select c_custkey, c_nationkey, (c_custkey * 11 % 60)::double as lat, (c_custkey * 17 % 90)::double as lon from customer),
-        d as (select c_custkey, s_suppkey, round(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin((radians(s.lat) - radians(c.lat)) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin((radians(s.lon) - radians(c.lon)) / 2), 2)))), 6) as km from c join s on c_nationkey = s_nationkey)
-    select c_custkey, arg_min(s_suppkey, struct_pack(km := km, s := s_suppkey)) as s_suppkey, round(min(km), 4) as km from d group by c_custkey""")
+@query("""with s as (select s_suppkey, s_nationkey, (s_suppkey * 7 % 181 - 90)::double as lat, (s_suppkey * 13 % 361 - 180)::double as lon from supplier), c as (select c_custkey, c_nationkey, (c_custkey * 11 % 181 - 90)::double as lat, (c_custkey * 17 % 361 - 180)::double as lon from customer),
+        d as (select c_custkey, s_suppkey, 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - c.lon) / 2), 2)))) as km from c join s on c_nationkey = s_nationkey)
+    select c_custkey, round(min(km), 4) as km from d group by c_custkey""")
 def nearest_station(spark, sf_dir):
-    """The nearest supplier of a customer's nation by great-circle distance."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") * 7 % 60).cast("double").alias("lat2"), (F.col("s_suppkey") * 13 % 90).cast("double").alias("lon2"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") * 11 % 60).cast("double").alias("lat"), (F.col("c_custkey") * 17 % 90).cast("double").alias("lon"))
-    return joins.nearest_in_space(c, F.broadcast(s), ["nation"], "lat", "lon", "lat2", "lon2", "c_custkey", "s_suppkey").withColumn("km", F.round("km", 4))
+    """The distance of the nearest supplier of a customer's nation, anywhere on the sphere, by a grid of cubes."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") * 7 % 181 - 90).cast("double").alias("lat2"), (F.col("s_suppkey") * 13 % 361 - 180).cast("double").alias("lon2"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") * 11 % 181 - 90).cast("double").alias("lat"), (F.col("c_custkey") * 17 % 361 - 180).cast("double").alias("lon"))
+    return nearest_place(c, s, ["nation"], "lat", "lon", "lat2", "lon2", "s_suppkey").select("c_custkey", F.round("km", 4).alias("km"))
 
 
 @query("""with a as (select user_id, event_type, count(*) as n from events group by all) select user_id from a group by user_id having count(distinct event_type) = 5""")

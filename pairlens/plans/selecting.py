@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairlens.functions import hashing as H
-from pairlens.operators import audits, ranking
+from pairlens.operators import audits, digests, ranking
 from pairlens.plans.views import RUNS3, STATES, runs3, sql_bucket, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -196,9 +196,11 @@ def product_balance_audit(spark, sf_dir):
         sha256(string_agg(sha256(lang || k), chr(10) order by doc_id)) as sequence_digest from a group by lang""")
 def set_digests(spark, sf_dir):
     """Digest of a sorted id set, and of a sequence of hashes in order of position."""
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    a = table(spark, sf_dir, "documents").select("doc_id", "lang", F.row_number().over(w).alias("k"))
-    return a.groupBy("lang").agg(H.set_digest(F.col("doc_id")).alias("id_digest"), H.sequence_digest(F.col("doc_id"), F.sha2(F.concat(F.col("lang"), F.col("k").cast("string")), 256)).alias("sequence_digest"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    a = ranking.ranked(ranking.with_digits(d, "doc_id", "place"), ["place"], ["lang"], wide=True)
+    ids = digests.set_digests(d, "lang", "doc_id").select("lang", F.col("sha256").alias("id_digest"))
+    lines = F.sha2(F.concat(F.col("lang"), (F.col("rank") + 1).cast("string")), 256)
+    return ids.join(digests.sequence_digests(a, "lang", ["doc_id"], lines).select("lang", F.col("sha256").alias("sequence_digest")), "lang")
 
 
 @query("""with h as (select doc_id, sha256(concat_ws(':', 'pick', doc_id)) as x from documents) select doc_id, upper(substr(x, 1, 8)) as record_id, substr(x, 1, 12) as opaque_id, (('0x' || substr(x, 1, 16))::ubigint % 7)::bigint as choice,
