@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.operators.durable import kept
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -101,40 +100,61 @@ def shards(spark: SparkSession, glob: str, schema: T.StructType | str) -> DataFr
     return df.join(F.broadcast(order), F.lit(True)).withColumn("shard", F.array_position("__files", F.col("file")) - 1).drop("__files")
 
 
-def ids_in(value, pattern: str, prefix: str = "coco-") -> list[str]:
-    """Ids in a parsed JSON value: of sample_id fields, of lists in fields that end in _ids, and texts with the prefix in any list."""
-    found, open_ = [], [value]
-    while open_:
-        v = open_.pop()
-        if isinstance(v, dict):
-            for key, x in v.items():
-                if key == "sample_id":
-                    found += [str(x)] if isinstance(x, (str, int)) else []
-                elif key.endswith("_ids") and isinstance(x, list):
-                    found += map(str, x)
-                else:
-                    open_.append(x)
-        elif isinstance(v, list):
-            open_ += [x for x in v if isinstance(x, (dict, list))]
-            found += [str(x) for x in v if isinstance(x, (str, int)) and str(x).startswith(prefix)]
-    return [x for x in found if re.fullmatch(pattern, x)]
-
-
-def harvest_ids(spark: SparkSession, path: str, pattern: str = r"coco-\d{12}") -> DataFrame:
-    """(file, id, n): ids anywhere in the values of nested JSON files (or files of JSON lines) below a path; field names do not count."""
-
-    @F.pandas_udf("array<string>")
-    def walk(texts: pd.Series) -> pd.Series:
-        def one(t: str) -> list[str]:
-            try:
-                return ids_in(json.loads(t), pattern)
-            except json.JSONDecodeError:
-                return [x for line in t.splitlines() if line.strip() for x in ids_in(json.loads(line), pattern)]
-
-        return texts.map(one)
-
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True)
-    return text.select(F.input_file_name().alias("file"), "value").select("file", F.explode(walk("value")).alias("id")).groupBy("file", "id").agg(F.count("*").alias("n"))
+#: Kinds of JSON values that stand for an id.
+SCALARS = ["STRING", "BIGINT"]
+
+
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, v): the JSON values of all *.json* files below a path as variants: one a line where every line is a value, else one a file.
+
+    A file that is neither fails the query with its name.  (Spark's parser ends
+    behind the first value, so a file is only taken whole if its lines are none.)
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    parsed = text.select("file", "value", F.transform(lines, F.try_parse_json).alias("lines"))
+    by_line = F.forall("lines", lambda v: v.isNotNull())
+    whole = F.coalesce(F.try_parse_json("value"), F.raise_error(F.concat(F.lit("no JSON in "), F.col("file"))).cast("variant"))
+    return parsed.select("file", F.explode(F.when(by_line, F.col("lines")).otherwise(F.array(whole))).alias("v"))
+
+
+def below(nodes: DataFrame) -> DataFrame:
+    """The direct children of JSON values (file, v, and the list rule `ids` that holds in a value): file, role, v.
+
+    A role says what a child is to its parent: `sample` (the field sample_id),
+    `ids` (an element of a list in a field that ends in _ids), `listed` (an element
+    of another list), `field`.
+    """
+    nodes.createOrReplaceTempView("__nodes")
+    children = nodes.sparkSession.sql("select n.file, n.role as parent, e.key, e.value as v from __nodes n, lateral variant_explode(n.v) e")
+    is_list = F.schema_of_variant("v").startswith("ARRAY")
+    role = (
+        F.when(F.col("parent") == "id list", "ids").when(F.col("key").isNull(), "listed").when(F.col("key") == "sample_id", "sample")
+        .when(F.col("key").endswith("_ids") & is_list, "id list").otherwise("field")
+    )
+    return children.select("file", role.alias("role"), "v")
+
+
+def harvest_ids(spark: SparkSession, path: str, pattern: str = r"coco-\d{12}", prefix: str = "coco-") -> DataFrame:
+    """(file, id, n): ids in nested JSON files (or files of JSON lines) below a path, and how often.
+
+    Ids are the values of sample_id fields, the elements of lists in fields that
+    end in _ids, and elements of any list that begin with the prefix; all must
+    match the whole pattern.  Values are walked level by level as rows: no file
+    becomes one Python object, and a level's rows are written before the next.
+    """
+    nodes, found = json_documents(spark, path).select("file", F.lit("field").alias("role"), "v"), None
+    while True:
+        children = kept(below(nodes), "level")
+        text, kind = F.col("v").cast("string"), F.schema_of_variant("v")
+        is_id = kind.isin(*SCALARS) & (F.col("role").isin("sample", "ids") | ((F.col("role") == "listed") & text.startswith(prefix)))
+        hit = children.where(is_id & text.rlike(rf"\A(?:{pattern})\z")).select("file", text.alias("id"))
+        found = hit if found is None else found.unionByName(hit)
+        # the values of sample_id fields and of id lists hold nothing else
+        nodes = children.where(~F.col("role").isin("sample", "ids") & ~kind.isin(*SCALARS))
+        if children.isEmpty():
+            break
+    return found.groupBy("file", "id").agg(F.count("*").alias("n"))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

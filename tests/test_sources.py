@@ -59,6 +59,15 @@ def test_shards_harvest_checksums_variants(spark, tmp_path):
     assert [(r.id, r.shard) for r in got] == [(1, 0), (2, 1)]
     put(tmp_path / "h/x/n.json", '{"a": [{"sample_id": "coco-000000000001", "b": "coco-000000000002"}, "coco-000000000001", "coco-1"]}')
     assert [(r.id, r.n) for r in readers.harvest_ids(spark, str(tmp_path / "h")).collect()] == [("coco-000000000001", 2)]
+    c = lambda k: f"coco-{k:012d}"
+    deep = {"sample_id": c(1), "eligible_ids": [c(2), c(2), 5], "deep": {"a": [{"sample_id": c(3), "sample": c(9)}, [c(4), "coco-1"], c(5)]}, "note": c(6), "sample_ids": c(7), "other_ids": {"z": [c(8)]}}
+    put(tmp_path / "deep/x/a.json", json.dumps(deep, indent=1))
+    put(tmp_path / "deep/b.jsonl", json.dumps({"sample_id": c(1)}) + "\n\n" + json.dumps([c(1), {"b": [], "c": None}]) + "\n")
+    got = {(r.file.rsplit("/", 1)[1], int(r.id[5:]), r.n) for r in readers.harvest_ids(spark, str(tmp_path / "deep")).collect()}
+    assert got == {("a.json", 1, 1), ("a.json", 2, 2), ("a.json", 3, 1), ("a.json", 4, 1), ("a.json", 5, 1), ("a.json", 8, 1), ("b.jsonl", 1, 2)}
+    put(tmp_path / "deep/c.json", '{"a": ')
+    with pytest.raises(Exception, match="no JSON in .*c.json"):
+        readers.harvest_ids(spark, str(tmp_path / "deep")).collect()
     c = readers.checksums(spark, str(tmp_path / "s/a.jsonl")).collect()[0]
     assert c.bytes == 10 and len(c.sha256) == 64
     p = put(tmp_path / "v.json", '{"item": "i", "variants": [{"k": 1}, {"k": 2}]}')
