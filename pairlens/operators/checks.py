@@ -95,17 +95,22 @@ def unique_signatures(df: DataFrame, item: str, signature, attempts: int = ATTEM
             raise ValueError(f"a row has no signature of its own after {attempts} attempts")
 
 
+def run_spec(spec: Column) -> Column:
+    """struct<label, model, dataset, method, paths> of a spec LABEL=PATH, MODEL@DATASET=PATH or DATASET/METHOD/MODEL=PATH,PATH; another text fails the query."""
+    label, paths = F.regexp_extract(spec, r"(?s)\A([^=]+)=(.+)\z", 1), F.regexp_extract(spec, r"(?s)\A([^=]+)=(.+)\z", 2)
+    three, two = F.split(label, "/"), F.split(label, "@")
+    is_three, is_two = F.size(three) == 3, F.size(two) == 2
+    pick = lambda a, b: F.when(is_three, F.get(three, F.lit(a))).when(is_two, F.get(two, F.lit(b)) if b is not None else None)
+    known = F.struct(label.alias("label"), pick(2, 0).alias("model"), pick(0, 1).alias("dataset"), pick(1, None).alias("method"), F.filter(F.split(paths, ","), lambda p: p != "").alias("paths"))
+    return F.when(label != "", known).otherwise(F.raise_error(F.concat(F.lit("not a spec: "), F.coalesce(spec, F.lit("null")))).cast("struct<label:string,model:string,dataset:string,method:string,paths:array<string>>"))
+
+
 def run_specs(spark: SparkSession, specs: list[str]) -> DataFrame:
-    """(label, model, dataset, method, paths) of specs LABEL=PATH, MODEL@DATASET=PATH and DATASET/METHOD/MODEL=PATH,PATH."""
-    rows = []
+    """(label, model, dataset, method, paths) of a list of specs."""
     for x in specs:
-        label, sign, paths = x.partition("=")
-        if not sign or not label or not paths:
+        if not all(x.partition("=")):
             raise ValueError(f"not a spec: {x!r}")
-        three, two = label.split("/"), label.split("@")
-        model, dataset, method = (three[2], three[0], three[1]) if len(three) == 3 else (two[0], two[1], None) if len(two) == 2 else (None, None, None)
-        rows.append((label, model, dataset, method, [p for p in paths.split(",") if p]))
-    return spark.createDataFrame(rows, "label string, model string, dataset string, method string, paths array<string>")
+    return spark.createDataFrame([(x,) for x in specs], "spec string").select(run_spec(F.col("spec")).alias("r")).select("r.*")
 
 
 def config(text: str) -> dict:

@@ -99,11 +99,14 @@ def unique_signatures(spark, sf_dir):
     return checks.unique_signatures(b, "item_id", lambda k: bucket(1_000_003, "signature", F.col("item_id"), k) % (2 * b.count()))
 
 
-@query("""select * from (values ('run', null, null, null, 1), ('m1@d2', 'm1', 'd2', null, 1), ('d1/probe/m3', 'm3', 'd1', 'probe', 2)) t(label, model, dataset, method, files)""")
+@query("""select distinct case doc_id % 3 when 0 then source when 1 then lang || '@' || source else source || '/' || lang || '/m' end as label, case doc_id % 3 when 1 then lang when 2 then 'm' end as model,
+        case doc_id % 3 when 0 then null else source end as dataset, case doc_id % 3 when 2 then lang end as method, case doc_id % 3 when 2 then 2 else 1 end as files from documents""")
 def run_registry(spark, sf_dir):
-    """Runs by their specs."""
-    r = checks.run_specs(spark, ["run=/a/b.jsonl", "m1@d2=/c", "d1/probe/m3=/manifest,/log"])
-    return r.select("label", "model", "dataset", "method", F.size("paths").alias("files"))
+    """Runs by the specs that the sources and languages of documents make."""
+    d, s, g = table(spark, sf_dir, "documents"), F.col("source"), F.col("lang")
+    spec = F.element_at(F.array(F.concat(s, F.lit("=/a/b.jsonl")), F.concat(g, F.lit("@"), s, F.lit("=/c")), F.concat_ws("/", s, g, F.lit("m=/manifest,/log"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    r = d.select(spec.alias("spec")).distinct().select(checks.run_spec(F.col("spec")).alias("r"))
+    return r.select("r.label", "r.model", "r.dataset", "r.method", F.size("r.paths").alias("files"))
 
 
 @query("""with d as (select lang, list_sort(list(n_chars::double)) as v, count(*) as n from documents group by lang)

@@ -42,11 +42,14 @@ def condition_parts(spark, sf_dir):
     return c.select("condition", F.regexp_extract("condition", p, 1).alias("cue"), F.regexp_extract("condition", p, 2).alias("truth")).withColumn("shown", F.concat_ws(" / ", "cue", "truth"))
 
 
-@query(f"""select concat_ws('-', a, b, c) as policy, a, b, c from {sql_list("a", ["s", "m", "l"])} x, {sql_list("b", ["n", "e", "w", "x"])} y, {sql_list("c", ["p", "q"])} z""")
+@query(f"""select item_id, concat_ws('-', a, b, c) as policy, a, b, c from benchmark, {sql_list("a", ["s", "m", "l"])} x, {sql_list("b", ["n", "e", "w", "x"])} y, {sql_list("c", ["p", "q"])} z""")
 def policy_lattice(spark, sf_dir):
-    """The full product of three fixed factor lists."""
-    g = literals(spark, "a", ["s", "m", "l"]).crossJoin(literals(spark, "b", ["n", "e", "w", "x"])).crossJoin(literals(spark, "c", ["p", "q"]))
-    return g.select(F.concat_ws("-", "a", "b", "c").alias("policy"), "a", "b", "c")
+    """Every benchmark item under the full product of three fixed factor lists."""
+    factors = [F.transform(F.array(*map(F.lit, x)), lambda v: v) for x in (["s", "m", "l"], ["n", "e", "w", "x"], ["p", "q"])]
+    g = table(spark, sf_dir, "benchmark").select("item_id")
+    for name, values in zip("abc", factors, strict=True):
+        g = g.withColumn(name, F.explode(values))
+    return g.select("item_id", F.concat_ws("-", "a", "b", "c").alias("policy"), "a", "b", "c")
 
 
 @query("""with u as (select doc_id, sha256(text) as h from documents where source in ('src0', 'src1')) select doc_id from documents d where source not in ('src0', 'src1')

@@ -64,11 +64,12 @@ def parquet(spark: SparkSession, path: str, columns: dict[str, list[str]] | None
 def coco(spark: SparkSession, path: str) -> DataFrame:
     """One row an annotation: image id and file, category name, area, box."""
     schema = "images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:int,name:string>>, annotations array<struct<id:long,image_id:long,category_id:int,area:double,bbox:array<double>>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    part = lambda c: doc.select(F.explode(c).alias("x")).select("x.*")
+    doc = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("__file", F.input_file_name())
+    part = lambda c: doc.select("__file", F.explode(c).alias("x")).select("__file", "x.*")
     images = part("images").withColumnRenamed("id", "image_id")
-    names = part("categories").select(F.col("id").alias("category_id"), F.col("name").alias("label"))
-    return part("annotations").withColumnRenamed("id", "annotation_id").join(images, "image_id").join(names, "category_id")
+    names = part("categories").select("__file", F.col("id").alias("category_id"), F.col("name").alias("label"))
+    # ids belong to their file
+    return part("annotations").withColumnRenamed("id", "annotation_id").join(images, ["__file", "image_id"]).join(names, ["__file", "category_id"]).drop("__file")
 
 
 def yolo(spark: SparkSession, path: str) -> DataFrame:
@@ -104,13 +105,13 @@ def shards(spark: SparkSession, glob: str, schema: T.StructType | str) -> DataFr
 SCALARS = ["STRING", "BIGINT"]
 
 
-def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(file, v): the JSON values of all *.json* files below a path as variants: one a line where every line is a value, else one a file.
+def json_documents(spark: SparkSession, path: str, names: str = "*.json*") -> DataFrame:
+    """(file, v): the JSON values of all files of such names below a path as variants: one a line where every line is a value, else one a file.
 
     A file that is neither fails the query with its name.  (Spark's parser ends
     behind the first value, so a file is only taken whole if its lines are none.)
     """
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     parsed = text.select("file", "value", F.transform(lines, F.try_parse_json).alias("lines"))
     by_line = F.forall("lines", lambda v: v.isNotNull())
@@ -135,7 +136,7 @@ def below(nodes: DataFrame) -> DataFrame:
     return children.select("file", role.alias("role"), "v")
 
 
-def harvest_ids(spark: SparkSession, path: str, pattern: str = r"coco-\d{12}", prefix: str = "coco-") -> DataFrame:
+def harvest_ids(spark: SparkSession, path: str, pattern: str = r"coco-\d{12}", prefix: str = "coco-", names: str = "*.json*") -> DataFrame:
     """(file, id, n): ids in nested JSON files (or files of JSON lines) below a path, and how often.
 
     Ids are the values of sample_id fields, the elements of lists in fields that
@@ -143,7 +144,7 @@ def harvest_ids(spark: SparkSession, path: str, pattern: str = r"coco-\d{12}", p
     match the whole pattern.  Values are walked level by level as rows: no file
     becomes one Python object, and a level's rows are written before the next.
     """
-    nodes, found = json_documents(spark, path).select("file", F.lit("field").alias("role"), "v"), None
+    nodes, found = json_documents(spark, path, names).select("file", F.lit("field").alias("role"), "v"), None
     while True:
         children = kept(below(nodes), "level")
         text, kind = F.col("v").cast("string"), F.schema_of_variant("v")

@@ -82,17 +82,18 @@ def leaks(df: DataFrame, forbidden_fields: list[str], forbidden_text: list[str])
 
 
 def one_json(spark: SparkSession, path: str, value) -> None:
-    """One JSON file: written beside its place and renamed, so that readers see the old one or the new one."""
+    """One JSON file: written beside its place and put there by a rename that overwrites, so that readers see the old one or the new one."""
     jvm = spark.sparkContext._jvm
     at, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(temp, True)
     out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False, allow_nan=False, sort_keys=True).encode() + b"\n"))
     out.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(temp, at):
-        raise OSError(f"{path} could not be put in place")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(temp), fs.makeQualified(at), how)
 
 
 def folder_digest(spark: SparkSession, path: str) -> str:
