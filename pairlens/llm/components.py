@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import stored
+from pairlens.llm.common import join_split, split_of, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,15 +17,19 @@ def components(edges: DataFrame) -> DataFrame:
     the edges accordingly.  A node that stays has only larger neighbours, so at
     least half of the nodes go in a round, and the smallest id of a component is
     never mapped away.  Every map is written to the shared folder; nothing but
-    counts reaches the driver.
+    counts reaches the driver.  The edges of a hub are dealt over tasks when they
+    meet its row of the map.
     """
     edges = stored(edges.select("a", "b").where("a <> b"), "edges")
     maps = []
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
-        step = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "id"), "map")
+        near = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"), F.count("*").alias("degree")).withColumnRenamed("a", "id"), "map")
+        step = near.select("id", "to")
         maps.append(step)
-        moved = edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+        hot = split_of(near, "id", "degree")
+        moved = join_split(edges, step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a", "b", hot.withColumnRenamed("id", "a"))
+        moved = join_split(moved, step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b", "a", hot.withColumnRenamed("id", "b"))
         edges = stored(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not maps:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import join_hot, small_side, stored, text_runs
+from pairlens.llm.common import join_hot, join_split, small_side, split_of, stored, text_runs
 from pairlens.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 30, 6
@@ -167,6 +167,11 @@ def meets(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
+def held_by(pairs: DataFrame, key: str) -> DataFrame:
+    """The hot keys of pairs, for `join_split`."""
+    return split_of(stored(pairs.groupBy(key).agg(F.count("*").alias("n")), "held"), key, "n")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of pairs (a, b) whose full sets meet the threshold."""
     sets = stored(sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), "sets")
@@ -177,7 +182,9 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
             ok = [meets(s[k].values.to_numpy(), t[k].values.to_numpy(), percent) for k in range(x.num_rows)]
             yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("t")), "b")
+    # a pivot may be in any part of the pairs
+    joined = join_split(pairs, sets.select(F.col("id").alias("a"), F.col("members").alias("s")), "a", "b")
+    joined = join_split(joined, sets.select(F.col("id").alias("b"), F.col("members").alias("t")), "b", "a", held_by(pairs, "b"))
     return joined.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
@@ -361,7 +368,8 @@ def link(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _similar(pairs: DataFrame, reps: DataFrame, least: float = SKETCH_LEAST) -> DataFrame:
     """The pairs (a, b) whose sketches agree on `least` or more."""
     sk = reps.select("id", "sketch")
-    both = pairs.join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("s")), "a").join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("t")), "b")
+    both = join_split(pairs, sk.select(F.col("id").alias("a"), F.col("sketch").alias("s")), "a", "b")
+    both = join_split(both, sk.select(F.col("id").alias("b"), F.col("sketch").alias("t")), "b", "a", held_by(pairs, "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

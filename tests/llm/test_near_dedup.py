@@ -1,5 +1,7 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from pairlens.llm import near_dedup as op
 from pairlens.llm.components import components
 
@@ -167,3 +169,27 @@ def test_hot_keys_join_like_others(spark):
         for how in ("inner", "left"):
             want = sorted(map(tuple, rows.join(one.drop("count"), "key", how).collect()), key=str)
             assert sorted(map(tuple, join_hot(rows, one, "key", "count", how, most).collect()), key=str) == want
+
+
+def test_hubs_and_pivots_are_split(spark):
+    from pairlens.llm import common
+    from pairlens.llm.components import components
+
+    n = 60_000
+    star = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    sizes = []
+    one = spark.createDataFrame([(0, "hub")] + [(k, "leaf") for k in range(1, 50)], "a long, name string")
+    held = common.split_of(common.stored(star.groupBy("a").agg(F.count("*").alias("n")), "held"), "a", "n", 2_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = common.join_split(star.repartition(8), one.hint("shuffle_hash"), "a", "b", held).repartition(16, "b")
+        assert met.count() == n - 1 and {r.name for r in met.select("name").distinct().collect()} == {"hub"}
+        dealt = star.join(held, "a").select(F.pmod(F.xxhash64("b"), F.col("__salts")).alias("salt")).groupBy("salt").count().collect()
+        sizes = sorted(r["count"] for r in dealt)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 30 and sizes[-1] < 1.2 * sizes[0]
+    got = components(star)
+    assert got.count() == n and {r.component for r in got.select("component").distinct().collect()} == {0}
+    chain = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 3)], "a long, b long")
+    assert sorted(map(tuple, components(chain).collect())) == [(3, 3), (4, 3), (5, 3), (8, 8), (9, 8)]
