@@ -86,14 +86,6 @@ def test_poisson_weights_and_draws(spark):
     assert abs(m[0] - 199.5) < 1 and abs(m[1] - 115.6 / 20) < 0.6  # standard error of a mean of 400
 
 
-def test_ids_come_from_values_only():
-    from pairlens.sources.readers import ids_in
-
-    a, b, c, d = (f"coco-{k:012d}" for k in range(4))
-    value = {"sample_id": a, a: 1, "x_ids": [b, "other", 5], "rows": [{"deep": [c, "coco-1", [d]]}], "note": "coco-000000000009", "sample": {"sample_id": None}}
-    assert sorted(ids_in(value, r"coco-\d{12}")) == [a, b, c, d]
-
-
 def test_families_must_have_their_size(spark):
     from pairlens.functions import stats
 
