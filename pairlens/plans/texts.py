@@ -11,6 +11,7 @@ from pairlens.functions import record as R
 from pairlens.functions import text as T
 from pairlens.functions import text_exact as X
 from pairlens.operators.pairs import rounded
+from pairlens.operators.patterns import AUTOMATON, token_hits
 from pairlens.plans.views import sql_bucket, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -98,16 +99,10 @@ def document_answers(spark, sf_dir):
     return d.select("doc_id", T.binary_answer(F.col("t")).alias("binary_said"), F.md5(T.normalize_answer(F.col("t"))).alias("normal"))
 
 
-def whole_hits(documents, benchmark):
-    """How many benchmark texts stand whole in each document (doc_id, text), by contains_tokens; documents without any are left out.
-
-    A text can only stand in documents that hold its longest word; those are looked up by that word and verified on all tokens.
-    """
-    b = benchmark.select(T.normalize_claim(F.col("text")).alias("x")).where("x <> ''")
-    b = b.withColumn("word", F.element_at(F.array_sort(F.split("x", " "), lambda p, q: F.sign(F.length(q) - F.length(p)).cast("int")), 1))
-    d = documents.select("doc_id", T.normalize_claim(F.col("text")).alias("t"))
-    met = d.withColumn("word", F.explode(F.array_distinct(F.split("t", " ")))).join(b, "word")
-    return met.where(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), "x", F.lit(" ")))).groupBy("doc_id").agg(F.count("*").alias("found"))
+def whole_hits(documents, benchmark, most=AUTOMATON):
+    """How many benchmark texts stand whole in each document (doc_id, text), token by token; documents without any are left out."""
+    b = benchmark.select(T.normalize_claim(F.col("text")).alias("x"))
+    return token_hits(documents.select("doc_id", T.normalize_claim(F.col("text")).alias("t")), b, "doc_id", "t", "x", most)
 
 
 @query("""with d as (select doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' as t from documents),
