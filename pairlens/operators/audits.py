@@ -112,6 +112,18 @@ def domains(df: DataFrame, key: list[str], checks: dict[str, Column]) -> DataFra
     return df.withColumn("__reason", reason).where("__reason is not null").select(*_row("domain", key, F.col("__reason")))
 
 
+def severity(df: DataFrame, key: list[str], truth: str, values: list[str], near: float = 0.05) -> DataFrame:
+    """Rows of which a value is (nearly) the truth, or whose distances to it do not grow from value to value; a null distance is out of order."""
+    away = [F.abs(F.col(v) - F.col(truth)) for v in values]
+    close = [d <= F.greatest(1e-9 * F.greatest(F.abs(F.col(v)), F.abs(F.col(truth))), F.lit(near)) for d, v in zip(away, values, strict=True)]
+    equal = F.array_compact(F.array(*[F.when(c, F.lit(v)) for c, v in zip(close, values, strict=True)]))
+    grows = F.lit(True)
+    for a, b in zip(away, away[1:], strict=False):
+        grows = grows & F.coalesce(a < b, F.lit(False))
+    rule = F.when(F.size(equal) > 0, "equal").when(~grows, "order")
+    return df.withColumns({"__equal": equal, "__rule": rule}).where("__rule is not null").select(F.col("__rule").alias("rule"), *_row("", key, F.array_join("__equal", "|"))[1:])
+
+
 def product_balance(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cells of the full product of the values of a and b that are empty or unlike the most common count."""
     n = df.groupBy(a, b).agg(F.count("*").alias("n"))

@@ -99,3 +99,29 @@ def greedy_cover(df: DataFrame, policy: str, item: str, k: int) -> DataFrame:
         left = kept(left.join(left.where(F.col(policy) == best[0][policy]).select(item), item, "left_anti"))
     kind = df.schema[policy].dataType.simpleString()
     return spark.createDataFrame(picked, f"place int, {policy} {kind}, gain long")
+
+
+def bitmap_cover(df: DataFrame, policy: str, item: str, k: int) -> DataFrame:
+    """greedy_cover over bitmaps: (place, policy, gain).
+
+    A policy's items (non-negative integers) become bits once, 32,768 a row; a step
+    joins bits with the ones covered so far and counts, so it never touches items
+    again.  Rows are as many as policies times the ranges of ids that they meet.
+    """
+    spark, n = df.sparkSession, F.col(item).cast("long")
+    bits = df.where(n.isNotNull() & F.col(policy).isNotNull()).groupBy(policy, F.bitmap_bucket_number(n).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("own"))
+    bits, picked = kept(bits, "bits"), []
+    covered = bits.select("bucket", F.col("own").alias("seen")).limit(0)
+    for place in range(k):
+        open_ = bits.where(~F.col(policy).isin([p for _, p, _ in picked])) if picked else bits
+        met = open_.join(covered, "bucket", "left")
+        both = met.select(policy, "bucket", F.explode(F.array_compact(F.array("own", "seen"))).alias("b"), F.when(F.col("seen").isNotNull(), F.bitmap_count("seen")).otherwise(0).alias("before"))
+        union = both.groupBy(policy, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("b")).alias("after"), F.max("before").alias("before"))
+        best = union.groupBy(policy).agg(F.sum(F.col("after") - F.col("before")).alias("gain")).orderBy(F.desc("gain"), F.desc(policy)).limit(1).collect()
+        if not best or not best[0]["gain"]:
+            break
+        picked.append((place, best[0][policy], best[0]["gain"]))
+        new = bits.where(F.col(policy) == best[0][policy]).select("bucket", F.col("own").alias("seen"))
+        covered = kept(covered.unionByName(new).groupBy("bucket").agg(F.bitmap_or_agg("seen").alias("seen")), "covered")
+    kind = df.schema[policy].dataType.simpleString()
+    return spark.createDataFrame(picked, f"place int, {policy} {kind}, gain long")

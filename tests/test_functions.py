@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from itertools import combinations
 
@@ -238,3 +239,25 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     b = rows(resample.intervals(resample.bootstrap_means(df.repartition(7), ["g"], "id", "v", 40, 3), ["g"]))
     assert a == b and all(lo <= m <= hi for _, _, lo, hi, m in a)
     assert len(rows(resample.cluster_means(df, ["g"], "id", "v", 10, 3))) == 2
+
+
+def test_bitmap_cover_equals_the_plain_greedy_choice(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(9), rng.randrange(200_000) if rng.random() < 0.5 else rng.randrange(60)) for _ in range(400)] + [(3, 7), (3, 7), (None, 1), (2, None)]
+    own = {}
+    for p, i in rows:
+        if p is not None and i is not None:
+            own.setdefault(p, set()).add(i)
+    want, seen = [], set()
+    for place in range(5):
+        gain, p = max((len(v - seen), p) for p, v in own.items() if p not in [x[1] for x in want])
+        want.append((place, p, gain))
+        seen |= own[p]
+    df = spark.createDataFrame(rows, "policy long, item long").repartition(4)
+    assert [tuple(r) for r in ranking.bitmap_cover(df, "policy", "item", 5).orderBy("place").collect()] == want
+    assert ranking.bitmap_cover(df.where("policy > 99"), "policy", "item", 5).count() == 0
+
+
+def test_severities_that_are_equal_or_out_of_order(spark):
+    df = spark.createDataFrame([(1, 10.0, 11.0, 12.0, 14.0), (2, 10.0, 10.04, 12.0, 14.0), (3, 10.0, 12.0, 11.0, 14.0), (4, 10.0, 11.0, None, 14.0), (5, 10.0, 8.0, 13.0, 6.0)], "k int, t double, a double, b double, c double")
+    assert sorted(map(tuple, audits.severity(df, ["k"], "t", ["a", "b", "c"]).collect())) == [("equal", "2", "a"), ("order", "3", ""), ("order", "4", "")]
