@@ -152,7 +152,7 @@ def records(spark, sf_dir):
     which = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(8))
     text = reduce(lambda x, kv: F.when(which == kv[0], texts[kv[1]]).otherwise(x), enumerate(R.MARKERS), F.lit(None).cast("string"))
     stated = reduce(lambda x, kv: F.when(which == kv[0], said[kv[1]]).otherwise(x), enumerate(R.MARKERS), F.lit(None).cast("string"))
-    return li.select("l_orderkey", "l_linenumber", text.alias("text"), F.when(F.col("l_linenumber") == 7, NO_ASSUMPTION).otherwise(stated).alias("said"))
+    return li.select("l_orderkey", "l_linenumber", "a", "b", "s", text.alias("text"), F.when(F.col("l_linenumber") == 7, NO_ASSUMPTION).otherwise(stated).alias("said"))
 
 
 @query(f"""with r as (select l_orderkey, l_linenumber, ([{', '.join(map(q, ['range_threshold', 'unit_conversion', 'temporal_ledger', 'capacity_conservation', 'causal_order', 'geometry_feasibility', 'probability_ledger', 'phase_state']))}])[(l_orderkey + l_linenumber) % 8 + 1] as family,
@@ -171,3 +171,37 @@ def record_checker(spark, sf_dir):
 @query("""select event_id, json_extract_string(props, '$.k')::bigint as k from events""")
 def nested_properties(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.json_fields(F.col("props"), ["k"])["k"].cast("long").alias("k"))
+
+
+SCENARIOS = [
+    "temperature-safe-range-v2", "celsius-fahrenheit-conversion-v2", "start-finish-elapsed-time-v2", "capacity-addition-spill-balance-v2", "cause-precedes-effect-v2", "rigid-width-opening-clearance-v2",
+    "exclusive-exhaustive-probability-sum-v2", "water-phase-at-temperature-pressure-v2",
+]
+
+
+@query("""with r as (select l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 8 as which, l_quantity::int as a, round(l_discount * 100)::int as b, round(l_tax * 100)::int as s from lineitem),
+        x as (select *, case which when 0 then greatest(0.0, a + 0.5 - 40, 5 - (a - 0.5)) when 1 then (b % 2)::double when 2 then -(s % 3)::double when 3 then case when a % 3 = 0 then -2.0 else 0.0 end when 4 then b::double when 5 then greatest(0, a - 20 - b) / 10.0
+            when 6 then -(b % 3) / 100.0 else case when 4 * a - 60 > 0 and 4 * a - 60 < 100 then 0.0 else 1.0 end end as residual from r)
+    select l_orderkey, l_linenumber, round(residual, 6) + 0.0 as residual, case when abs(residual) <= 0.001 then 'false_within_tolerance' when which = 5 and l_linenumber = 6 then 'leaks_answer' end as reason,
+        case which when 0 then printf('%.1f C', greatest(0.0, 5.5 - a, a - 39.5)) when 1 then printf('%.2f F', a * 1.8 + 32) when 2 then (60 + b - a) || ' MIN' when 3 then case when a + b >= s then printf('%.1f L', s::double) end when 4 then case when a + b > 59 then null when b = 0 then 'AT THE SAME TIME' else 'AFTER THE STOP' end
+            when 5 then printf('%.2f M', greatest(0, a - 20 - b) / 10.0) when 6 then printf('%.2f', (a + b) / 100.0) else case when 4 * a - 60 in (0, 100) then null when 4 * a - 60 < 0 then 'SOLID ICE' when 4 * a - 60 < 100 then 'LIQUID WATER' else 'WATER VAPOR' end end as derived,
+        round(s * 0.5, 6) as mass from x""")
+def record_residuals(spark, sf_dir):
+    """Printed records by the rule of their scenario: residual, why a false one would not stand apart, the value that its input lines imply, and a mass ledger over panels."""
+    r = records(spark, sf_dir).withColumn("which", F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(8)).cast("int"))
+    a, b, s = F.col("a"), F.col("b"), F.col("s")
+    p = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    tenth = lambda x: (x / F.lit(10)).cast("decimal(10,1)")
+    hundredth = lambda x: (x / F.lit(100)).cast("decimal(10,2)")
+    lines = {
+        "range_threshold": F.array(p("TEMP ", a, " C"), F.lit("UNCERTAINTY +/- 0.5 C"), F.lit("SAFE LOWER 5 C"), F.lit("SAFE UPPER 40 C")), "unit_conversion": F.array(p("SOURCE ", a, " C"), F.lit("DESTINATION UNIT F")),
+        "temporal_ledger": F.array(p("START 10:", two(a)), p("FINISH 11:", two(b))), "capacity_conservation": F.array(p("CAPACITY ", a + b - s, " L"), p("ADDED FIRST ", a, " L"), p("ADDED SECOND ", b, " L")),
+        "causal_order": F.array(p("STOPPED 10:", two(a)), p("BRAKE APPLIED 10:", two(a + b))), "geometry_feasibility": F.array(p("RIGID WIDTH ", tenth(a), " M"), p("OPENING ", tenth(20 + b), " M")),
+        "probability_ledger": F.array(p("P(PASS) ", hundredth(a)), p("P(FAIL) ", hundredth(b))), "phase_state": F.array(p("TEMP ", 4 * a - 60, " C"), F.lit("PRESSURE 1.00 ATM")),
+    }
+    of = lambda values: F.element_at(F.array(*values), F.col("which") + 1)
+    residual = R.residual(F.col("text"), of([F.lit(x) for x in SCENARIOS]), F.lit("uncertainty 0.5 C"))
+    panels = F.array(p("START MASS ", 100 + a, " G | REMOVED ", a, " G"), p("ADDED ", b, " G"), p("FINAL MASS ", 100 + b, ".0 G | FINAL MASS ", (100 + b + s / F.lit(2)).cast("decimal(10,1)"), " G"))
+    out = r.withColumn("residual", residual)
+    return out.select("l_orderkey", "l_linenumber", (F.round("residual", 6) + 0.0).alias("residual"), R.separation(F.col("residual"), F.lit(0.0), F.lit(0.001), [F.col("text")], "OPENING 1 M").alias("reason"), R.derived_value(of([F.lit(x) for x in R.MARKERS]), of([lines[x] for x in R.MARKERS])).alias("derived"), F.round(R.mass_residual(panels), 6).alias("mass"))
