@@ -205,11 +205,18 @@ def residual(text: Column, scenario: Column, uncertainty: Column | None = None)
     numbers = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z])\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
     signed = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z])[-+]?\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
     clocks = F.transform(F.regexp_extract_all(t, F.lit(r"\b(\d{2}:\d{2})\b"), F.lit(1)), lambda x: F.substring(x, 1, 2).cast("int") * 60 + F.substring(x, 4, 2).cast("int"))
-    n = lambda k, a=numbers: F.try_element_at(a, F.lit(k + 1))
-    s = lambda k: n(k, signed)
-    c = lambda k: F.try_element_at(clocks, F.lit(k + 1))
     elapsed = F.regexp_extract(t, r"ELAPSED\s+(\d+)\s+MIN", 1).try_cast("int")
     u = F.regexp_extract(F.coalesce(uncertainty if uncertainty is not None else F.lit(""), F.lit("")), r"\d+(?:\.\d+)?", 0).try_cast("double")
+    # what is printed is read once; the rules see it as one value
+    read = F.struct(t.alias("t"), numbers.alias("n"), signed.alias("s"), clocks.alias("c"), elapsed.alias("elapsed"), u.alias("u"), scenario.alias("scenario"))
+    return F.get(F.transform(F.array(read), _residual_of), F.lit(0))
+
+
+def _residual_of(x: Column) -> Column:
+    t, clocks, elapsed, u, scenario = x["t"], x["c"], x["elapsed"], x["u"], x["scenario"]
+    n = lambda k: F.try_element_at(x["n"], F.lit(k + 1))
+    s = lambda k: F.try_element_at(x["s"], F.lit(k + 1))
+    c = lambda k: F.try_element_at(clocks, F.lit(k + 1))
     outside = lambda x, low, high, e: F.greatest(F.lit(0.0), x + e - high, low - (x - e))
     first_state = F.when((n(0) > 0) & (n(0) < 100) & (F.abs(n(1) - 1) <= 0.01) & t.contains("STATE LIQUID WATER"), 0.0).otherwise(1.0)
     state = F.when(s(0) <= 0, "SOLID ICE").when(s(0) < 100, "LIQUID WATER").otherwise("WATER VAPOR")
@@ -270,23 +277,36 @@ def derived_value(family: Column, lines: Column) -> Column:
         h, m = F.substring(at, 1, 2).cast("int"), F.substring(at, 4, 2).cast("int")
         return F.when((F.size(found) == 1) & (h <= 23) & (m <= 59), h * 60 + m)
 
+    labels = {
+        "source": "SOURCE", "full": "CAPACITY", "first": "ADDED FIRST", "second": "ADDED SECOND", "width": "RIGID WIDTH", "opening": "OPENING", "t": "TEMP", "u": r"UNCERTAINTY \+/-",
+        "low": "SAFE LOWER", "high": "SAFE UPPER", "a": r"P\(PASS\)", "b": r"P\(FAIL\)", "p": "PRESSURE",
+    }
+    clocks = {"brake": "BRAKE APPLIED", "stopped": "STOPPED", "start": "START", "finish": "FINISH"}
+    unit, goal = F.regexp_extract(text, r"SOURCE\s+[-+]?\d+(?:\.\d+)?\s+([A-Z]+)", 1), F.regexp_extract(text, r"DESTINATION UNIT\s+([A-Z]+)", 1)
+    # every field is read once; the rules see them as one value
+    fields = [printed(v).alias(k) for k, v in labels.items()] + [clock(v).alias(k) for k, v in clocks.items()]
+    read = F.struct(*fields, unit.alias("unit"), goal.alias("goal"), family.alias("family"))
+    return F.get(F.transform(F.array(read), _derived_of), F.lit(0))
+
+
+def _derived_of(x: Column) -> Column:
     shown = lambda x, places: F.bround(x, places).cast(f"decimal(38,{places})").cast("string")
-    source, unit, goal = printed("SOURCE"), F.regexp_extract(text, r"SOURCE\s+[-+]?\d+(?:\.\d+)?\s+([A-Z]+)", 1), F.regexp_extract(text, r"DESTINATION UNIT\s+([A-Z]+)", 1)
+    source, unit, goal, family = x["source"], x["unit"], x["goal"], x["family"]
     pairs = {**CONVERSIONS, ("L", "GAL"): CONVERSIONS["L", "USGAL"]}
     converted = F.lit(None).cast("string")
     for (a, b), (_, factor, offset) in pairs.items():
         value = source * F.lit(factor).cast("decimal(11,10)") + F.lit(offset).cast("decimal(2,0)")
         converted = F.when((unit == a) & (goal == b), F.concat(shown(value, 2), F.lit(f" {b}"))).otherwise(converted)
-    full, first, second = printed("CAPACITY"), printed("ADDED FIRST"), printed("ADDED SECOND")
+    full, first, second = x["full"], x["first"], x["second"]
     spill = first + second - full
-    offset = clock("BRAKE APPLIED") - clock("STOPPED")
-    width, opening = printed("RIGID WIDTH"), printed("OPENING")
-    t, u, low, high = printed("TEMP"), printed(r"UNCERTAINTY \+/-"), printed("SAFE LOWER"), printed("SAFE UPPER")
-    a, b = printed(r"P\(PASS\)"), printed(r"P\(FAIL\)")
-    p = printed("PRESSURE")
+    offset = x["brake"] - x["stopped"]
+    width, opening = x["width"], x["opening"]
+    t, u, low, high = x["t"], x["u"], x["low"], x["high"]
+    a, b = x["a"], x["b"]
+    p = x["p"]
     rules = {
         "unit_conversion": converted,
-        "temporal_ledger": F.concat((clock("FINISH") - clock("START")).cast("string"), F.lit(" MIN")),
+        "temporal_ledger": F.concat((x["finish"] - x["start"]).cast("string"), F.lit(" MIN")),
         "capacity_conservation": F.when((F.least(full, first, second) >= 0) & (spill >= 0), F.concat(shown(spill, 1), F.lit(" L"))),
         "causal_order": F.when(offset < 0, "BEFORE THE STOP").when(offset > 0, "AFTER THE STOP").when(offset == 0, "AT THE SAME TIME"),
         "geometry_feasibility": F.when((width >= 0) & (opening >= 0), F.concat(shown(F.greatest(F.lit(0).cast(DECIMAL), width - opening), 2), F.lit(" M"))),
@@ -294,4 +314,4 @@ def derived_value(family: Column, lines: Column) -> Column:
         "probability_ledger": F.when(a.between(0, 1) & b.between(0, 1), shown(a + b, 2)),
         "phase_state": F.when((p == 1) & (t != 0) & (t != 100), F.when(t < 0, "SOLID ICE").when(t < 100, "LIQUID WATER").otherwise("WATER VAPOR")),
     }
-    return reduce(lambda x, kv: F.when(family == kv[0], kv[1]).otherwise(x), rules.items(), F.lit(None).cast("string"))
+    return reduce(lambda y, kv: F.when(family == kv[0], kv[1]).otherwise(y), rules.items(), F.lit(None).cast("string"))

@@ -203,5 +203,5 @@ def record_residuals(spark, sf_dir):
     of = lambda values: F.element_at(F.array(*values), F.col("which") + 1)
     residual = R.residual(F.col("text"), of([F.lit(x) for x in SCENARIOS]), F.lit("uncertainty 0.5 C"))
     panels = F.array(p("START MASS ", 100 + a, " G | REMOVED ", a, " G"), p("ADDED ", b, " G"), p("FINAL MASS ", 100 + b, ".0 G | FINAL MASS ", (100 + b + s / F.lit(2)).cast("decimal(10,1)"), " G"))
-    out = r.withColumn("residual", residual)
-    return out.select("l_orderkey", "l_linenumber", (F.round("residual", 6) + 0.0).alias("residual"), R.separation(F.col("residual"), F.lit(0.0), F.lit(0.001), [F.col("text")], "OPENING 1 M").alias("reason"), R.derived_value(of([F.lit(x) for x in R.MARKERS]), of([lines[x] for x in R.MARKERS])).alias("derived"), F.round(R.mass_residual(panels), 6).alias("mass"))
+    out = r.withColumns({"residual": residual, "lines": F.array_join(of([lines[x] for x in R.MARKERS]), " | ")})
+    return out.select("l_orderkey", "l_linenumber", (F.round("residual", 6) + 0.0).alias("residual"), R.separation(F.col("residual"), F.lit(0.0), F.lit(0.001), [F.col("text")], "OPENING 1 M").alias("reason"), R.derived_value(of([F.lit(x) for x in R.MARKERS]), F.array("lines")).alias("derived"), F.round(R.mass_residual(panels), 6).alias("mass"))
