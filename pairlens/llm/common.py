@@ -102,26 +102,28 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str, count: str, how: str = "
     return rows.join(hot, key).unionByName(rest.join(one.drop(count), key, how))
 
 
-def split_of(counts: DataFrame, key: str, count: str, rows: int = SPLIT_ROWS) -> DataFrame:
-    """(key, salts) for the keys of counts that hold many rows: into how many parts each goes.
+def split_of(counts: DataFrame, key: str, count: str, rows: int = SPLIT_ROWS) -> DataFrame | None:
+    """(key, salts) for the keys of counts that hold many rows: into how many parts each goes; None without such keys.
 
     A part has `rows` rows, or a HOT_KEYS-th of all where that is more: so there
     are never more than HOT_KEYS such keys, and the table may be broadcast.
     """
-    total = counts.agg(F.sum(count)).first()[0] or 0
-    most = max(rows, -(-total // HOT_KEYS))
+    held = counts.agg(F.sum(count).alias("all"), F.max(count).alias("top")).first()
+    most = max(rows, -(-(held["all"] or 0) // HOT_KEYS))
+    if (held["top"] or 0) <= most:
+        return None
     return F.broadcast(counts.where(F.col(count) > most).select(key, F.ceil(F.col(count) / most).cast("int").alias("__salts")))
 
 
-def join_split(rows: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame | None = None) -> DataFrame:
-    """rows joined with `one` (one row a key) where a key may hold any part of the rows.
+def join_split(rows: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame | None) -> DataFrame:
+    """rows joined with `one` (one row a key) where a key may hold any part of the rows; hot: the keys by `split_of`.
 
     The rows of a hot key are dealt over parts by the column `spread`, and its row of
     `one` goes to each part: no task holds more than a part, and nothing but the
-    list of hot keys (`split_of`, found here if not given) is broadcast.
+    list of hot keys is broadcast.
     """
     if hot is None:
-        hot = split_of(stored(rows.groupBy(key).agg(F.count("*").alias("__n")), "held"), key, "__n")
+        return rows.join(one, key)
     salts = F.coalesce("__salts", F.lit(1))
     dealt = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
     copies = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")

@@ -28,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = near.select("id", "to")
         maps.append(step)
         hot = split_of(near, "id", "degree")
-        moved = join_split(edges, step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a", "b", hot.withColumnRenamed("id", "a"))
-        moved = join_split(moved, step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b", "a", hot.withColumnRenamed("id", "b"))
+        at = lambda side: hot.withColumnRenamed("id", side) if hot is not None else None  # noqa: B023, E731
+        moved = join_split(edges, step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a", "b", at("a"))
+        moved = join_split(moved, step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b", "a", at("b"))
         edges = stored(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not maps:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -167,9 +167,9 @@ def meets(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def held_by(pairs: DataFrame, key: str) -> DataFrame:
+def held_by(pairs: DataFrame, key: str) -> DataFrame | None:
     """The hot keys of pairs, for `join_split`."""
-    return split_of(stored(pairs.groupBy(key).agg(F.count("*").alias("n")), "held"), key, "n")
+    return split_of(pairs.groupBy(key).agg(F.count("*").alias("n")), key, "n")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -183,7 +183,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
             yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     # a pivot may be in any part of the pairs
-    joined = join_split(pairs, sets.select(F.col("id").alias("a"), F.col("members").alias("s")), "a", "b")
+    joined = join_split(pairs, sets.select(F.col("id").alias("a"), F.col("members").alias("s")), "a", "b", held_by(pairs, "a"))
     joined = join_split(joined, sets.select(F.col("id").alias("b"), F.col("members").alias("t")), "b", "a", held_by(pairs, "b"))
     return joined.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
@@ -368,7 +368,7 @@ def link(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _similar(pairs: DataFrame, reps: DataFrame, least: float = SKETCH_LEAST) -> DataFrame:
     """The pairs (a, b) whose sketches agree on `least` or more."""
     sk = reps.select("id", "sketch")
-    both = join_split(pairs, sk.select(F.col("id").alias("a"), F.col("sketch").alias("s")), "a", "b")
+    both = join_split(pairs, sk.select(F.col("id").alias("a"), F.col("sketch").alias("s")), "a", "b", held_by(pairs, "a"))
     both = join_split(both, sk.select(F.col("id").alias("b"), F.col("sketch").alias("t")), "b", "a", held_by(pairs, "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
