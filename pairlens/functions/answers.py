@@ -39,9 +39,8 @@ def options_in(question: Column) -> Column:
     pattern = r"(?is)\(\s*([a-d])\s*\)\s*(.*?)(?=\s*\(\s*[a-d]\s*\)|\s*Answer\b|\z)"
     letters = F.transform(F.regexp_extract_all(q, F.lit(pattern), F.lit(1)), F.lower)
     texts = F.transform(F.regexp_extract_all(q, F.lit(pattern), F.lit(2)), lambda x: F.regexp_replace(T.strip(x), r"\.+\z", ""))
-    both = F.arrays_zip(letters.alias("k"), texts.alias("v"))
-    last = lambda k: F.try_element_at(F.filter(both, lambda x: x["k"] == k), F.lit(-1))["v"]
-    return _map([(k, last(k)) for k in LETTERS])
+    last = lambda both, k: F.try_element_at(F.filter(both, lambda x: x["k"] == k), F.lit(-1))["v"]
+    return T.let(F.arrays_zip(letters.alias("k"), texts.alias("v")), lambda both: _map([(k, last(both, k)) for k in LETTERS]))
 
 
 def options_of(choices: Column) -> Column:
@@ -60,8 +59,8 @@ def two_options(question: Column) -> Column:
 
 def answer_letter(value: Column, options: Column) -> Column:
     """The answer itself if it is a letter of the options, else the first letter whose text equals it."""
-    text, plain = T.strip(F.lower(value)), T.normalize_answer(value)
-    same = F.filter(F.map_entries(options), lambda x: T.normalize_answer(x["value"]) == plain)
+    text = T.strip(F.lower(value))
+    same = T.let(T.normalize_answer(value), lambda plain: F.filter(F.map_entries(options), lambda x: T.normalize_answer(x["value"]) == plain))
     return F.when(F.map_contains_key(options, text), text).otherwise(F.try_element_at(same, F.lit(1))["key"])
 
 
@@ -70,31 +69,34 @@ def prediction_letter(prediction: Column, options: Column) -> Column:
     low = T.strip(F.lower(prediction))
     strong = F.regexp_extract(low, r"(?:answer|assistant|choice|option)\s*(?:is|:)?\s*\(?([a-d])\)?\b", 1)
     alone = F.regexp_extract(low, r"(?:^|\s|\()([a-d])(?:\)|\.|,|\s|\z)", 1)
-    plain = T.normalize_answer(prediction)
     texts = F.transform(F.map_entries(options), lambda x: F.struct(T.normalize_answer(x["value"]).alias("t"), x["key"].alias("k")))
-    fits = F.filter(texts, lambda x: (x["t"] != "") & (plain.contains(x["t"]) | x["t"].contains(plain)))
+    fits = T.let(T.normalize_answer(prediction), lambda plain: F.filter(texts, lambda x: (x["t"] != "") & (plain.contains(x["t"]) | x["t"].contains(plain))))
     best = F.array_max(F.transform(fits, lambda x: F.struct(F.length(x["t"]).alias("n"), x["k"].alias("k"))))["k"]
-    known = lambda x: (x != "") & F.map_contains_key(options, x)
-    return F.when(F.size(options) == 0, None).when(known(strong), strong).when(known(alone), alone).otherwise(best)
+    known = lambda x: T.let(x, lambda k: F.when((k != "") & F.map_contains_key(options, k), k))
+    return F.when(F.size(options) == 0, None).otherwise(F.coalesce(known(strong), known(alone), best))
+
+
+def letter_score(letter: Column, answer: Column, options: Column) -> Column:
+    """1.0 if a letter is that of the answer."""
+    return F.when(answer_letter(answer, options) == letter, 1.0).otherwise(0.0)
 
 
 def choice_score(prediction: Column, answer: Column, options: Column) -> Column:
     """1.0 if the predicted letter is that of the answer."""
-    gold = answer_letter(answer, options)
-    return F.when(gold.isNotNull() & (prediction_letter(prediction, options) == gold), 1.0).otherwise(0.0)
+    return letter_score(prediction_letter(prediction, options), answer, options)
 
 
 def target_matches_any(prediction: Column, aliases: Column) -> Column:
     """Whether an alias is the answer, is inside it (longer than one letter), or is a letter that stands in it."""
-    plain, low = T.normalize_answer(prediction), F.lower(prediction)
+    low = F.lower(prediction)
 
-    def hit(alias: Column) -> Column:
+    def hit(alias: Column, plain: Column) -> Column:
         own = T.strip(alias)
-        text = T.normalize_answer(own)
         letter = F.regexp_like(low, F.concat(F.lit(r"(?:^|\(|\s)"), F.lower(own), F.lit(r"(?:\z|\)|\s|[.,:;])")))
-        return F.when(F.lower(own).isin(*LETTERS), letter).otherwise((plain == text) | ((F.length(text) > 1) & plain.contains(text)))
+        inside = T.let(T.normalize_answer(own), lambda text: (plain == text) | ((F.length(text) > 1) & plain.contains(text)))
+        return F.when(F.lower(own).isin(*LETTERS), letter).otherwise(inside)
 
-    return F.exists(aliases, hit)
+    return T.let(T.normalize_answer(prediction), lambda plain: F.exists(aliases, lambda x: hit(x, plain)))
 
 
 def public_score(prediction: Column, answers: Column, question: Column, dataset: Column) -> Column:

@@ -6,6 +6,8 @@ anchored with \\A and \\z, so a final newline is not ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ NUMBER_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4",
 ARTICLES = ["a", "an", "the"]
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once a row, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Text without white space of any kind at its ends."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
@@ -152,11 +159,15 @@ def normalize_answer(c: Column) -> Column:
     """
     t = F.regexp_replace(F.lower(F.coalesce(c, F.lit("None"))), r"(?<=\d),(?=\d)", "")
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, "[^a-z0-9']+", " ")), F.lit(" "))
-    counted = t
-    for word, digit in NUMBER_WORDS.items():
-        counted = F.regexp_replace(counted, f"(?<= ){word}(?= )", digit)
-    t = F.when(t.rlike(f" (?:{'|'.join(NUMBER_WORDS)}) "), counted).otherwise(t)
-    return F.trim(F.when(F.trim(t).isin(*ARTICLES), t).otherwise(F.regexp_replace(t, f"(?<= )(?:{'|'.join(ARTICLES)}) ", "")))
+
+    def counted(x: Column) -> Column:
+        out = x
+        for word, digit in NUMBER_WORDS.items():
+            out = F.regexp_replace(out, f"(?<= ){word}(?= )", digit)
+        return F.when(x.rlike(f" (?:{'|'.join(NUMBER_WORDS)}) "), out).otherwise(x)
+
+    bare = lambda x: F.trim(F.when(F.trim(x).isin(*ARTICLES), x).otherwise(F.regexp_replace(x, f"(?<= )(?:{'|'.join(ARTICLES)}) ", "")))
+    return let(let(t, counted), bare)
 
 
 def normalize_claim(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pairlens.functions import text as T
 from pairlens.functions import text_exact as X
 from pairlens.functions.stats import rate_record
 from pairlens.operators.durable import scratch
-from pairlens.plans.views import sql_bucket, table
+from pairlens.plans.views import dealt, sql_bucket, table
 from pairlens.sources import readers, writers
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -27,7 +27,7 @@ def query(sql=None):
 
 
 def parts(spark, sf_dir, seed: str, kinds: int):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_name").alias("name"), F.lower("p_type").alias("type"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(" "))).alias("brand"))
+    p = dealt(table(spark, sf_dir, "part")).select("p_partkey", "p_size", F.col("p_name").alias("name"), F.lower("p_type").alias("type"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(" "))).alias("brand"))
     return p.withColumn("kind", H.bucket(kinds, seed, F.col("p_partkey")))
 
 
@@ -53,13 +53,16 @@ def question_scores(spark, sf_dir):
     n, t, b = F.col("name"), F.col("type"), F.col("brand")
     p = parts(spark, sf_dir, "say", 6).withColumn("question", parallel("What is this? (a) ", n, " (b) ", b, " (c) ", t, ". Answer with a letter"))
     p = p.withColumn("said", by_kind(F.lit("The answer is (a)"), F.lit("Option: b."), F.lit("I saw (c)."), parallel("It is a ", n, "!"), F.upper(t), F.lit("no idea")))
-    options = A.options_in(F.col("question"))
+    # options and letter are columns of their own, so that each is read once a row
+    p = p.withColumn("read", A.options_in(F.col("question")))
+    options = F.col("read")
+    p = p.withColumn("letter", A.prediction_letter(F.col("said"), options))
     dataset = F.element_at(F.array(F.lit("VQAv2"), F.lit("typo_base_x"), F.lit("other")), (F.col("p_partkey") % 3 + 1).cast("int"))
     gold = F.when(F.col("p_partkey") % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(n))
     seen = F.when(F.col("p_size") % 2 == 0, F.concat(n, F.lit("s"))).when(F.col("p_size") % 3 == 0, t).otherwise(b)
     task = A.task_type(F.lit(None).cast("string"), F.element_at(F.array(F.lit("Color of it"), F.lit("counting"), F.lit(""), F.lit("")), (F.col("p_size") % 4 + 1).cast("int")), F.lit("Say"), F.when(F.col("p_size") % 4 == 2, F.array(F.col("p_size").cast("string"))).otherwise(F.array(n)))
     return p.select(
-        "p_partkey", F.size(options).alias("options"), A.prediction_letter(F.col("said"), options).alias("letter"), A.choice_score(F.col("said"), n, options).alias("choice"),
+        "p_partkey", F.size(options).alias("options"), "letter", A.letter_score(F.col("letter"), n, options).alias("choice"),
         A.target_matches_any(F.col("said"), F.array(F.lit("b"), n)).alias("target"), A.public_score(F.col("said"), gold, F.col("question"), dataset).alias("public"),
         T.label_match(seen, n).alias("label"), A.alias_label_match(seen, n, F.create_map(n, F.array(n, t))).alias("alias"), task.alias("task"),
     )

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, or as it has, for rows that are few bytes but much work: a file may be one split."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def literals(spark: SparkSession, name: str, values: list) -> DataFrame:
     """One-column table of a fixed list, small by construction."""
     return F.broadcast(spark.createDataFrame([(v,) for v in values], f"{name} {'string' if isinstance(values[0], str) else 'int'}"))
