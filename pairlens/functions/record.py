@@ -13,11 +13,14 @@ are digits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.functions.text import let
+
 N = r"([+-]?(?:\d+(?:\.\d+)?|\.\d+))"
 DECIMAL = "decimal(19,8)"
 
@@ -201,48 +204,58 @@ def residual(text: Column, scenario: Column, uncertainty: Column | None = None)
     Scenarios of the first kind assume an uncertainty of 0.2 degrees; those whose
     name ends in -v2 take the first number of `uncertainty`.
     """
-    t = F.coalesce(text, F.lit(""))
-    numbers = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z])\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
-    signed = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z])[-+]?\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
-    clocks = F.transform(F.regexp_extract_all(t, F.lit(r"\b(\d{2}:\d{2})\b"), F.lit(1)), lambda x: F.substring(x, 1, 2).cast("int") * 60 + F.substring(x, 4, 2).cast("int"))
-    elapsed = F.regexp_extract(t, r"ELAPSED\s+(\d+)\s+MIN", 1).try_cast("int")
+    found = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    values = lambda t, sign: F.transform(found(t, rf"(?<![A-Za-z]){sign}\d+(?:\.\d+)?"), lambda x: x.cast("double"))
+    minutes = lambda t: F.transform(found(t, r"\b\d{2}:\d{2}\b"), lambda x: F.substring(x, 1, 2).cast("int") * 60 + F.substring(x, 4, 2).cast("int"))
     u = F.regexp_extract(F.coalesce(uncertainty if uncertainty is not None else F.lit(""), F.lit("")), r"\d+(?:\.\d+)?", 0).try_cast("double")
-    # what is printed is read once; the rules see it as one value
-    read = F.struct(t.alias("t"), numbers.alias("n"), signed.alias("s"), clocks.alias("c"), elapsed.alias("elapsed"), u.alias("u"), scenario.alias("scenario"))
-    return F.get(F.transform(F.array(read), _residual_of), F.lit(0))
-
-
-def _residual_of(x: Column) -> Column:
-    t, clocks, elapsed, u, scenario = x["t"], x["c"], x["elapsed"], x["u"], x["scenario"]
-    n = lambda k: F.try_element_at(x["n"], F.lit(k + 1))
-    s = lambda k: F.try_element_at(x["s"], F.lit(k + 1))
-    c = lambda k: F.try_element_at(clocks, F.lit(k + 1))
-    outside = lambda x, low, high, e: F.greatest(F.lit(0.0), x + e - high, low - (x - e))
-    first_state = F.when((n(0) > 0) & (n(0) < 100) & (F.abs(n(1) - 1) <= 0.01) & t.contains("STATE LIQUID WATER"), 0.0).otherwise(1.0)
-    state = F.when(s(0) <= 0, "SOLID ICE").when(s(0) < 100, "LIQUID WATER").otherwise("WATER VAPOR")
+    reads = {"n": lambda t: values(t, ""), "s": lambda t: values(t, "[-+]?"), "c": minutes}
+
+    def ruled(t: Column) -> Column:
+        """The rule of the scenario over the one kind of values that it reads; the others are not looked for."""
+        out = F.lit(None).cast("double")
+        for name, (kind, rule) in _rules(t, u).items():
+            out = F.when(scenario == name, let(reads[kind](t), rule)).otherwise(out)
+        return out
+
+    return let(F.coalesce(text, F.lit("")), ruled)
+
+
+def _rules(t: Column, u: Column) -> dict[str, tuple[str, Callable[[Column], Column]]]:
+    """Scenario: which values of the text its rule reads (numbers n, signed numbers s, clocks c in minutes), and the rule."""
+    at = lambda x, k: F.try_element_at(x, F.lit(k + 1))
+    outside = lambda x, e: F.greatest(F.lit(0.0), at(x, 0) + e - at(x, 2), at(x, 1) - (at(x, 0) - e))
+    celsius = lambda x: at(x, 1) - (1.8 * at(x, 0) + 32.0)
+    scaled = lambda factor: lambda x: at(x, 1) - at(x, 0) * factor
+    elapsed = F.regexp_extract(t, r"ELAPSED\s+(\d+)\s+MIN", 1).try_cast("int")
+    took = lambda x: (at(x, 1) - at(x, 0) - elapsed).cast("double")
+    after = lambda x: F.greatest(F.lit(0), at(x, 1) - at(x, 0)).cast("double")
+    balance = lambda x: at(x, 1) + at(x, 2) - at(x, 3) - at(x, 0)
+    room = lambda x: F.greatest(F.lit(0.0), at(x, 0) - at(x, 1))
+    total = lambda x: at(x, 0) + at(x, 1) - at(x, 2)
+    first_state = lambda x: F.when((at(x, 0) > 0) & (at(x, 0) < 100) & (F.abs(at(x, 1) - 1) <= 0.01) & t.contains("STATE LIQUID WATER"), 0.0).otherwise(1.0)
+    state = lambda x: F.when(at(x, 0) <= 0, "SOLID ICE").when(at(x, 0) < 100, "LIQUID WATER").otherwise("WATER VAPOR")
     # fixed names and conversion factors of the scenarios
-    rules = {
-        "temperature-safe-range": outside(n(0), n(1), n(2), F.lit(0.2)),
-        "temperature-safe-range-v2": outside(s(0), s(1), s(2), u),
-        "celsius-fahrenheit-conversion": n(1) - (1.8 * n(0) + 32.0),
-        "celsius-fahrenheit-conversion-v2": s(1) - (1.8 * s(0) + 32.0),
-        "kilometer-mile-conversion-v2": s(1) - s(0) * 0.621371,
-        "kilogram-pound-conversion-v2": s(1) - s(0) * 2.2046226218,
-        "liter-usgallon-conversion-v2": s(1) - s(0) * 0.2641720524,
-        "start-finish-elapsed-time": F.when(F.size(clocks) == 2, (c(1) - c(0) - elapsed).cast("double")),
-        "start-finish-elapsed-time-v2": (c(1) - c(0) - elapsed).cast("double"),
-        "capacity-addition-spill-balance": n(1) + n(2) - n(3) - n(0),
-        "capacity-addition-spill-balance-v2": s(1) + s(2) - s(3) - s(0),
-        "cause-precedes-effect": F.when(F.size(clocks) == 2, F.greatest(F.lit(0), c(1) - c(0)).cast("double")),
-        "cause-precedes-effect-v2": F.when(F.size(clocks) >= 2, F.greatest(F.lit(0), c(1) - c(0)).cast("double")),
-        "rigid-width-opening-clearance": F.greatest(F.lit(0.0), n(0) - n(1)),
-        "rigid-width-opening-clearance-v2": F.greatest(F.lit(0.0), s(0) - s(1)),
-        "exclusive-exhaustive-probability-sum": n(0) + n(1) - n(2),
-        "exclusive-exhaustive-probability-sum-v2": s(0) + s(1) - s(2),
-        "water-phase-at-temperature-pressure": F.when(n(1).isNotNull(), first_state),
-        "water-phase-at-temperature-pressure-v2": F.when(F.abs(s(1) - 1) > 0.011, 1.0).when(s(1).isNotNull(), F.when(t.contains(F.concat(F.lit("STATE "), state)), 0.0).otherwise(1.0)),
+    return {
+        "temperature-safe-range": ("n", lambda x: outside(x, F.lit(0.2))),
+        "temperature-safe-range-v2": ("s", lambda x: outside(x, u)),
+        "celsius-fahrenheit-conversion": ("n", celsius),
+        "celsius-fahrenheit-conversion-v2": ("s", celsius),
+        "kilometer-mile-conversion-v2": ("s", scaled(0.621371)),
+        "kilogram-pound-conversion-v2": ("s", scaled(2.2046226218)),
+        "liter-usgallon-conversion-v2": ("s", scaled(0.2641720524)),
+        "start-finish-elapsed-time": ("c", lambda x: F.when(F.size(x) == 2, took(x))),
+        "start-finish-elapsed-time-v2": ("c", took),
+        "capacity-addition-spill-balance": ("n", balance),
+        "capacity-addition-spill-balance-v2": ("s", balance),
+        "cause-precedes-effect": ("c", lambda x: F.when(F.size(x) == 2, after(x))),
+        "cause-precedes-effect-v2": ("c", lambda x: F.when(F.size(x) >= 2, after(x))),
+        "rigid-width-opening-clearance": ("n", room),
+        "rigid-width-opening-clearance-v2": ("s", room),
+        "exclusive-exhaustive-probability-sum": ("n", total),
+        "exclusive-exhaustive-probability-sum-v2": ("s", total),
+        "water-phase-at-temperature-pressure": ("n", lambda x: F.when(at(x, 1).isNotNull(), first_state(x))),
+        "water-phase-at-temperature-pressure-v2": ("s", lambda x: F.when(F.abs(at(x, 1) - 1) > 0.011, 1.0).when(at(x, 1).isNotNull(), F.when(t.contains(F.concat(F.lit("STATE "), state(x))), 0.0).otherwise(1.0))),
     }
-    return reduce(lambda a, kv: F.when(scenario == kv[0], kv[1]).otherwise(a), rules.items(), F.lit(None).cast("double"))
 
 
 def separation(false_residual: Column, true_residual: Column, tolerance: Column, texts: list[Column], banned: str) -> Column:
@@ -257,61 +270,99 @@ MASSES = ["START MASS", "REMOVED", "ADDED", "FINAL MASS"]
 
 def mass_residual(panels: Column) -> Column:
     """FINAL - (START - REMOVED + ADDED) over an array of panels; null unless all four masses are printed; the last print counts."""
-    text = F.array_join(panels, " | ")
-    last = lambda name: F.try_element_at(F.regexp_extract_all(text, F.lit(rf"{name}\s+(\d+(?:\.\d+)?)\s+G"), F.lit(1)), F.lit(-1)).cast("double")
-    start, removed, added, final = map(last, MASSES)
-    return final - (start - removed + added)
+    last = lambda text, name: F.try_element_at(F.regexp_extract_all(text, F.lit(rf"{name}\s+(\d+(?:\.\d+)?)\s+G"), F.lit(1)), F.lit(-1)).cast("double")
+
+    def gap(text: Column) -> Column:
+        start, removed, added, final = (last(text, name) for name in MASSES)
+        return final - (start - removed + added)
+
+    return let(F.array_join(panels, " | "), gap)
 
 
 def derived_value(family: Column, lines: Column) -> Column:
     """Text of the value that the printed input lines (array) imply; null where a field is missing, doubled or out of bounds."""
-    text = F.array_join(lines, " | ")
 
-    def printed(label: str) -> Column:
+    def printed(text: Column, label: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(rf"(?<![A-Z0-9_]){label}\s*([-+]?\d+(?:\.\d+)?)"), F.lit(1))
-        return F.when(F.size(found) == 1, F.element_at(found, 1).try_cast(DECIMAL))
+        return let(found, lambda x: F.when(F.size(x) == 1, F.element_at(x, 1).try_cast(DECIMAL)))
 
-    def clock(label: str) -> Column:
+    def clock(text: Column, label: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(rf"{label}\s+(\d{{2}}:\d{{2}})(?=\s|\z)"), F.lit(1))
-        at = F.element_at(found, 1)
-        h, m = F.substring(at, 1, 2).cast("int"), F.substring(at, 4, 2).cast("int")
-        return F.when((F.size(found) == 1) & (h <= 23) & (m <= 59), h * 60 + m)
-
-    labels = {
-        "source": "SOURCE", "full": "CAPACITY", "first": "ADDED FIRST", "second": "ADDED SECOND", "width": "RIGID WIDTH", "opening": "OPENING", "t": "TEMP", "u": r"UNCERTAINTY \+/-",
-        "low": "SAFE LOWER", "high": "SAFE UPPER", "a": r"P\(PASS\)", "b": r"P\(FAIL\)", "p": "PRESSURE",
+        h, m = (lambda x: F.substring(F.element_at(x, 1), 1, 2).cast("int")), (lambda x: F.substring(F.element_at(x, 1), 4, 2).cast("int"))
+        return let(found, lambda x: F.when(F.size(x) == 1, F.when((h(x) <= 23) & (m(x) <= 59), h(x) * 60 + m(x))))
+
+    def unit(text: Column, label: str) -> Column:
+        return F.regexp_extract(text, label + r"\s+([A-Z]+)", 1)
+
+    #: Fields of each family: how each is read, and its label.
+    fields = {
+        "unit_conversion": {"source": (printed, "SOURCE"), "unit": (unit, r"SOURCE\s+[-+]?\d+(?:\.\d+)?"), "goal": (unit, "DESTINATION UNIT")},
+        "temporal_ledger": {"start": (clock, "START"), "finish": (clock, "FINISH")},
+        "capacity_conservation": {"full": (printed, "CAPACITY"), "first": (printed, "ADDED FIRST"), "second": (printed, "ADDED SECOND")},
+        "causal_order": {"brake": (clock, "BRAKE APPLIED"), "stopped": (clock, "STOPPED")},
+        "geometry_feasibility": {"width": (printed, "RIGID WIDTH"), "opening": (printed, "OPENING")},
+        "range_threshold": {"t": (printed, "TEMP"), "u": (printed, r"UNCERTAINTY \+/-"), "low": (printed, "SAFE LOWER"), "high": (printed, "SAFE UPPER")},
+        "probability_ledger": {"a": (printed, r"P\(PASS\)"), "b": (printed, r"P\(FAIL\)")},
+        "phase_state": {"t": (printed, "TEMP"), "p": (printed, "PRESSURE")},
     }
-    clocks = {"brake": "BRAKE APPLIED", "stopped": "STOPPED", "start": "START", "finish": "FINISH"}
-    unit, goal = F.regexp_extract(text, r"SOURCE\s+[-+]?\d+(?:\.\d+)?\s+([A-Z]+)", 1), F.regexp_extract(text, r"DESTINATION UNIT\s+([A-Z]+)", 1)
-    # every field is read once; the rules see them as one value
-    fields = [printed(v).alias(k) for k, v in labels.items()] + [clock(v).alias(k) for k, v in clocks.items()]
-    read = F.struct(*fields, unit.alias("unit"), goal.alias("goal"), family.alias("family"))
-    return F.get(F.transform(F.array(read), _derived_of), F.lit(0))
-
-
-def _derived_of(x: Column) -> Column:
-    shown = lambda x, places: F.bround(x, places).cast(f"decimal(38,{places})").cast("string")
-    source, unit, goal, family = x["source"], x["unit"], x["goal"], x["family"]
-    pairs = {**CONVERSIONS, ("L", "GAL"): CONVERSIONS["L", "USGAL"]}
-    converted = F.lit(None).cast("string")
-    for (a, b), (_, factor, offset) in pairs.items():
-        value = source * F.lit(factor).cast("decimal(11,10)") + F.lit(offset).cast("decimal(2,0)")
-        converted = F.when((unit == a) & (goal == b), F.concat(shown(value, 2), F.lit(f" {b}"))).otherwise(converted)
+
+    def ruled(text: Column) -> Column:
+        """The rule of the family over its own fields, each read once; those of other families are not looked for."""
+        out = F.lit(None).cast("string")
+        for name, own in fields.items():
+            read = F.struct(*[how(text, label).alias(k) for k, (how, label) in own.items()])
+            out = F.when(family == name, let(read, DERIVED[name])).otherwise(out)
+        return out
+
+    return let(F.array_join(lines, " | "), ruled)
+
+
+def _shown(x: Column, places: int) -> Column:
+    return F.bround(x, places).cast(f"decimal(38,{places})").cast("string")
+
+
+def _converted(x: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for (a, b), (_, factor, offset) in {**CONVERSIONS, ("L", "GAL"): CONVERSIONS["L", "USGAL"]}.items():
+        value = x["source"] * F.lit(factor).cast("decimal(11,10)") + F.lit(offset).cast("decimal(2,0)")
+        out = F.when((x["unit"] == a) & (x["goal"] == b), F.concat(_shown(value, 2), F.lit(f" {b}"))).otherwise(out)
+    return out
+
+
+def _spilled(x: Column) -> Column:
     full, first, second = x["full"], x["first"], x["second"]
-    spill = first + second - full
+    return F.when((F.least(full, first, second) >= 0) & (first + second - full >= 0), F.concat(_shown(first + second - full, 1), F.lit(" L")))
+
+
+def _order(x: Column) -> Column:
     offset = x["brake"] - x["stopped"]
-    width, opening = x["width"], x["opening"]
+    return F.when(offset < 0, "BEFORE THE STOP").when(offset > 0, "AFTER THE STOP").when(offset == 0, "AT THE SAME TIME")
+
+
+def _outside(x: Column) -> Column:
     t, u, low, high = x["t"], x["u"], x["low"], x["high"]
-    a, b = x["a"], x["b"]
-    p = x["p"]
-    rules = {
-        "unit_conversion": converted,
-        "temporal_ledger": F.concat((x["finish"] - x["start"]).cast("string"), F.lit(" MIN")),
-        "capacity_conservation": F.when((F.least(full, first, second) >= 0) & (spill >= 0), F.concat(shown(spill, 1), F.lit(" L"))),
-        "causal_order": F.when(offset < 0, "BEFORE THE STOP").when(offset > 0, "AFTER THE STOP").when(offset == 0, "AT THE SAME TIME"),
-        "geometry_feasibility": F.when((width >= 0) & (opening >= 0), F.concat(shown(F.greatest(F.lit(0).cast(DECIMAL), width - opening), 2), F.lit(" M"))),
-        "range_threshold": F.when((u >= 0) & (high >= low) & (2 * u <= high - low), F.concat(shown(F.greatest(F.lit(0).cast(DECIMAL), low + u - t, t + u - high), 1), F.lit(" C"))),
-        "probability_ledger": F.when(a.between(0, 1) & b.between(0, 1), shown(a + b, 2)),
-        "phase_state": F.when((p == 1) & (t != 0) & (t != 100), F.when(t < 0, "SOLID ICE").when(t < 100, "LIQUID WATER").otherwise("WATER VAPOR")),
-    }
-    return reduce(lambda y, kv: F.when(family == kv[0], kv[1]).otherwise(y), rules.items(), F.lit(None).cast("string"))
+    far = F.greatest(F.lit(0).cast(DECIMAL), low + u - t, t + u - high)
+    return F.when((u >= 0) & (high >= low) & (2 * u <= high - low), F.concat(_shown(far, 1), F.lit(" C")))
+
+
+def _overlap(x: Column) -> Column:
+    width, opening = x["width"], x["opening"]
+    return F.when((width >= 0) & (opening >= 0), F.concat(_shown(F.greatest(F.lit(0).cast(DECIMAL), width - opening), 2), F.lit(" M")))
+
+
+def _state(x: Column) -> Column:
+    t = x["t"]
+    return F.when((x["p"] == 1) & (t != 0) & (t != 100), F.when(t < 0, "SOLID ICE").when(t < 100, "LIQUID WATER").otherwise("WATER VAPOR"))
+
+
+#: Family: the value that its fields imply.
+DERIVED = {
+    "unit_conversion": _converted,
+    "temporal_ledger": lambda x: F.concat((x["finish"] - x["start"]).cast("string"), F.lit(" MIN")),
+    "capacity_conservation": _spilled,
+    "causal_order": _order,
+    "geometry_feasibility": _overlap,
+    "range_threshold": _outside,
+    "probability_ledger": lambda x: F.when(x["a"].between(0, 1) & x["b"].between(0, 1), _shown(x["a"] + x["b"], 2)),
+    "phase_state": _state,
+}

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
+from pairlens.functions import record as R
 from pairlens.functions import text as T
-from pairlens.plans import scoring
+from pairlens.plans import scoring, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +21,13 @@ def test_an_answer_is_lowered_once(spark):
     q = spark.createDataFrame([("The two 1,000 cats",), (None,)], "a string").select(T.normalize_answer(F.col("a")).alias("n"))
     assert plan_of(q).count("[^a-z0-9']+") == 1
     assert [r.n for r in q.collect()] == ["2 1000 cats", "none"]
+
+
+def test_records_are_dealt_and_only_fields_of_their_family_are_read(spark):
+    assert texts.records(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    # lines that would name every family's fields: only those of the own family count
+    lines = F.array(F.lit("START 10:05"), F.lit("FINISH 10:45"), F.lit("P(PASS) 0.25"), F.lit("P(FAIL) 0.5"))
+    d = spark.createDataFrame([("temporal_ledger", "40 MIN"), ("probability_ledger", "0.75"), ("causal_order", None), (None, None)], "f string, want string")
+    q = d.select("want", R.derived_value(F.col("f"), lines).alias("got"))
+    assert all(r.got == r.want for r in q.collect())
+    assert plan_of(q).count("START") <= 3  # the label of the field, not once for each use of its value
