@@ -2,9 +2,9 @@
 
 Both read a text as its lower-cased words with one space before each, closed by
 an end.  One pass over all training documents gathers word counts, counts of
-neighbouring ids and a fixed share of all context windows.  The model's classes
+neighbouring ids and all context windows.  The model's classes
 and shares (attention.py) come from the neighbour counts.  Its weights start from
-a fit on a bounded draw of windows, then every part of the share trains them once
+a fit on a bounded draw of windows, then every part of all windows trains them once
 and the parts are averaged.  Overlapping context windows score each subword once.
 The baseline takes every word's count: frequent words (a table of fixed size) are
 looked up in place, the others are joined by word.
@@ -37,10 +37,8 @@ from pairlens.llm.common import bucket, runs, stored, text_runs
 from pairlens.llm.near_dedup import mix
 
 HELD = (7, 2)
-#: Part of all training windows that the weights are trained on, and windows (about) that they start from.
-SHARE, START = 1 / 32, 96_000
-#: Bytes of text that a window covers, about; only the share of small inputs depends on it.
-WINDOW_BYTES = 80
+#: Part of all training windows that the weights are trained on: all; and windows (about) that they start from.
+SHARE, START = 1.0, 96_000
 #: Windows (about) of one pass before weights are averaged, id vectors of a block, and parts that are added up at once.
 PART, ROWS, FAN = 20_000, 512, 32
 #: Bytes of texts that are split, counted and encoded together, and ids of windows that are made together, about.
@@ -180,26 +178,46 @@ def mapped(pairs: DataFrame, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return k[order], own[order], c[order]
 
 
-def averaged(windows: DataFrame, n: int, start: dict[str, np.ndarray], class_of: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights trained from start on all n windows (key, ids): a pass in each part of about PART windows, then means.
+def averaged(windows: DataFrame, start: dict[str, np.ndarray], class_of: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights trained from start on all windows (key, ids): a pass in each part of PART windows at most, then means.
 
-    A row of the id vectors is weighted by its occurrences in a part, all else by the part's windows.
+    A row of the id vectors is weighted by its occurrences in a part, all else by the
+    part's windows.  Windows stay where they are; a task adds up its own parts.
     """
     shared = windows.sparkSession.sparkContext.broadcast((start, class_of))
     others = [k for k in start if k != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         w, class_of = shared.value
-        got = [x for b in batches for x in b.column(1).to_pylist()]
-        if not got:
+        diff, seen = np.zeros(w["ids"].shape), np.zeros(len(class_of))
+        rest, many = np.zeros(sum(w[k].size for k in others)), 0
+
+        def trained(part: list[bytes]) -> None:
+            nonlocal rest, many
+            x = np.frombuffer(b"".join(part), np.int32).reshape(len(part), -1)
+            # neighbouring windows are of one text: a step takes windows from all over the part
+            new = attention.refined(w, x[np.random.default_rng(len(x)).permutation(len(x))], class_of)
+            here = np.bincount(x[:, :-1].ravel(), minlength=len(class_of))
+            diff[:] += (new["ids"] - w["ids"]) * here[:, None]
+            seen[:] += here
+            rest, many = rest + np.concatenate([(new[k] - w[k]).ravel() for k in others]) * len(x), many + len(x)
+
+        held: list[bytes] = []
+        for b in batches:
+            held += b.column(1).to_pylist()
+            while len(held) >= PART:
+                trained(held[:PART])
+                held = held[PART:]
+        if held:
+            trained(held)
+        if not many:
             return
-        x = np.frombuffer(b"".join(got), np.int32).reshape(len(got), -1)
-        new = attention.refined(w, x, class_of)
-        order = int.from_bytes(got[0][:4], "little") << 32 | len(got)
-        seen = np.bincount(x[:, :-1].ravel(), minlength=len(class_of)).astype(np.float32)
-        diff = (new["ids"] - w["ids"]) * seen[:, None]
-        rows = [(-1, order, (np.concatenate([(new[k] - w[k]).ravel() for k in others]) * np.float32(len(x))).tobytes(), np.array([len(x)], np.float32).tobytes())]
-        rows += [(k, order, diff[k : k + ROWS].tobytes(), seen[k : k + ROWS].tobytes()) for k in range(0, len(diff), ROWS) if seen[k : k + ROWS].any()]
+        order = TaskContext.get().partitionId()
+        raw = lambda x: x.astype(np.float32).tobytes()
+        rows = [(-1, order, raw(rest), raw(np.array([many])))]
+        rows += [(k, order, raw(diff[k : k + ROWS]), raw(seen[k : k + ROWS])) for k in range(0, len(diff), ROWS) if seen[k : k + ROWS].any()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "part", "diff", "weight"])
 
     def added(part: pa.Table) -> pa.Table:
@@ -208,8 +226,9 @@ def averaged(windows: DataFrame, n: int, start: dict[str, np.ndarray], class_of:
         cols = [part.column("block")[:1], part.column("part")[:1], *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (diff, weight))]
         return pa.table(cols, names=["block", "part", "diff", "weight"])
 
-    row, parts = "block long, part long, diff binary, weight binary", -(-n // PART)
-    found = windows.repartition(parts, "key").sortWithinPartitions("key", "ids").select("key", "ids").mapInArrow(run, row)
+    row, parts = "block long, part long, diff binary, weight binary", windows.rdd.getNumPartitions()
+    # stored, as else every level of the tree would train again
+    found = stored(windows.select("key", "ids").mapInArrow(run, row), "trained")
     while True:  # a tree of sums, FAN at a time
         parts = -(-parts // FAN)
         found = found.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(parts))).groupBy("block", "part").applyInArrow(added, row)
@@ -246,7 +265,7 @@ def fit(all_: DataFrame, path: str) -> attention.Model:
     first = windows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < part) if part < 1 << 30 else windows
     x = np.frombuffer(b"".join(first.select("ids").toArrow().column(0).to_pylist()), np.int32).reshape(-1, attention.WINDOW + 1)
     start = attention.train(x[np.lexsort(x.T[::-1])], size, tables=tables)
-    return attention.Model(averaged(windows, n, start.weights, class_of), class_of, start.share)
+    return attention.Model(averaged(windows, start.weights, class_of), class_of, start.share)
 
 
 @dataclass
@@ -275,8 +294,8 @@ class Scorer:
 def train(docs: DataFrame, path: str, held: tuple[int, int] = HELD) -> tuple[Scorer, DataFrame]:
     """The scorer and the counts of all words (word, c) of the training documents."""
     kept = docs.select("doc_id", F.col("text").cast("string")).where(bucket("doc_id", held[0]) != held[1])
-    ends, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    all_ = stored(gathered(kept, path, max(SHARE, START * WINDOW_BYTES / max(1, size))), "gathered")
+    ends = kept.count()
+    all_ = stored(gathered(kept, path, SHARE), "gathered")
     counts = stored(all_.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "words")
     # how many words have counts of each size, in steps of a sixteenth of a doubling, tells the least count to look up
     step = F.floor(16 * F.log2("c"))
