@@ -227,9 +227,133 @@ class Adam:
             w[k][rows] -= _F(lr) * m[k][rows] / (np.sqrt(s[k][rows]) + _F(1e-6))
 
 
+class Run:
+    """`forward` and `backward` for training: a column for each place of a window, in memory that is used again.
+
+    Queries meet keys, and values the matrix that mixes them, as products of weights
+    made once; a row of ones below values and inputs brings the sums of the softmax
+    and the biases along.
+    """
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.w, self.d, self.t = w, w["places"].shape[1], len(w["places"])
+        self.mask, self.scale = np.ascontiguousarray(_mask(self.t).T), self.d**-0.5
+        self.made: dict[int, dict[str, np.ndarray]] = {}
+        self.renew()
+
+    def renew(self) -> None:
+        """To be called when weights have changed."""
+        w = self.w
+        self.places = np.ascontiguousarray(w["places"].T)[:, None]
+        wq, wk, wv = (w["qkv"][:, i * self.d : (i + 1) * self.d] for i in range(3))
+        self.both = np.concatenate([wk @ wq.T * wq.dtype.type(self.scale), (wv @ w["mix"]).T])
+        self.up, self.out = (np.ascontiguousarray(np.concatenate([w[k], w[k + "0"][None]]).T) for k in ("up", "out"))
+        self.down = np.ascontiguousarray(w["down"].T)
+
+    def room(self, n: int) -> dict[str, np.ndarray]:
+        if n not in self.made:
+            d, t, kind, m = self.d, self.t, self.w["places"].dtype, n * self.t
+            hidden = len(self.up)
+            high = {"x": d, "yv": 2 * d + 1, "c": d + 1, "h": d + 1, "r": hidden, "g": d + 1, "logits": len(self.out), "dc": d + 1, "dyv": 2 * d, "dg": d, "du": hidden, "dx": d}
+            self.made[n] = {k: np.ones((v, m), kind) for k, v in high.items()} | {k: np.empty((n, t, t), kind) for k in ("e", "de")}
+        return self.made[n]
+
+    def apart(self, a: np.ndarray) -> np.ndarray:
+        """A matrix for each window."""
+        return a.reshape(len(a), -1, self.t).transpose(1, 0, 2)
+
+    def forward(self, ids: np.ndarray) -> np.ndarray:
+        """Class logits (classes, n * WINDOW), valid until the next call."""
+        n, d, w = len(ids), self.d, self.w
+        k = self.room(n)
+        x, yv, c, h, r, g, e = (k[z] for z in ("x", "yv", "c", "h", "r", "g", "e"))
+        np.add(np.take(w["ids"], ids, axis=0, mode="clip").transpose(2, 0, 1), self.places, out=x.reshape(d, n, self.t))
+        np.matmul(self.both, x, out=yv[: 2 * d])
+        np.matmul(self.apart(x).transpose(0, 2, 1), self.apart(yv[:d]), out=e)
+        e += self.mask
+        long = np.einsum("ij,ij->j", x, x).max(initial=0) * np.einsum("ij,ij->j", yv[:d], yv[:d]).max(initial=0)
+        if not long < 60**2:  # else no product can leave the range of exp
+            e -= _halved(np.maximum, e)
+        np.exp(e, out=e)
+        np.matmul(self.apart(yv[d:]), e, out=self.apart(c))
+        c[:d] /= c[d]
+        np.add(x, c[:d], out=h[:d])
+        np.matmul(self.up, h, out=r)
+        np.maximum(r, 0, out=r)
+        np.matmul(self.down, r, out=g[:d])
+        g[:d] += h[:d]
+        return np.matmul(self.out, g, out=k["logits"])
+
+    def backward(self, n: int, dl: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of all weights but ids, and of the inputs (WIDTH, n * WINDOW); dl: that of the logits of the n windows just met, once."""
+        d, w, k = self.d, self.w, self.room(n)
+        x, yv, c, h, r, g, e, dc, dyv, dg, du, dx = (k[z] for z in ("x", "yv", "c", "h", "r", "g", "e", "dc", "dyv", "dg", "du", "dx"))
+        out = g @ dl.T
+        np.matmul(w["out"], dl, out=dg)
+        down = r @ dg.T
+        np.matmul(w["down"], dg, out=du)
+        du *= r > 0
+        up = h @ du.T
+        dh = w["up"] @ du
+        dh += dg
+        np.divide(dh, c[d], out=dc[:d])
+        np.einsum("ij,ij->j", c[:d], dc[:d], out=dc[d])
+        np.negative(dc[d], out=dc[d])
+        np.matmul(self.apart(dc[:d]), e.transpose(0, 2, 1), out=self.apart(dyv[d:]))
+        np.matmul(self.apart(yv[d:]).transpose(0, 2, 1), self.apart(dc), out=k["de"])
+        e *= k["de"]
+        np.matmul(self.apart(x), e, out=self.apart(dyv[:d]))
+        np.matmul(self.apart(yv[:d]), e.transpose(0, 2, 1), out=self.apart(dx))
+        dh += dx
+        dh += np.matmul(self.both.T, dyv, out=dx)
+        both = dyv @ x.T
+        wq, wk, wv = (w["qkv"][:, i * d : (i + 1) * d] for i in range(3))
+        near, mixed = both[:d] * both.dtype.type(self.scale), both[d:].T
+        return {
+            "places": dh.reshape(d, n, self.t).sum(1).T, "qkv": np.concatenate([near.T @ wk, near @ wq, mixed @ w["mix"].T], 1), "mix": wv.T @ mixed,
+            "up": up[:d], "up0": up[d], "down": down, "out": out[:d], "out0": out[d],
+        }, dh
+
+
+class Refiner:
+    """The steps of Adam by way of Run, on w in place; all weights but ids become views of one vector, which a step takes at once."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.others = [k for k in w if k != "ids"]
+        self.flat, at = np.concatenate([w[k].ravel() for k in self.others]), 0
+        for k in self.others:
+            w[k] = self.flat[at : at + w[k].size].reshape(w[k].shape)
+            at += w[k].size
+        self.w, self.run = w, Run(w)
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in (("ids", w["ids"]), ("flat", self.flat))} for _ in range(2))
+
+    def step(self, x: np.ndarray, goal: np.ndarray, lr: float) -> None:
+        """One step on windows x whose targets have the classes goal."""
+        w, run, scale = self.w, self.run, _F(1 / goal.size)
+        run.renew()
+        p = run.forward(x)
+        p -= p.max(0)
+        np.exp(p, out=p)
+        p *= scale / p.sum(0)
+        p[goal.ravel(), np.arange(goal.size)] -= scale
+        grad, inputs = run.backward(len(x), p)
+        # only rows of ids that occur have a gradient
+        ids = x.ravel()
+        order = np.argsort(ids.astype(np.uint16) if len(w["ids"]) <= 1 << 16 else ids, kind="stable")  # sorted by digits
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        rows = np.add.reduceat(np.take(np.ascontiguousarray(inputs.T), order, axis=0), first, axis=0)
+        flat = np.concatenate([grad[k].ravel() for k in self.others])
+        for k, v, at, g in (("ids", w["ids"], ids[first], rows), ("flat", self.flat, slice(None), flat)):
+            m = self.m[k][at] * _F(0.9) + _F(0.1) * g
+            s = self.s[k][at] * _F(0.99) + _F(0.01) * g * g
+            self.m[k][at], self.s[k][at] = m, s
+            v[at] -= _F(lr) * m / (np.sqrt(s) + _F(1e-6))
+
+
 def refined(w: dict[str, np.ndarray], windows: np.ndarray, class_of: np.ndarray, batch: int = 64, rate: float = 0.003) -> dict[str, np.ndarray]:
     """Weights after one pass over all the windows, begun from w."""
-    own = Adam({k: v.copy() for k, v in w.items()})
+    own = Refiner({k: v.copy() for k, v in w.items()})
     for n, start in enumerate(range(0, len(windows), batch), 1):
         part = windows[start : start + batch]
         # a short last batch counts by its length

@@ -66,8 +66,8 @@ def end_of(path: str) -> int:
     return len(vocabulary(path)[1])
 
 
-def subwords(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words one after the other, each word with a space before it, and how many each has."""
+def subwords(words: list[str], size: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words (size: their bytes) one after the other, each word with a space before it, and how many each has."""
     encoding, width = vocabulary(path)
 
     def alone(text: str) -> np.ndarray:
@@ -76,7 +76,7 @@ def subwords(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         except ValueError:  # the pattern gives up on runs of a million signs
             return np.frombuffer(encoder(path).encode_batch([text])[0], "<u4")
 
-    text, size = " " + " ".join(words), np.array([len(w.encode()) for w in words], np.int64)
+    text = " " + " ".join(words)
     if WIDE.search(text) or size.max(initial=0) > 1000:
         # a word that white space beyond ASCII opens or closes could share a piece with its neighbour
         each = [alone(" " + w) for w in words]
@@ -97,7 +97,8 @@ class Part:
         found = values.filter(full).dictionary_encode()
         begin = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[at]
         self.path, self.many = path, np.diff(begin)
-        self.words: list[str] = found.dictionary.to_pylist()
+        self.names = found.dictionary
+        self.words: list[str] = self.names.to_pylist()
         self.owner = np.repeat(np.arange(len(texts)), self.many + 2)
         self.begin = begin + 2 * np.arange(len(begin))
         inside = np.ones(len(self.owner), bool)
@@ -107,7 +108,7 @@ class Part:
 
     def sequences(self) -> list[np.ndarray]:
         """Ids of each text between two ends."""
-        ids, sizes = subwords(self.words, self.path)
+        ids, sizes = subwords(self.words, pc.binary_length(self.names).to_numpy().astype(np.int64), self.path)
         ids, sizes = np.append(ids, np.uint32(end_of(self.path))), np.append(sizes, 1)
         n = sizes[self.numbers]
         at = np.cumsum(n) - n
@@ -144,7 +145,7 @@ def gathered(docs: DataFrame, path: str, share: float) -> DataFrame:
         for ids, part in parts(batches, path):
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
             seen = np.bincount(part.numbers, minlength=len(part.words) + 1)[:-1]
-            yield rows(len(seen), word=pa.array(part.words, pa.string()).cast(pa.binary()), c=pa.array(seen))
+            yield rows(len(seen), word=part.names.cast(pa.binary()), c=pa.array(seen))
             seqs = part.sequences()
             held.append(np.concatenate([s[:-1].astype(np.int64) * size + s[1:] for s in seqs]))
             if sum(map(len, held)) >= PAIRED:
@@ -327,7 +328,7 @@ def score(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
             base = np.bincount(part.owner, np.where(looked & token, np.log10((times + 1.0) / s.floor), 0), n)
             code, many = np.unique(part.owner[~looked] * (words + 1) + numbers[~looked], return_counts=True)
             whose, which = np.divmod(code, words + 1)
-            names = pa.array(part.words, pa.string()).take(pa.array(which)).cast(pa.binary())
+            names = part.names.take(pa.array(which)).cast(pa.binary())
             rare = pa.StructArray.from_arrays([names, pa.array(many, pa.int64())], names=["word", "n"])
             columns = [
                 pa.array(range(key, key + n), pa.int64()), ids, pa.array(part.many + 1), pa.array(np.bincount(part.owner, (times > 0) & token, n).astype(np.int64)),
